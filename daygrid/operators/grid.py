@@ -158,8 +158,12 @@ def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
     mask = F.when(empty, F.array_repeat(F.lit(0).cast("tinyint"), n)).otherwise(
         observation_mask(F.col("values"))
     )
+    # The rows grow by two orders of magnitude after the join, so the number of tasks is fixed before it;
+    # adaptive coalescing would size them by the small sparse input.
+    tasks = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         channel_days(days)
+        .repartition(tasks, *KEY)
         .join(sparse, KEY, "left")
         .select(*KEY, "points", values.alias("values"))
         .select(*KEY, "values", mask.alias("mask"))
