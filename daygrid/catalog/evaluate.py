@@ -1 +1,111 @@
+"""Forecast evaluation (inventory section E)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daygrid.catalog.registry import query, rounded_all
+from daygrid.catalog.sql import rd
+from daygrid.operators import evaluate
+from daygrid.sources import adapter
+
+ERRORS_SQL = f"""SELECT channel_idx, {rd('sum(CASE WHEN mask = 1 THEN coalesce(abs(yhat - y), 0) END) / count(*) FILTER (mask = 1)')} AS mae,
+{rd('sum(CASE WHEN mask = 1 THEN coalesce((yhat - y) ** 2, 0) END) / count(*) FILTER (mask = 1)', 4)} AS mse,
+count(*) FILTER (mask = 1) AS n FROM pred GROUP BY ROLLUP (channel_idx)"""
+
+
+def _errors(df):
+    from daygrid.catalog.registry import rounded
+
+    return df.select("channel_idx", rounded("mae").alias("mae"), rounded("mse", 4).alias("mse"), "n")
+
+
+@query("e01_masked_errors", ERRORS_SQL)
+def _(spark, d):
+    return _errors(evaluate.masked_errors(adapter.predictions(spark, d)))
+
+
+PAIRS = """(SELECT sample_id, channel_idx, count(*) AS n, covar_pop(yhat, y) * count(*) AS num,
+ var_pop(yhat) * count(*) AS dx, var_pop(y) * count(*) AS dy
+FROM pred WHERE mask = 1 AND yhat IS NOT NULL AND y IS NOT NULL GROUP BY ALL)"""
+R = "CASE WHEN sqrt(dx * dy) > 1e-9 THEN num / (sqrt(dx * dy) + 1e-9) ELSE 0 END"
+COUNTED = "n >= 2 AND dx > 1e-9 AND dy > 1e-9"
+
+
+@query(
+    "e02_mean_correlation",
+    f"""SELECT channel_idx, {rd(f'avg(CASE WHEN {COUNTED} THEN {R} END)')} AS pearson,
+count(*) FILTER ({COUNTED}) AS pairs FROM {PAIRS} GROUP BY ROLLUP (channel_idx)""",
+)
+def _(spark, d):
+    return rounded_all(evaluate.mean_correlation(adapter.predictions(spark, d)))
+
+
+@query(
+    "e02b_pair_correlations",
+    f"SELECT sample_id, channel_idx, n, {rd(R)} AS r, {COUNTED} AS counted FROM {PAIRS}",
+)
+def _(spark, d):
+    return rounded_all(evaluate.pair_correlations(adapter.predictions(spark, d)))
+
+
+@query(
+    "e03_batch_weighted_errors",
+    f"""SELECT {rd('sum(mse * k) / sum(k)', 4)} AS mse, {rd('sum(mae * k) / sum(k)', 4)} AS mae, {rd('sqrt(sum(mse * k) / sum(k))', 4)} AS rmse
+FROM (SELECT count(*) AS k, sum(ae) / (sum(m) + 1e-10) AS mae, sum(se) / (sum(m) + 1e-10) AS mse FROM (
+  SELECT sample_id, sum(CASE WHEN mask = 1 THEN coalesce(abs(yhat - y), 0) ELSE 0 END) AS ae,
+    sum(CASE WHEN mask = 1 THEN coalesce((yhat - y) ** 2, 0) ELSE 0 END) AS se, sum(mask) AS m,
+    (row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) - 1) // 16 AS batch
+  FROM pred GROUP BY sample_id) GROUP BY batch)""",
+)
+def _(spark, d):
+    return rounded_all(evaluate.batch_weighted_errors(adapter.predictions(spark, d)), 4)
+
+
+@query("e04_flat_masked_errors", ERRORS_SQL)
+def _(spark, d):
+    return _errors(evaluate.masked_errors(adapter.predictions(spark, d), finite_guard=False))
+
+
+@query(
+    "e05_masked_loss",
+    f"""SELECT 'sequence' AS part, {rd('sum(coalesce((yhat - y) ** 2, 0) * mask) / (sum(mask) + 1e-10)', 4)} AS loss FROM pred
+UNION ALL SELECT 'label', {rd('avg((yhat - y) ** 2) FILTER (hour % 3 <> 0)', 4)} FROM pred""",
+)
+def _(spark, d):
+    df = adapter.predictions(spark, d)
+    labelled = df.withColumn("label", F.when(F.col("hour") % 3 != 0, F.col("y")))
+    return rounded_all(
+        evaluate.masked_loss(df)
+        .withColumn("part", F.lit("sequence"))
+        .unionByName(evaluate.label_loss(labelled, "yhat", "label").withColumn("part", F.lit("label"))),
+        4,
+    )
+
+
+@query(
+    "e06_aligned_cells",
+    f"""SELECT sample_id, channel_idx, day_index, hour, {rd('y', 2)} AS y, {rd('yhat', 2)} AS yhat, mask FROM pred
+WHERE yhat IS NOT NULL AND hour <> 23 AND day_index < 28""",
+)
+def _(spark, d):
+    key = ["sample_id", "channel_idx", "day_index", "hour"]
+    df = adapter.predictions(spark, d)
+    predicted = df.where(F.col("yhat").isNotNull()).select(*key, "yhat")
+    target = df.where(F.col("hour") != 23).select(*key, "y")
+    mask = df.where(F.col("day_index") < 28).select(*key, "mask")
+    return rounded_all(evaluate.align(predicted, target, mask, key), 2)
+
+
+@query(
+    "e07_report",
+    f"""SELECT coalesce(CASE WHEN e.channel_idx = 4 THEN 'Channel 4' ELSE ['click', 'error', 'purchase', 'signup'][e.channel_idx + 1] END, 'Overall') AS channel,
+  format('{{:.4f}}', e.mae) AS mae, format('{{:.4f}}', e.mse) AS mse, format('{{:.4f}}', p.pearson) AS pearson
+FROM ({ERRORS_SQL}) e JOIN (SELECT channel_idx, avg(CASE WHEN {COUNTED} THEN {R} END) AS pearson FROM {PAIRS}
+  GROUP BY ROLLUP (channel_idx)) p ON p.channel_idx IS NOT DISTINCT FROM e.channel_idx""",
+)
+def _(spark, d):
+    names = spark.createDataFrame(
+        [(0, "click"), (1, "error"), (2, "purchase"), (3, "signup")], "channel_idx int, channel string"
+    )
+    return evaluate.report(adapter.predictions(spark, d), names)

@@ -1 +1,86 @@
+"""Series export (inventory section X)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daygrid import constants as C
+from daygrid.catalog.registry import query
+from daygrid.operators import export, samples
+from daygrid.plans import stages
+
+NUMBERED = """(SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(participant_id AS VARCHAR)), 1, 3), participant_id, start_date) - 1
+ AS row_number FROM win)"""
+
+
+def flat_samples(spark, d):
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    return samples.flatten_days(samples.zero_missing(rows))
+
+
+@query(
+    "x01_series_records",
+    f"""SELECT w.participant_id || '_' || w.row_number AS item_id, epoch_us(w.start_date::TIMESTAMP) AS start_us, 'T' AS freq,
+CAST(24 AS INTEGER) AS features, CAST(10080 AS INTEGER) AS length,
+CAST(24 * 10080 - (SELECT count(*) FROM wmin m WHERE m.participant_id = w.participant_id AND m.start_date = w.start_date
+  AND m.value <> 0) AS INTEGER) AS n_nan FROM {NUMBERED} w""",
+)
+def _(spark, d):
+    numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
+    out = export.series_records(
+        flat_samples(spark, d), numbered, masked_as_nan=True, include_mask=False
+    )
+    nans = F.transform("target", lambda row: F.size(F.filter(row, lambda v: F.isnan(v))))
+    return out.select(
+        "item_id",
+        F.unix_micros("start").alias("start_us"),
+        "freq",
+        F.size("target").alias("features"),
+        F.size(F.get("target", F.lit(0))).alias("length"),
+        F.aggregate(nans, F.lit(0), lambda a, n: a + n).alias("n_nan"),
+    )
+
+
+@query(
+    "x02_static_features",
+    "SELECT participant_id, start_date, "
+    + " || ',' || ".join(f"coalesce(CAST(\"{c}_value\" AS VARCHAR), 'NaN')" for c in sorted(C.LABELS))
+    + " AS feat_static_real FROM flat",
+)
+def _(spark, d):
+    flat = stages.flat(spark, d)
+    features = export.static_features([f"{c}_value" for c in C.LABELS])
+    return flat.select(
+        "participant_id",
+        "start_date",
+        F.array_join(features.cast("array<string>"), ",").alias("feat_static_real"),
+    )
+
+
+@query(
+    "x03_dynamic_features",
+    """SELECT w.participant_id, w.start_date, CAST(24 AS INTEGER) AS features, CAST(count(m.value) AS INTEGER) AS observed
+FROM win w LEFT JOIN (SELECT * FROM wmin WHERE value <> 0) m ON m.participant_id = w.participant_id AND m.start_date = w.start_date
+GROUP BY w.participant_id, w.start_date""",
+)
+def _(spark, d):
+    numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
+    out = export.series_records(flat_samples(spark, d), numbered)
+    per_channel = F.transform(
+        "feat_dynamic_real", lambda row: F.aggregate(row, F.lit(0), lambda a, v: a + v.cast("int"))
+    )
+    return out.select(
+        F.substring_index("item_id", "_", 1).cast("bigint").alias("participant_id"),
+        F.to_date("start").alias("start_date"),
+        F.size("feat_dynamic_real").alias("features"),
+        F.aggregate(per_channel, F.lit(0), lambda a, n: a + n).alias("observed"),
+    )
+
+
+@query("x04_feature_count", "SELECT CAST(24 AS BIGINT) AS features, count(*) AS samples FROM win")
+def _(spark, d):
+    return export.feature_count(
+        samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+        .where("day_index = 0")
+        .select(*samples.SAMPLE, "channel_idx")
+    )

@@ -1 +1,235 @@
+"""Mask and value post-processing (inventory section M)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daygrid import constants as C
+from daygrid.catalog.registry import query, rounded, rounded_all
+from daygrid.catalog.sql import rd
+from daygrid.functions import arrays as A
+from daygrid.operators import post, samples
+from daygrid.plans import stages
+from daygrid.sources import adapter
+
+GAP = 4  # gap threshold fitting vectors of 64 cells
+
+
+def _samples(spark, d):
+    return samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+
+
+def _total(column="mask"):
+    return F.aggregate(column, F.lit(0), lambda a, m: a + m.cast("int"))
+
+
+@query(
+    "m01_runs",
+    """SELECT vec_id, CAST(min(i) AS INTEGER) AS "start", CAST(max(i) + 1 AS INTEGER) AS "end" FROM (
+  SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS island FROM vec WHERE v = 0)
+GROUP BY vec_id, island HAVING count(*) >= 2""",
+)
+def _(spark, d):
+    flags = F.transform("values", lambda v: v == 0)
+    return adapter.vector_days(spark, d).select("vec_id", F.inline(A.runs(flags, 2)))
+
+
+def _gap_sql(condition: str, minimum: int) -> str:
+    """Stretches between observed minutes of each window day, from marks at -1 and 1440."""
+    return f"""SELECT participant_id, start_date, day_index, CAST(prev + 1 AS INTEGER) AS start_minute,
+CAST(minute AS INTEGER) AS end_minute FROM (
+  SELECT *, lag(minute) OVER (PARTITION BY participant_id, start_date, day_index ORDER BY minute) AS prev FROM (
+    SELECT DISTINCT participant_id, start_date, day_index, minute FROM wmin WHERE value <> 0 AND {condition}
+    UNION ALL SELECT participant_id, start_date, day_index, -1 FROM wdays
+    UNION ALL SELECT participant_id, start_date, day_index, 1440 FROM wdays))
+WHERE minute - prev - 1 >= {minimum}"""
+
+
+@query("m02_all_channels_masked", _gap_sql("true", C.ALL_CHANNELS_MASKED_MINUTES))
+def _(spark, d):
+    return post.all_channels_masked(_samples(spark, d)).drop("end_date")
+
+
+@query(
+    "m03_channels_with_empty_day",
+    """SELECT participant_id, start_date, day_index, channel_idx,
+CAST(CASE WHEN min(n) OVER (PARTITION BY participant_id, start_date, channel_idx) = 0 THEN 0 ELSE n END AS INTEGER) AS observed
+FROM (SELECT w.participant_id, w.start_date, w.day_index, CAST(c.channel_idx AS INTEGER) AS channel_idx, count(m.value) AS n
+  FROM wdays w CROSS JOIN (SELECT unnest(range(0, 24)) AS channel_idx) c
+  LEFT JOIN (SELECT * FROM wmin WHERE value <> 0) m ON m.participant_id = w.participant_id
+    AND m.start_date = w.start_date AND m.day_index = w.day_index AND m.channel_idx = c.channel_idx
+  GROUP BY w.participant_id, w.start_date, w.day_index, c.channel_idx)""",
+)
+def _(spark, d):
+    out = post.custom_mask(_samples(spark, d))
+    return out.select("participant_id", "start_date", "day_index", "channel_idx", _total().alias("observed"))
+
+
+@query("m04_heart_rate_masked_runs", _gap_sql("channel_idx = 5", C.HEART_RATE_GAP_MINUTES))
+def _(spark, d):
+    return post.heart_rate_masked_runs(_samples(spark, d)).drop("end_date")
+
+
+@query(
+    "m05_strip_nans",
+    f"SELECT vec_id, {rd('sum(CASE WHEN i % 5 = 2 THEN -1 ELSE v END)')} AS total FROM vec GROUP BY vec_id",
+)
+def _(spark, d):
+    df = adapter.vector_days(spark, d).withColumn(
+        "values", F.transform("values", lambda v, i: F.when(i % 5 == 2, F.lit(float("nan"))).otherwise(v))
+    )
+    out = post.strip_nans(df, -1.0)
+    return out.select("vec_id", rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+def _fill_sql(inside: str) -> str:
+    return f"""SELECT * FROM (WITH gaps AS (
+  SELECT vec_id, min(i) AS s, max(i) + 1 AS e FROM (
+    SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS island FROM vec WHERE v = 0 AND m = 1)
+  GROUP BY vec_id, island),
+sided AS (
+  SELECT g.*, (SELECT max(i) FROM vec x WHERE x.vec_id = g.vec_id AND x.i < g.s AND x.v <> 0 AND x.m = 1) AS b,
+    (SELECT min(i) FROM vec x WHERE x.vec_id = g.vec_id AND x.i >= g.e AND x.v <> 0 AND x.m = 1) AS a FROM gaps g),
+judged AS (
+  SELECT *, e - s >= {GAP} OR s = 0 OR e = 64 OR (a IS NULL AND b IS NULL) AS dropped FROM sided),
+busy AS (SELECT DISTINCT vec_id FROM gaps)
+SELECT x.vec_id, x.i, CAST(CASE WHEN g.s IS NULL THEN x.m WHEN g.dropped THEN 0 ELSE 1 END AS INTEGER) AS mask,
+  {rd(f'''CASE WHEN g.s IS NULL THEN CASE WHEN x.m = 0 AND x.vec_id IN (SELECT vec_id FROM busy) THEN 0 ELSE x.v END
+    WHEN g.dropped THEN 0 WHEN g.b IS NULL THEN va.v WHEN g.a IS NULL THEN vb.v ELSE {inside} END''')} AS value
+FROM vec x LEFT JOIN judged g ON g.vec_id = x.vec_id AND x.i >= g.s AND x.i < g.e
+LEFT JOIN vec vb ON vb.vec_id = g.vec_id AND vb.i = g.b LEFT JOIN vec va ON va.vec_id = g.vec_id AND va.i = g.a)"""
+
+
+def _filled(spark, d, method):
+    out = post.fill_heart_rate(adapter.vector_days(spark, d), GAP, method)
+    cells = F.posexplode(F.arrays_zip("values", "mask")).alias("i", "c")
+    return out.select("vec_id", cells).select(
+        "vec_id", "i", F.col("c.mask").alias("mask"), rounded("c.values").alias("value")
+    )
+
+
+@query(
+    "m06_fill_gaps_linear",
+    _fill_sql("vb.v * (1 - (x.i - g.b) / CAST(g.a - g.b AS DOUBLE)) + va.v * ((x.i - g.b) / CAST(g.a - g.b AS DOUBLE))"),
+)
+def _(spark, d):
+    return _filled(spark, d, "linear")
+
+
+@query("m07_fill_gaps_nearest", _fill_sql("CASE WHEN x.i - g.b <= g.a - x.i THEN vb.v ELSE va.v END"))
+def _(spark, d):
+    return _filled(spark, d, "nearest")
+
+
+@query(
+    "m08_standardise",
+    f"""SELECT c.participant_id, c.date, CAST(c.channel_idx AS INTEGER) AS channel_idx,
+{rd('(coalesce(any_value(m.total), 0) - 1440 * coalesce(any_value(p.mean), 0)) / coalesce(any_value(p.sd), 1)', 2)} AS total
+FROM chanday c
+LEFT JOIN (SELECT participant_id, date, channel_idx, sum(CAST(CAST(value AS FLOAT) AS DOUBLE)) AS total FROM minutes GROUP BY ALL) m
+  ON m.participant_id = c.participant_id AND m.date = c.date AND m.channel_idx = c.channel_idx
+LEFT JOIN (SELECT feature_index, sum(sum) / sum(n) AS mean,
+   sqrt(greatest(0, sum(sum_of_squares) / sum(n) - (sum(sum) / sum(n)) ** 2)) AS sd
+   FROM stats WHERE n > 0 GROUP BY feature_index HAVING sd >= 1e-9) p ON p.feature_index = c.channel_idx
+GROUP BY c.participant_id, c.date, c.channel_idx""",
+)
+def _(spark, d):
+    df = samples.zero_missing(stages.day_channel(spark, d))
+    out = post.standardise(df, stages.standardization(spark, d))
+    return out.select(
+        "participant_id",
+        "date",
+        "channel_idx",
+        rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 2).alias("total"),
+    )
+
+
+@query(
+    "m09_masked_product",
+    f"SELECT vec_id, {rd('sum(v * m)')} AS total, CAST(count(*) FILTER (v * m = 0) AS INTEGER) AS zeros FROM vec GROUP BY vec_id",
+)
+def _(spark, d):
+    out = post.masked_product(adapter.vector_days(spark, d))
+    return out.select(
+        "vec_id",
+        rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"),
+        F.size(F.filter("values", lambda v: v == 0)).alias("zeros"),
+    )
+
+
+def _long(spark, d):
+    return adapter.vector_days(spark, d).select("vec_id", F.posexplode("values").alias("i", "x"))
+
+
+@query(
+    "m10_instance_normalise",
+    f"""SELECT vec_id, i, {rd('(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5)')} AS normalised, {rd('v')} AS restored
+FROM vec WINDOW w AS (PARTITION BY vec_id)""",
+)
+def _(spark, d):
+    out = post.instance_denormalise(post.instance_normalise(_long(spark, d), ["vec_id"], ["i"]))
+    return rounded_all(out.select("vec_id", "i", "normalised", "restored"))
+
+
+@query(
+    "m10b_instance_normalise_last_affine",
+    f"""SELECT x.vec_id, x.i, {rd('(x.v - l.v) / s.sd * 2 + 0.5')} AS normalised,
+{rd('((x.v - l.v) / s.sd * 2) / (2 + 1e-10) * s.sd + l.v')} AS restored FROM vec x
+JOIN vec l ON l.vec_id = x.vec_id AND l.i = 63
+JOIN (SELECT vec_id, sqrt(var_pop(v) + 1e-5) AS sd FROM vec GROUP BY vec_id) s ON s.vec_id = x.vec_id""",
+)
+def _(spark, d):
+    affine = (2.0, 0.5)
+    normal = post.instance_normalise(
+        _long(spark, d), ["vec_id"], ["i"], subtract_last=True, affine=affine
+    )
+    out = post.instance_denormalise(normal, affine=affine)
+    return rounded_all(out.select("vec_id", "i", "normalised", "restored"))
+
+
+@query(
+    "m11_skip_flat_series",
+    f"""SELECT vec_id, i, {rd('CASE WHEN stddev_samp(v) OVER w < 0.11e0 THEN v ELSE (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 0.11e0) END')} AS normalised
+FROM vec WINDOW w AS (PARTITION BY vec_id)""",
+)
+def _(spark, d):
+    out = post.instance_normalise(_long(spark, d), ["vec_id"], ["i"], eps=0.11, skip_flat=True)
+    return rounded_all(out.select("vec_id", "i", "normalised"))
+
+
+@query(
+    "m12_masked_to_nan",
+    f"""SELECT vec_id, CAST(count(*) FILTER (m = 0) AS INTEGER) AS n_nan, {rd('coalesce(sum(v) FILTER (m = 1), 0)')} AS total
+FROM vec GROUP BY vec_id""",
+)
+def _(spark, d):
+    out = adapter.vector_days(spark, d).select(
+        "vec_id", post.masked_to_nan(F.col("values"), F.col("mask")).alias("values")
+    )
+    valid = F.filter("values", lambda v: ~F.isnan(v))
+    return out.select(
+        "vec_id",
+        (F.size("values") - F.size(valid)).alias("n_nan"),
+        rounded(F.aggregate(valid, F.lit(0.0), lambda a, v: a + v)).alias("total"),
+    )
+
+
+@query(
+    "m13_user_transforms",
+    f"SELECT vec_id, {rd('sum(v * m) * 3')} AS total FROM vec WHERE vec_id % 2 = 0 GROUP BY vec_id",
+)
+def _(spark, d):
+    def tripled(batch):
+        batch["values"] = [[3.0 * v for v in row] for row in batch["values"]]
+        return batch
+
+    schema = "vec_id bigint, values array<double>"
+    out = post.apply_all(
+        adapter.vector_days(spark, d),
+        [
+            post.masked_product,
+            lambda df: df.where(F.col("vec_id") % 2 == 0).select("vec_id", "values"),
+            lambda df: post.apply_to_batches(df, tripled, schema),
+        ],
+    )
+    return out.select("vec_id", rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"))

@@ -1 +1,87 @@
+"""Participant splits (inventory section P)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daygrid import constants as C
+from daygrid.catalog.labels import TEXT_SQL
+from daygrid.catalog.registry import query
+from daygrid.operators import labels, splits
+from daygrid.plans import stages
+from daygrid.sources import adapter
+
+
+@query("p01_label_count_bins", "SELECT participant_id, CAST(label_count AS INTEGER) AS label_count, stratum FROM bins")
+def _(spark, d):
+    return splits.label_count_bins(labels.labels_present(stages.flat(spark, d)))
+
+
+@query("p02_split_by_label_count", "SELECT participant_id, split FROM assigned")
+def _(spark, d):
+    return splits.split_by_label_count(stages.flat(spark, d))
+
+
+TEXT_COLUMNS = [f"{c}_value_str" for c in C.LABELS]
+
+
+@query(
+    "p03_rare_strata",
+    "SELECT "
+    + ", ".join(f'"{c}"' for c in TEXT_COLUMNS)
+    + f", count(*) AS n FROM ({TEXT_SQL}) GROUP BY ALL HAVING count(*) < 2",
+)
+def _(spark, d):
+    strata = splits.label_strata(stages.flat(spark, d))
+    return splits.rare_strata(strata, TEXT_COLUMNS)
+
+
+@query(
+    "p04_split_by_label_values",
+    """SELECT participant_id, CASE WHEN row_number() OVER (PARTITION BY a, b ORDER BY md5('42:' || participant_id), participant_id)
+  <= round(count(*) OVER (PARTITION BY a, b) * 0.2e0) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT participant_id, round_even(avg("Diabetes_value"), 0) AS a, round_even(avg(sleep_diagnosis1_value), 0) AS b
+  FROM flat SEMI JOIN (SELECT * FROM info WHERE sharing_scope = 'all_qualified_researchers') USING (participant_id)
+  GROUP BY participant_id)""",
+)
+def _(spark, d):
+    flat = stages.flat(spark, d).select("participant_id", "Diabetes_value", "sleep_diagnosis1_value")
+    return splits.split_by_label_values(flat, adapter.participant_info(spark, d), check=False)
+
+
+@query("p05_clusters")
+def _(spark, d):
+    features = splits.demographic_features(
+        stages.flat(spark, d), adapter.demographics(spark, d), adapter.participant_info(spark, d)
+    )
+    return splits.clusters(features, k=8)
+
+
+@query("p06_split_by_cluster")
+def _(spark, d):
+    return splits.split_by_cluster(
+        stages.flat(spark, d), adapter.demographics(spark, d), adapter.participant_info(spark, d), k=8
+    )
+
+
+@query(
+    "p07_three_way_split",
+    f"""SELECT participant_id, 'test' AS split FROM assigned WHERE split = 'test'
+UNION ALL SELECT participant_id, CASE WHEN
+  row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || participant_id), participant_id)
+  <= round(count(*) OVER (PARTITION BY stratum) * {0.1 / (1 - 0.2)!r}) THEN 'validation' ELSE 'train' END FROM bins2""",
+)
+def _(spark, d):
+    return splits.three_way(stages.flat(spark, d))
+
+
+@query(
+    "p08_window_level_split",
+    """SELECT participant_id, start_date, CASE WHEN row_number() OVER (
+  ORDER BY md5('42:' || participant_id || '|' || strftime(start_date, '%Y-%m-%d')), participant_id, start_date)
+  <= round(count(*) OVER () * 0.2e0) THEN 'test' ELSE 'train' END AS split FROM win""",
+)
+def _(spark, d):
+    return splits.window_level_split(stages.window_table(spark, d)).select(
+        "participant_id", "start_date", "split"
+    )

@@ -312,11 +312,33 @@ CTES["wmin"] = """
 SELECT w.participant_id, w.start_date, w.day_index, w.date, m.channel_idx, m.minute, m.value
 FROM wdays w JOIN minutes m ON m.participant_id = w.participant_id AND m.date = w.date"""
 
-CTES["sp"] = """
-SELECT participant_id, label_count, NULL AS dummy FROM (SELECT participant_id, """ + " + ".join(
-    f'CAST(bool_or("{c}_value" IS NOT NULL) AS INTEGER)' for c in C.LABELS
-) + " AS label_count FROM flat GROUP BY participant_id)"
+CTES["sp"] = (
+    "SELECT participant_id, "
+    + " + ".join(f'CAST(bool_or("{c}_value" IS NOT NULL) AS INTEGER)' for c in C.LABELS)
+    + " AS label_count FROM flat GROUP BY participant_id"
+)
+
+CTES["edges"] = """
+SELECT DISTINCT e FROM (SELECT unnest(quantile_cont(label_count, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM sp)"""
+
+CTES["bins"] = """
+SELECT participant_id, label_count, CAST(CASE WHEN (SELECT count(*) FROM edges) < 2 THEN label_count ELSE
+  (SELECT count(*) FROM edges WHERE e < label_count AND e > (SELECT min(e) FROM edges)
+    AND e < (SELECT max(e) FROM edges)) END AS INTEGER) AS stratum FROM sp"""
+
+CTES["assigned"] = """
+SELECT participant_id, label_count, CASE WHEN
+  row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || participant_id), participant_id)
+  <= round(count(*) OVER (PARTITION BY stratum) * 0.2e0) THEN 'test' ELSE 'train' END AS split FROM bins"""
+
+CTES["edges2"] = """
+SELECT DISTINCT e FROM (SELECT unnest(quantile_cont(label_count, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e
+  FROM assigned WHERE split = 'train')"""
 
+CTES["bins2"] = """
+SELECT participant_id, CASE WHEN (SELECT count(*) FROM edges2) < 2 THEN label_count ELSE
+  (SELECT count(*) FROM edges2 WHERE e < label_count AND e > (SELECT min(e) FROM edges2)
+    AND e < (SELECT max(e) FROM edges2)) END AS stratum FROM assigned WHERE split = 'train'"""
 
 
 def with_ctes(body: str) -> str:

@@ -9,6 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column used inside a lambda is substituted by its defining expression and would be recomputed for
+    every element; bound as the lambda's own variable it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def positions(length: Column) -> Column:
     """``[0, 1, ..., length-1]``; empty for a length of zero."""
     return F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(
@@ -27,19 +36,23 @@ def densify(points: Column, fill: Column, length: int) -> Column:
     Builds one piece per point (the fill run before it, then its value) and flattens, which is linear
     in the length; a map lookup per minute would be quadratic.
     """
-    n = F.size(points)
 
-    def piece(point, i):
-        previous = F.when(i > 0, F.get(points, i - 1)["minute"]).otherwise(F.lit(-1))
+    def build(points):
+        n = F.size(points)
+
+        def piece(point, i):
+            previous = F.when(i > 0, F.get(points, i - 1)["minute"]).otherwise(F.lit(-1))
+            return F.concat(
+                F.array_repeat(fill, point["minute"] - previous - 1), F.array(point["value"])
+            )
+
+        last = F.when(n > 0, F.get(points, n - 1)["minute"]).otherwise(F.lit(-1))
         return F.concat(
-            F.array_repeat(fill, point["minute"] - previous - 1), F.array(point["value"])
+            F.flatten(F.transform(points, piece)),
+            F.array_repeat(fill, F.lit(length - 1) - last),
         )
 
-    last = F.when(n > 0, F.get(points, n - 1)["minute"]).otherwise(F.lit(-1))
-    return F.concat(
-        F.flatten(F.transform(points, piece)),
-        F.array_repeat(fill, F.lit(length - 1) - last),
-    )
+    return let(points, build)
 
 
 def runs(flags: Column, min_length: int | Column) -> Column:
@@ -47,36 +60,44 @@ def runs(flags: Column, min_length: int | Column) -> Column:
 
     ``end`` is exclusive. NULL elements count as false.
     """
-    n = F.size(flags)
-    index = positions(n)
 
-    def on(i):
-        return F.coalesce(at(flags, i), F.lit(False))
+    def find(flags):
+        def on(i):
+            return F.coalesce(at(flags, i), F.lit(False))
+
+        index = positions(F.size(flags))
+        starts = F.filter(index, lambda i: on(i) & ~on(i - 1))
+        ends = F.transform(F.filter(index, lambda i: on(i) & ~on(i + 1)), lambda i: i + 1)
+        pairs = F.zip_with(
+            starts,
+            ends,
+            lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end")),
+        )
+        return F.filter(pairs, lambda r: (r["end"] - r["start"]) >= min_length)
 
-    starts = F.filter(index, lambda i: on(i) & ~on(i - 1))
-    ends = F.transform(F.filter(index, lambda i: on(i) & ~on(i + 1)), lambda i: i + 1)
-    pairs = F.zip_with(
-        starts, ends, lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
-    )
-    return F.filter(pairs, lambda r: (r["end"] - r["start"]) >= min_length)
+    return let(flags, find)
 
 
 def replace_runs(values: Column, run_list: Column, run_values) -> Column:
     """Replace each ``[start, end)`` run of ``values`` by ``run_values(run)`` (an array of that length)."""
-    n = F.size(run_list)
 
-    def piece(run, i):
-        previous = F.when(i > 0, F.get(run_list, i - 1)["end"]).otherwise(F.lit(0))
+    def build(values, run_list):
+        n = F.size(run_list)
+
+        def piece(run, i):
+            previous = F.when(i > 0, F.get(run_list, i - 1)["end"]).otherwise(F.lit(0))
+            return F.concat(
+                F.slice(values, previous + 1, F.greatest(run["start"] - previous, F.lit(0))),
+                run_values(run),
+            )
+
+        tail = F.when(n > 0, F.get(run_list, n - 1)["end"]).otherwise(F.lit(0))
         return F.concat(
-            F.slice(values, previous + 1, F.greatest(run["start"] - previous, F.lit(0))),
-            run_values(run),
+            F.flatten(F.transform(run_list, piece)),
+            F.slice(values, tail + 1, F.greatest(F.size(values) - tail, F.lit(0))),
         )
 
-    tail = F.when(n > 0, F.get(run_list, n - 1)["end"]).otherwise(F.lit(0))
-    return F.concat(
-        F.flatten(F.transform(run_list, piece)),
-        F.slice(values, tail + 1, F.greatest(F.size(values) - tail, F.lit(0))),
-    )
+    return let(values, lambda v: let(run_list, lambda r: build(v, r)))
 
 
 def observed(value: Column) -> Column:

@@ -100,82 +100,106 @@ def masked_to_nan(values: Column, mask: Column) -> Column:
 
 def fill_gaps(
     values: Column, mask: Column, threshold: int = C.HEART_RATE_GAP_MINUTES, method: str = "linear"
-) -> tuple[Column, Column]:
-    """Fill short gaps of one day; returns the new values and mask.
+) -> Column:
+    """Fill short gaps of one day; returns a struct of the new values and mask.
 
     A gap is a run of zeros with mask 1. It is masked when it reaches ``threshold``, touches either end of
     the day or has no valid point on any side. With one valid side the value is carried; with both it is
-    interpolated between the nearest valid points, which may lie beyond masked cells. Row-local.
+    interpolated between the nearest valid points, which may lie beyond masked cells. A day without a gap
+    stays as it is; in a day with one, masked cells become zero. Row-local.
     """
-    n = F.size(values)
-    index = A.positions(n)
-    open_cell = F.transform(mask, lambda m: F.coalesce(m > 0.5, F.lit(False)))
-    zipped = F.zip_with(values, open_cell, lambda v, o: o & (v == 0))
-    gaps = A.runs(zipped, 1)
-    valid = F.filter(index, lambda i: F.get(open_cell, i) & (F.get(values, i) != 0))
-    described = F.transform(
-        gaps,
-        lambda g: F.struct(
-            g["start"].alias("start"),
-            g["end"].alias("end"),
-            F.array_max(F.filter(valid, lambda i: i < g["start"])).alias("before"),
-            F.array_min(F.filter(valid, lambda i: i >= g["end"])).alias("after"),
-        ),
-    )
 
-    def give_up(g):
-        return (
-            ((g["end"] - g["start"]) >= threshold)
-            | (g["start"] == 0)
-            | (g["end"] == n)
-            | (g["before"].isNull() & g["after"].isNull())
+    def describe(values, mask, gaps):
+        valid = F.filter(
+            A.positions(F.size(values)),
+            lambda i: F.coalesce((F.get(mask, i) > 0.5) & (F.get(values, i) != 0), F.lit(False)),
+        )
+        return A.let(
+            valid,
+            lambda valid: F.transform(
+                gaps,
+                lambda g: F.struct(
+                    g["start"].alias("start"),
+                    g["end"].alias("end"),
+                    F.array_max(F.filter(valid, lambda i: i < g["start"])).alias("before"),
+                    F.array_min(F.filter(valid, lambda i: i >= g["end"])).alias("after"),
+                ),
+            ),
         )
 
-    def cell(g, i):
-        before, after = F.get(values, g["before"]), F.get(values, g["after"])
-        if method == "nearest":
-            inside = F.when((i - g["before"]) <= (g["after"] - i), before).otherwise(after)
-        else:
-            weight = (i - g["before"]) / (g["after"] - g["before"])
-            inside = before * (1 - weight) + after * weight
-        return F.when(g["before"].isNull(), after).when(g["after"].isNull(), before).otherwise(inside)
-
-    def new_values(g):
-        length = g["end"] - g["start"]
-        return F.when(give_up(g), F.array_repeat(F.lit(0.0), length)).otherwise(
-            F.transform(F.sequence(g["start"], g["end"] - 1), lambda i: cell(g, i))
+    def fill(values, mask, gaps):
+        n = F.size(values)
+
+        def give_up(g):
+            return (
+                ((g["end"] - g["start"]) >= threshold)
+                | (g["start"] == 0)
+                | (g["end"] == n)
+                | (g["before"].isNull() & g["after"].isNull())
+            )
+
+        def cell(g, i):
+            before, after = F.get(values, g["before"]), F.get(values, g["after"])
+            if method == "nearest":
+                inside = F.when((i - g["before"]) <= (g["after"] - i), before).otherwise(after)
+            else:
+                weight = (i - g["before"]) / (g["after"] - g["before"])
+                inside = before * (1 - weight) + after * weight
+            return F.when(g["before"].isNull(), after).when(g["after"].isNull(), before).otherwise(inside)
+
+        def new_values(g):
+            return F.when(
+                give_up(g), F.array_repeat(F.lit(0.0), g["end"] - g["start"])
+            ).otherwise(F.transform(F.sequence(g["start"], g["end"] - 1), lambda i: cell(g, i)))
+
+        def new_mask(g):
+            return F.array_repeat(F.when(give_up(g), F.lit(0)).otherwise(F.lit(1)), g["end"] - g["start"])
+
+        return A.let(
+            A.replace_runs(mask, gaps, new_mask),
+            lambda m: F.struct(
+                F.zip_with(
+                    A.replace_runs(values, gaps, new_values),
+                    m,
+                    lambda x, keep: F.when(keep > 0.5, x).otherwise(F.lit(0.0)),
+                ).alias("values"),
+                m.alias("mask"),
+            ),
         )
 
-    def new_mask(g):
-        return F.array_repeat(F.when(give_up(g), F.lit(0)).otherwise(F.lit(1)), g["end"] - g["start"])
+    def run(values, mask):
+        zero_and_open = F.zip_with(
+            values, mask, lambda x, keep: F.coalesce((x == 0) & (keep > 0.5), F.lit(False))
+        )
+        return A.let(
+            A.runs(zero_and_open, 1),
+            lambda gaps: F.when(
+                F.size(gaps) == 0, F.struct(values.alias("values"), mask.alias("mask"))
+            ).otherwise(A.let(describe(values, mask, gaps), lambda g: fill(values, mask, g))),
+        )
 
-    filled_mask = A.replace_runs(mask, described, new_mask)
-    filled = A.replace_runs(values, described, new_values)
-    return filled, filled_mask
+    return A.let(
+        F.transform(values, lambda x: x.cast("double")),
+        lambda v: A.let(F.transform(mask, lambda m: m.cast("int")), lambda m: run(v, m)),
+    )
 
 
 def fill_heart_rate(
-    df: DataFrame, threshold: int = C.HEART_RATE_GAP_MINUTES, method: str = "linear", only_channel: int | None = None
+    df: DataFrame,
+    threshold: int = C.HEART_RATE_GAP_MINUTES,
+    method: str = "linear",
+    only_channel: int | None = None,
 ) -> DataFrame:
-    """Gap filling on day rows; with ``only_channel`` the other channels pass unchanged.
-
-    Where a day had something to process, its masked cells become zero.
-    """
-    values, mask = F.col("values"), F.col("mask")
-    filled, filled_mask = fill_gaps(values, mask, threshold, method)
-    has_gap = F.exists(F.zip_with(values, mask, lambda v, m: (v == 0) & (m > 0.5)), lambda g: g)
-    applies = has_gap if only_channel is None else has_gap & (F.col("channel_idx") == only_channel)
-    out = df.withColumns(
-        {
-            "_values": F.when(applies, filled).otherwise(values),
-            "_mask": F.when(applies, filled_mask).otherwise(mask),
-            "_applies": applies,
-        }
+    """Gap filling on day rows; with ``only_channel`` the other channels pass unchanged."""
+    unchanged = F.struct(
+        F.transform("values", lambda x: x.cast("double")).alias("values"),
+        F.transform("mask", lambda m: m.cast("int")).alias("mask"),
     )
-    zeroed = F.zip_with("_values", "_mask", lambda v, m: F.when(m > 0.5, v).otherwise(F.lit(0.0)))
-    return out.withColumns(
-        {"values": F.when(F.col("_applies"), zeroed).otherwise(F.col("_values")), "mask": F.col("_mask")}
-    ).drop("_values", "_mask", "_applies")
+    filled = fill_gaps(F.col("values"), F.col("mask"), threshold, method)
+    if only_channel is not None:
+        filled = F.when(F.col("channel_idx") == only_channel, filled).otherwise(unchanged)
+    others = [c for c in df.columns if c not in ("values", "mask")]
+    return df.select(*others, F.inline(F.array(filled)))
 
 
 def standardise(df: DataFrame, params: DataFrame, epsilon: float = C.STD_EPSILON) -> DataFrame:

@@ -60,38 +60,50 @@ def greedy_windows(
     once: for day i it computes the earliest start that makes i the first day inside and reaches
     ``required`` days. Linear in the number of days.
     """
-    n = F.size(days)
-    last_start = F.get(days, n - 1) - (size - 1)
-    if required <= 0:
-        first = F.get(days, F.lit(0))
-        starts = F.when(last_start >= first, F.sequence(first, last_start, F.lit(size)))
-        return F.coalesce(starts, F.array().cast("array<int>"))
-    state = F.struct(
-        F.lit(-(2**31) + 1).alias("free_from"), F.array().cast("array<int>").alias("starts")
-    )
 
-    def step(acc, i):
-        start = F.greatest(acc["free_from"], _earliest_start(days, i, size, required))
-        take = (start <= F.get(days, i)) & (start <= last_start)
-        return F.struct(
-            F.when(take, start + size).otherwise(acc["free_from"]).alias("free_from"),
-            F.when(take, F.concat(acc["starts"], F.array(start))).otherwise(acc["starts"]).alias("starts"),
+
+    def select(days):
+        n = F.size(days)
+        last_start = F.get(days, n - 1) - (size - 1)
+        if required <= 0:
+            first = F.get(days, F.lit(0))
+            starts = F.when(last_start >= first, F.sequence(first, last_start, F.lit(size)))
+            return F.coalesce(starts, F.array().cast("array<int>"))
+        state = F.struct(
+            F.lit(-(2**31) + 1).alias("free_from"), F.array().cast("array<int>").alias("starts")
         )
 
-    return F.aggregate(A.positions(n - (required - 1)), state, step, lambda acc: acc["starts"])
+        def step(acc, i):
+            start = F.greatest(acc["free_from"], _earliest_start(days, i, size, required))
+            take = (start <= F.get(days, i)) & (start <= last_start)
+            return F.struct(
+                F.when(take, start + size).otherwise(acc["free_from"]).alias("free_from"),
+                F.when(take, F.concat(acc["starts"], F.array(start)))
+                .otherwise(acc["starts"])
+                .alias("starts"),
+            )
+
+        return F.aggregate(A.positions(n - (required - 1)), state, step, lambda acc: acc["starts"])
+
+    return A.let(days, select)
 
 
 def has_window(days: Column, size: int, max_missing: int) -> Column:
     """Whether some run of ``size`` days inside the span misses at most ``max_missing`` of them."""
-    n = F.size(days)
     required = size - max_missing
-    last_start = F.get(days, n - 1) - (size - 1)
-    if required <= 0:
-        return F.coalesce(last_start >= F.get(days, F.lit(0)), F.lit(False))
-    return F.exists(
-        A.positions(n - (required - 1)),
-        lambda i: _earliest_start(days, i, size, required) <= F.least(F.get(days, i), last_start),
-    )
+
+    def test(days):
+        n = F.size(days)
+        last_start = F.get(days, n - 1) - (size - 1)
+        if required <= 0:
+            return F.coalesce(last_start >= F.get(days, F.lit(0)), F.lit(False))
+        return F.exists(
+            A.positions(n - (required - 1)),
+            lambda i: _earliest_start(days, i, size, required)
+            <= F.least(F.get(days, i), last_start),
+        )
+
+    return A.let(days, test)
 
 
 def windows(
