@@ -164,20 +164,31 @@ GROUP BY s.participant_id, s.start_date, s.segment"""
 def _(spark, d):
     rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
     cut = samples.segments(rows)
-    values = F.transform("values", lambda v: v.cast("double"))
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), F.lit(0).alias("i"))
+    sums = F.aggregate(
+        "values",
+        zero,
+        lambda a, v: F.struct(
+            (a["t"] + v).alias("t"),
+            (a["w"] + v * (a["i"] + 1)).alias("w"),
+            (a["i"] + 1).alias("i"),
+        ),
+    )
     return cut.select(
         "participant_id",
         "start_date",
         "segment",
         F.size("values").alias("length"),
         F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
-        rounded(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 3).alias("total"),
-        rounded(
-            F.aggregate(
-                F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v
-            ),
-            2,
-        ).alias("weighted"),
+        F.inline(F.array(sums)),
+    ).select(
+        "participant_id",
+        "start_date",
+        "segment",
+        "length",
+        "observed",
+        rounded("t", 3).alias("total"),
+        rounded("w", 2).alias("weighted"),
     )
 
 

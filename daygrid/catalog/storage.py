@@ -182,12 +182,10 @@ def _(spark, d):
     f"""SELECT participant_id, date, feature_index, n, {rd('sum', 2)} AS sum, original_time_offset FROM stats""",
 )
 def _(spark, d):
-    """A first run over part of the input, a second over all of it, a third that finds nothing new."""
+    """A first run over half of the participants, a second over all of it, a third that finds nothing new."""
     days, stats = scratch_path(spark, "inc_days"), scratch_path(spark, "inc_stats")
     records = adapter.records(spark, d)
-    early = records.where(F.col("start_us") < 1_704_844_800_000_000)
-    # Only days that are complete in the first run: the records of the last day may still be arriving.
-    build_days(spark, early, days, stats)
+    build_days(spark, records.where(F.col("participant_id") % 2 == 0), days, stats)
     build_days(spark, records, days, stats)
     build_days(spark, records, days, stats)
     out = spark.read.parquet(stats)

@@ -87,14 +87,14 @@ def replace_runs(values: Column, run_list: Column, run_values) -> Column:
         def piece(run, i):
             previous = F.when(i > 0, F.get(run_list, i - 1)["end"]).otherwise(F.lit(0))
             return F.concat(
-                F.slice(values, previous + 1, F.greatest(run["start"] - previous, F.lit(0))),
+                cut(values, previous, run["start"] - previous),
                 run_values(run),
             )
 
         tail = F.when(n > 0, F.get(run_list, n - 1)["end"]).otherwise(F.lit(0))
         return F.concat(
             F.flatten(F.transform(run_list, piece)),
-            F.slice(values, tail + 1, F.greatest(F.size(values) - tail, F.lit(0))),
+            cut(values, tail, F.size(values) - tail),
         )
 
     return let(values, lambda v: let(run_list, lambda r: build(v, r)))
@@ -110,5 +110,8 @@ def nan_to(value: Column, replacement) -> Column:
 
 
 def cut(values: Column, start: Column, length: Column) -> Column:
-    """Zero-based slice."""
-    return F.slice(values, (start + 1).cast("int"), length.cast("int"))
+    """Zero-based slice for use inside a lambda, where ``slice`` would copy the whole array each time."""
+    return F.transform(
+        F.filter(positions(length), lambda i: start + i < F.size(values)),
+        lambda i: F.get(values, (start + i).cast("int")),
+    )
