@@ -152,8 +152,8 @@ def _(spark, d):
 
 
 SEGMENT_SQL = f"""SELECT s.participant_id, s.start_date, s.segment, CAST(720 AS INTEGER) AS length,
-CAST(count(m.value) FILTER (m.value <> 0) AS INTEGER) AS observed, {rd('coalesce(sum(m.value), 0)', 3)} AS total,
-{rd('coalesce(sum(m.value * (m.channel_idx * 30 + m.minute % 30 + 1)), 0)', 2)} AS weighted
+CAST(count(m.value) FILTER (m.value <> 0) AS INTEGER) AS observed, {rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)', 3)} AS total,
+{rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.channel_idx * 30 + m.minute % 30 + 1)), 0)', 2)} AS weighted
 FROM (SELECT participant_id, start_date, CAST(unnest(range(0, 336)) AS INTEGER) AS segment FROM win) s
 LEFT JOIN wmin m ON m.participant_id = s.participant_id AND m.start_date = s.start_date
   AND m.day_index * 48 + m.minute // 30 = s.segment

@@ -74,8 +74,8 @@ def compare(spark, con, name, query, sql, sf_dir):
         notes.append(f"columns {sorted(df.columns)} <> {sorted(columns)}")
     got, want = table_of(df.columns, rows), table_of(columns, expected)
     if got != want:
-        missing = [w for w in want if w not in set(got)][:3]
-        extra = [g for g in got if g not in set(want)][:3]
+        missing = sorted(set(want) - set(got))[:3]
+        extra = sorted(set(got) - set(want))[:3]
         notes.append(f"rows {len(got)} <> {len(want)}; only sql {missing}; only spark {extra}")
     return ("ok" if not notes else "DIFF") + f" {len(rows)}", spark_time, sql_time, notes
 
