@@ -32,9 +32,13 @@ def exact_quantiles(
     def sketch_point(p, low):
         # The extremes are exact (min / max), so rank 0 and rank n-1 are always inside.
         edge = (0.0 if low else 1.0)
+        extreme = F.col("_min") if low else F.col("_max")
         if math.isclose(p, edge):
-            return F.col("_min") if low else F.col("_max")
-        return F.get(F.col("_sketch"), F.lit(points.index(p)))
+            return extreme
+        # In a group no larger than the sketch the margin is below one rank; such a group is its own bracket.
+        return F.when(F.col("_n") <= accuracy, extreme).otherwise(
+            F.get(F.col("_sketch"), F.lit(points.index(p)))
+        )
 
     sketch = data.groupBy(*keys).agg(
         F.count("*").alias("_n"),

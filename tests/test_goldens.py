@@ -115,7 +115,8 @@ def test_gap_is_interpolated(spark):
     "days, starts",
     [
         ([1, 2, 3, 5, 7, 9, 10, 11, 12, 15], [1, 9]),
-        ([1, 2, 3, 4, 5, 20, 21, 22, 23, 24, 26], [1, 20]),
+        # The second window starts on day 18, the first candidate that reaches five days.
+        ([1, 2, 3, 4, 5, 20, 21, 22, 23, 24, 26], [1, 18]),
         ([1, 2, 3], []),
         ([], []),
     ],
