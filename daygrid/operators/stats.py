@@ -95,7 +95,9 @@ def standardization(stats: DataFrame) -> DataFrame:
     mean = F.try_divide("s", "n")
     variance = F.try_divide("q", "n") - mean * mean
     return totals.select(
-        "feature_index", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), variance)).alias("std_dev")
+        "feature_index",
+        mean.alias("mean"),
+        F.when(variance.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), variance))).alias("std_dev"),
     )
 
 
@@ -158,7 +160,8 @@ def group_report(by_group: DataFrame) -> DataFrame:
         .agg(
             F.sum("days").alias("days_with_coverage"),
             F.count_if(F.col("days") > 0).alias("unique_participants"),
-            F.floor(F.sum("coverage") * (C.MINUTES_PER_DAY / 100)).alias("estimated_data_points"),
+            # The product is a whole number of minutes; the small term keeps summation order out of it.
+            F.floor(F.sum("coverage") * (C.MINUTES_PER_DAY / 100) + F.lit(1e-6)).alias("estimated_data_points"),
         )
         .withColumn("modality_group", F.regexp_replace("modality_group", "_coverage_sum$", ""))
         .orderBy(F.desc("days_with_coverage"), "modality_group")
