@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import quality_rules, secret_scans, sql, url_filters
+from daygrid.llm import chat, mixing, packing, quality_classifier, quality_rules, secret_scans, sql, url_filters
 from daygrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,29 @@ def url_filters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_scans", sql.secret_scans())
 def secret_scans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.summarised(secret_scans.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op4_best_fit_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat_formatting", sql.chat())
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.formatted(chat.message_events(rows.unionByName(more))))
+
+
+@query("op5_quality_classifier")
+def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_mixing")
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = mixing.with_probability(table(spark, sf_dir, "documents"))
+    cell = [F.col(names[d]).alias(d) for d in (*mixing.DIMENSIONS, "weight", "probability", "kept")]
+    return rows.select("doc_id", *cell)

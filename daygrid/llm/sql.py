@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from daygrid.llm import chat as chat_format
 from daygrid.llm import secret_scans as secrets
 from daygrid.llm import url_filters as urls
 
@@ -117,3 +120,20 @@ sums AS (SELECT doc_id, {count}, {listed} AS spans, {listed} FILTER (WHERE kind
 SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.BASE)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN sums USING (doc_id)"""
+
+
+def chat() -> str:
+    """Sizes follow from the template: 9 characters a turn and one for each escaped string."""
+    control = "|".join(["\\\\", *[re.escape(c) for c in chat_format.CONTROL]])
+    added = lambda c, more="": f"length({c}) + len(regexp_extract_all({c}, {quoted(control + more)}))"
+    newline = r"|\n"
+    return f"""WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sums AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  sum({added('text')} + {added('role', newline)} + 9)::BIGINT AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM sums"""
