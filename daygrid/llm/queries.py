@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import chat, mixing, packing, quality_classifier, quality_rules, secret_scans, sql, url_filters
+from daygrid.llm import (
+    chat,
+    embedding_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scans,
+    signature_join,
+    sql,
+    url_filters,
+)
 from daygrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +77,13 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = mixing.with_probability(table(spark, sf_dir, "documents"))
     cell = [F.col(names[d]).alias(d) for d in (*mixing.DIMENSIONS, "weight", "probability", "kept")]
     return rows.select("doc_id", *cell)
+
+
+@query("op6_ngram_jaccard_join")
+def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op9_embedding_near_dedup")
+def embedding_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
