@@ -64,6 +64,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Places in a bitset that is sent to all tasks: 2 MB, whatever the data.
+FILTER_BITS = 1 << 24
+
+
+def bitset(places: DataFrame) -> np.ndarray:
+    """Bits at the values of ``place`` (0 to ``FILTER_BITS`` - 1): at most ``FILTER_BITS`` / 64 rows reach the driver."""
+    words = places.groupBy((F.col("place") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")
+    )
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, bits in words.toPandas().itertuples(index=False):
+        out[w] = bits
+    return out.view(np.uint64)
+
+
+def contains(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether a bit stands at each place; false hits are possible where others share a place."""
+    return (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgets everything when it has grown to ``WORDS_KEPT``."""
 

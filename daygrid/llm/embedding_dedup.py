@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filters are directions from a structured random product code: a random rotation, then one of a few random words per
+Filters are directions from structured random product codes: a random rotation, then one of a few random words per
 block of coordinates; a direction is one word from each block, so a small code stands for a great many directions. A
 vector is decoded to the list of *all* directions whose cosine with it exceeds a level. Vectors of one label that share
-a direction are compared by cosine in double precision. Two vectors at cosine 0.98 miss all of some fifty common
-directions with negligible probability; the tests and the README give the measured recall.
+a direction are compared by cosine in double precision. Lists of a single code vary much in length; several codes with
+rotations of their own even this out. The README gives the measured recall.
 
 Equal vectors of a label are one class with a number of copies and are never paired. Classes meet per (label, direction)
 in blocks of about ``BLOCK``; a task compares two blocks by matrix product and returns, per class, the number of links
@@ -30,20 +30,23 @@ from daygrid.llm import graph
 from daygrid.llm.common import stored
 
 COSINE = 0.98
-#: Directions a vector exceeds, on average; unrelated vectors of its label expected at each.
-LIST, CROWD = 48, 0.25
+#: Codes, each with a rotation of its own; directions of a code that a vector exceeds, on average.
+CODES, LIST = 20, 8
+#: Share of all vectors above a direction's level: at most this, and so that few unrelated vectors of a label meet.
+SHARE, CROWD = 3e-5, 0.25
 #: Coordinates are cut into so many blocks; no level is above the highest (a cap must be wider than a link is long).
 PARTS, HIGHEST = 4, 0.85
 SEED = 20240
 BLOCK = 1024
+ROWS_AT_ONCE = 512
 
 
 class Code:
-    """Directions for vectors of one length, dense enough for ``population`` vectors of a label."""
+    """One product code for vectors of one length, dense enough for ``population`` vectors of a label."""
 
-    def __init__(self, dim: int, population: int):
-        rng = np.random.default_rng([SEED, dim])
-        share = min(3e-5, CROWD / max(population, 1))
+    def __init__(self, dim: int, population: int, number: int):
+        rng = np.random.default_rng([SEED, dim, number])
+        share = min(SHARE, CROWD / max(population, 1))
         self.level = min(HIGHEST, NormalDist().inv_cdf(1 - share) / np.sqrt(dim))
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.blocks = np.array_split(np.arange(dim), min(PARTS, dim))
@@ -53,26 +56,40 @@ class Code:
         while True:
             words = [rng.normal(size=(size, len(b))) for b in self.blocks]
             self.words = [w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(words)) for w in words]
-            self.size = size
-            if np.mean([len(self.decode(v)) for v in probe]) >= LIST:
+            if len(self.decode(probe)[0]) >= LIST * len(probe):
                 break
             size = max(size + 1, size * 9 // 8)
 
-    def decode(self, unit: np.ndarray) -> np.ndarray:
-        """All directions whose cosine with ``unit`` exceeds the level, as sorted numbers.
+    def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All directions whose cosine with a row of ``units`` exceeds the level: (row, number of the direction).
 
         Block by block, partial directions are dropped that even the best remaining words cannot lift above the level.
         """
-        v = self.rotation @ unit
-        scores = [w @ v[b] for w, b in zip(self.words, self.blocks, strict=True)]
-        best = np.cumsum([0.0] + [s.max() for s in scores[:0:-1]])[::-1]
-        total, number = np.zeros(1), np.zeros(1, np.int64)
-        for s, rest in zip(scores, best, strict=True):
-            sums = (total[:, None] + s[None]).ravel()
-            numbers = (number[:, None] * len(s) + np.arange(len(s))[None]).ravel()
-            ok = sums + rest > self.level
-            total, number = sums[ok], numbers[ok]
-        return np.sort(number)
+        turned = units @ self.rotation.T
+        scores = [turned[:, b] @ w.T for w, b in zip(self.words, self.blocks, strict=True)]
+        rest = np.zeros(len(units))
+        bounds = []
+        for s in scores[::-1]:
+            bounds.append(rest)
+            rest = rest + s.max(1)
+        row, total, number = np.arange(len(units)), np.zeros(len(units)), np.zeros(len(units), np.int64)
+        for s, bound in zip(scores, bounds[::-1], strict=True):
+            sums = total[:, None] + s[row]
+            at, word = np.nonzero(sums + bound[row][:, None] > self.level)
+            row, total, number = row[at], sums[at, word], number[at] * s.shape[1] + word
+        return row, number
+
+
+def directions(units: np.ndarray, codes: list[Code]) -> list[np.ndarray]:
+    """The sorted directions of each row over all codes; a code's number stands in the high bits."""
+    rows, numbers = [], []
+    for k, code in enumerate(codes):
+        row, number = code.decode(units)
+        rows.append(row)
+        numbers.append(number + (k << 48))
+    row, number = np.concatenate(rows), np.concatenate(numbers)
+    order = np.lexsort((number, row))
+    return np.split(number[order], np.cumsum(np.bincount(row, minlength=len(units)))[:-1])
 
 
 def usable(embedding: str = "embedding", label: str = "label") -> Column:
@@ -84,21 +101,35 @@ def usable(embedding: str = "embedding", label: str = "label") -> Column:
 
 
 def decoded(classes: DataFrame, population: int) -> DataFrame:
-    """Add ``directions`` to (cid, label, copies, vector)."""
+    """(cid, label, dim, direction) for every direction of every class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, list[Code]] = {}
         for batch in batches:
-            lists = []
-            for v in batch.column("vector").to_pylist():
-                x = np.array(v, np.float64)
-                x = x / np.abs(x).max()
-                if len(x) not in codes:
-                    codes[len(x)] = Code(len(x), population)
-                lists.append(codes[len(x)].decode(x / np.linalg.norm(x)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "directions"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{schema}, directions array<bigint>")
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                vectors = part.column(2).to_pylist()
+                dims = np.array([len(v) for v in vectors])
+                for dim in map(int, np.unique(dims)):
+                    if dim not in codes:
+                        codes[dim] = [Code(dim, population, k) for k in range(CODES)]
+                    own = np.flatnonzero(dims == dim)
+                    x = np.array([vectors[i] for i in own], np.float64)
+                    x /= np.abs(x).max(1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    lists = directions(x, codes[dim])
+                    again = pa.array(np.repeat(own, [len(d) for d in lists]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0).take(again),
+                            part.column(1).take(again),
+                            pa.array(np.full(len(again), dim, np.int32)),
+                            pa.array(np.concatenate(lists)),
+                        ],
+                        ["cid", "label", "dim", "direction"],
+                    )
+
+    label = classes.schema["label"].dataType.simpleString()
+    return classes.select("cid", "label", "vector").mapInArrow(run, f"cid long, label {label}, dim int, direction long")
 
 
 def _reach(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -162,18 +193,20 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     classes = good.groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    lists = stored(decoded(classes.select("cid", "label", "copies", "vector"), largest), "vector-directions")
-
-    meet = lists.select("cid", "label", F.size("vector").alias("dim"), F.explode("directions").alias("direction"))
-    crowds = meet.groupBy("label", "dim", "direction").agg(F.count("*").alias("n")).filter("n > 1")
-    crowds = crowds.select("label", "dim", "direction", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    tasks = meet.join(crowds, ["label", "dim", "direction"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    every = decoded(classes, largest)
+    key = ["label", "dim", "direction"]
+    crowds = every.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    crowds = crowds.select(*key, F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    meet = stored(every.join(crowds, key).select("cid", "dim", "direction", "blocks"), "vector-directions")
+    # What a task needs of a class: its vector and the directions it shares with others.
+    lists = meet.groupBy("cid").agg(F.array_sort(F.collect_list("direction")).alias("directions"))
+    lists = classes.select("cid", "label", "copies", "vector").join(lists, "cid")
+    tasks = meet.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select(
-        F.col("cid").alias("c"), "direction", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        F.col("cid").alias("c"), "dim", "direction", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    members = lists.join(tasks, F.col("cid") == F.col("c")).withColumn("dim", F.size("vector"))
-    found = members.select("label", "dim", "direction", "i", "j", "block", "cid", "copies", "vector", "directions")
+    found = lists.join(tasks, F.col("cid") == F.col("c")).drop("c")
     found = stored(found.groupBy("label", "dim", "direction", "i", "j").applyInArrow(compare, "cid long, links long, other long"), "vector-links")
 
     n = found.filter("other IS NULL").groupBy(F.col("cid").alias("c")).agg(F.sum("links").alias("links"))

@@ -17,6 +17,7 @@ from daygrid.llm import (
     secret_scans,
     signature_join,
     sql,
+    suffix_dedup,
     url_filters,
 )
 from daygrid.llm.common import table
@@ -87,3 +88,8 @@ def jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_near_dedup")
 def embedding_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_suffix_array_dedup")
+def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
