@@ -81,6 +81,5 @@ def _(spark, d):
 def _(spark, d):
     return export.feature_count(
         samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
-        .where("day_index = 0")
         .select(*samples.SAMPLE, "channel_idx")
     )

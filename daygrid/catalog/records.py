@@ -60,11 +60,11 @@ _type_rule("f10_heart_rate", C.HEART_RATE)
 
 @query(
     "f09b_stand_time_rate_only",
-    f"""SELECT record_id FROM timed WHERE type = '{C.STAND_TIME}'
-AND coalesce(value >= 0 AND d <> 0 AND value * 60 / nullif(d, 0) <= 1, false)""",
+    f"""SELECT record_id FROM timed WHERE coalesce(type, '') <> '{C.STAND_TIME}'
+OR coalesce(value >= 0 AND d <> 0 AND value * 60 / nullif(d, 0) <= 1, false)""",
 )
 def _(spark, d):
-    df = clean.normalise_units(adapter.records(spark, d)).where(F.col("type") == C.STAND_TIME)
+    df = clean.normalise_units(adapter.records(spark, d))
     return clean.keep_plausible_type(df, C.STAND_TIME, compat=False).select("record_id")
 
 

@@ -23,6 +23,7 @@ def _(spark, d):
 
 
 TEXT_COLUMNS = [f"{c}_value_str" for c in C.LABELS]
+STRATA = ", ".join(f'"{c}"' for c in TEXT_COLUMNS)
 
 
 @query(
@@ -38,15 +39,12 @@ def _(spark, d):
 
 @query(
     "p04_split_by_label_values",
-    """SELECT participant_id, CASE WHEN row_number() OVER (PARTITION BY a, b ORDER BY md5('42:' || participant_id), participant_id)
-  <= round(count(*) OVER (PARTITION BY a, b) * 0.2e0) THEN 'test' ELSE 'train' END AS split
-FROM (SELECT participant_id, round_even(avg("Diabetes_value"), 0) AS a, round_even(avg(sleep_diagnosis1_value), 0) AS b
-  FROM flat SEMI JOIN (SELECT * FROM info WHERE sharing_scope = 'all_qualified_researchers') USING (participant_id)
-  GROUP BY participant_id)""",
+    f"""SELECT participant_id, CASE WHEN row_number() OVER (PARTITION BY {STRATA} ORDER BY md5('42:' || participant_id), participant_id)
+  <= round(count(*) OVER (PARTITION BY {STRATA}) * 0.2e0) THEN 'test' ELSE 'train' END AS split
+FROM ({TEXT_SQL}) SEMI JOIN (SELECT * FROM info WHERE sharing_scope = 'all_qualified_researchers') USING (participant_id)""",
 )
 def _(spark, d):
-    flat = stages.flat(spark, d).select("participant_id", "Diabetes_value", "sleep_diagnosis1_value")
-    return splits.split_by_label_values(flat, adapter.participant_info(spark, d), check=False)
+    return splits.split_by_label_values(stages.flat(spark, d), adapter.participant_info(spark, d), check=False)
 
 
 @query("p05_clusters")

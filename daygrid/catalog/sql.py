@@ -34,7 +34,7 @@ SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, ts,
     WHEN event_type = 'signup' THEN 'HKQuantityTypeIdentifierDistanceCycling'
     ELSE 'HKQuantityTypeIdentifierHeartRate' END AS qtype,
   CAST(CASE WHEN event_id % 101 = 0 THEN -10 WHEN event_id % 103 = 0 THEN 90000
-    WHEN event_id % 7 = 1 THEN 0 ELSE floor(value * 60) END AS BIGINT) AS dur,
+    WHEN event_id % 17 = 0 THEN 20000 WHEN event_id % 7 = 1 THEN 0 ELSE floor(value * 60) END AS BIGINT) AS dur,
   CAST(((event_id % 7) - 3) * 60 AS INTEGER) AS so
 FROM events"""
 
@@ -50,8 +50,9 @@ SELECT user_id AS participant_id, event_id AS record_id, modality,
     WHEN modality = 'motion' THEN NULL
     WHEN modality = 'healthkit' AND qtype = '{C.STAND_TIME}' THEN (event_id % 40) * 1e-3
     WHEN modality = 'healthkit' AND qtype = '{C.HEART_RATE}' THEN 3e-1 + (event_id % 400) * 1e-2
+    WHEN modality = 'healthkit' AND event_id % 17 = 0 THEN 0
     ELSE greatest(dur, 1) * ((event_id * 7919) % 3000 - 100) / 1e2 END AS value,
-  CASE WHEN modality = 'motion' THEN CAST(event_id % 3 AS DOUBLE) END AS confidence,
+  CASE WHEN modality = 'motion' THEN ((event_id // 6) % 4) * 1e-1 END AS confidence,
   {_list(UNITS)}[event_id % 12 + 1] AS unit, event_type AS source,
   CASE WHEN event_id % 4 = 0 THEN 'org.other.' ELSE 'com.apple.health.' END || event_type AS source_identifier,
   CAST(event_id % 3 AS VARCHAR) AS app_version
@@ -216,7 +217,7 @@ SELECT w.participant_id, w.start_day AS start_date, w.start_day + 6 AS end_date,
 FROM walk w JOIN quality q ON q.participant_id = w.participant_id AND q.date BETWEEN w.start_day AND w.start_day + 6
 WHERE w.start_day IS NOT NULL GROUP BY w.participant_id, w.start_day"""
 
-CTES["lab0"] = """
+CTES["answers0"] = """
 SELECT user_id AS participant_id, ts AS created_on, event_id AS seq,
   CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 2 AS DOUBLE) END AS sleep_diagnosis1,
   CASE WHEN event_id % 4 <> 3 THEN CAST(event_id % 11 AS DOUBLE) END AS happiness,
@@ -228,6 +229,17 @@ SELECT user_id AS participant_id, ts AS created_on, event_id AS seq,
   CASE WHEN user_id % 5 = 0 THEN CAST(event_id % 2 AS DOUBLE) END AS "Hypertension"
 FROM events WHERE event_type = 'purchase'"""
 
+CTES["lab0"] = """
+SELECT participant_id, created_on, seq, CASE WHEN participant_id % 13 <> 4 THEN sleep_diagnosis1 END AS sleep_diagnosis1,
+  CASE WHEN participant_id % 13 <> 4 THEN happiness END AS happiness,
+  CASE WHEN participant_id % 13 <> 4 THEN heart_disease END AS heart_disease,
+  CASE WHEN participant_id % 13 <> 4 THEN feel_worthwhile1 END AS feel_worthwhile1,
+  CASE WHEN participant_id % 13 <> 4 THEN feel_worthwhile2 END AS feel_worthwhile2,
+  CASE WHEN participant_id % 13 <> 4 THEN feel_worthwhile3 END AS feel_worthwhile3,
+  CASE WHEN participant_id % 13 <> 4 THEN "Diabetes" END AS "Diabetes",
+  CASE WHEN participant_id % 13 <> 4 THEN "Hypertension" END AS "Hypertension"
+FROM answers0"""
+
 _SCALAR_LABELS = [c for c in C.LABELS if c not in C.LIST_LABELS]
 CTES["lab"] = (
     " UNION ALL ".join(

@@ -348,7 +348,7 @@ def _(spark, d):
     return rounded_all(labels.label_means(stages.flat(spark, d)))
 
 
-NO_LABEL = "coalesce(" + ", ".join(f'"{c}_value"' for c in C.LABELS[:3]) + ") IS NULL"
+NO_LABEL = "coalesce(" + ", ".join(f'"{c}_value"' for c in C.LABELS) + ") IS NULL"
 
 
 @query(
@@ -357,10 +357,7 @@ NO_LABEL = "coalesce(" + ", ".join(f'"{c}_value"' for c in C.LABELS[:3]) + ") IS
 GROUP BY participant_id HAVING bool_or({NO_LABEL})""",
 )
 def _(spark, d):
-    some = stages.flat(spark, d).select(
-        "participant_id", *[f"{c}_value" for c in C.LABELS[:3]]
-    )
-    return labels.participants_without_labels(some)
+    return labels.participants_without_labels(stages.flat(spark, d))
 
 
 @query(

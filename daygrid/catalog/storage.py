@@ -128,14 +128,14 @@ def _(spark, d):
 
 @query(
     "s09_nested_json",
-    'SELECT participant_id, start_date, happiness_value, "Diabetes_value" FROM flat',
+    "SELECT participant_id, start_date, " + ", ".join(f'"{c}_value"' for c in C.LABELS) + " FROM flat",
 )
 def _(spark, d):
     path = scratch_path(spark, "nested")
     files.write_json(stages.labelled(spark, d), path)
     back = spark.read.schema(stages.labelled(spark, d).schema).json(path)
     return labels.flatten_labels(back).select(
-        "participant_id", "start_date", "happiness_value", "Diabetes_value"
+        "participant_id", "start_date", *[f"{c}_value" for c in C.LABELS]
     )
 
 
@@ -230,7 +230,7 @@ def _(spark, d):
 @query(
     "s16_label_csv",
     """SELECT event_id AS seq, CASE WHEN event_id % 13 = 0 THEN NULL ELSE epoch_us(ts) // 1000000 END AS created_s,
-CASE WHEN event_id % 3 = 0 THEN '[1. 10.]' WHEN event_id % 3 = 1 THEN '[]' END AS heart_disease
+CASE WHEN user_id % 13 = 4 THEN NULL WHEN event_id % 3 = 0 THEN '[1. 10.]' WHEN event_id % 3 = 1 THEN '[]' END AS heart_disease
 FROM events WHERE event_type = 'purchase'""",
 )
 def _(spark, d):

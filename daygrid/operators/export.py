@@ -82,7 +82,7 @@ def feature_count(flat: DataFrame) -> DataFrame:
     """Number of channels per sample, to fix the schema; more than one row means uneven samples."""
     return (
         flat.groupBy(*SAMPLE)
-        .agg(F.count("*").alias("features"))
+        .agg(F.count_distinct("channel_idx").alias("features"))
         .groupBy("features")
         .agg(F.count("*").alias("samples"))
     )

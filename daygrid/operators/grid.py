@@ -54,42 +54,44 @@ def second_intervals(parts: DataFrame) -> DataFrame:
     )
 
 
+#: Values are summed as whole multiples of 2^-60, in two longs: multiples of 2^-24 and what is left of them. Sums of
+#: longs are exact, so a value that ends leaves nothing behind. A value times its overlap may reach 2^39; beyond that
+#: the query fails.
+COARSE, FINE = float(1 << 24), float(1 << 36)
+
+
 def mean_segments(intervals: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Segments ``[sec, sec_end)`` of constant mean over the intervals covering them.
 
     Edges are summed per second first (map-side, then on the full key), so the running sums see at most
-    86,401 rows per day and channel however many records a day has. Sums restart where nothing covers,
-    which keeps rounding errors inside one covered stretch.
+    86,401 rows per day and channel however many records a day has.
     """
+    scaled = F.col("v") * F.lit(COARSE)
+    coarse = F.floor(scaled)
+    fine = ((scaled - coarse) * F.lit(FINE)).cast("long")
+    valued = intervals.where((F.col("s") < F.col("e")) & F.col("v").isNotNull()).select(
+        *key, "s", "e", coarse.alias("coarse"), fine.alias("fine")
+    )
+
+    def edge(at: str, sign: int) -> Column:
+        parts = [(F.lit(sign) * F.col(c)).alias(f"d_{c}") for c in ("coarse", "fine")]
+        return F.struct(F.col(at).alias("sec"), F.lit(sign).alias("dn"), *parts)
+
     edges = (
-        intervals.select(
-            *key,
-            F.inline(
-                F.when(
-                    (F.col("s") < F.col("e")) & F.col("v").isNotNull(),
-                    F.array(
-                        F.struct(F.col("s").alias("sec"), F.lit(1).alias("dn"), F.col("v").alias("dv")),
-                        F.struct(F.col("e").alias("sec"), F.lit(-1).alias("dn"), (-F.col("v")).alias("dv")),
-                    ),
-                )
-            ),
-        )
+        valued.select(*key, F.inline(F.array(edge("s", 1), edge("e", -1))))
         .groupBy(*key, "sec")
-        .agg(F.sum("dn").alias("dn"), F.sum("dv").alias("dv"))
+        .agg(*[F.sum(c).alias(c) for c in ("dn", "d_coarse", "d_fine")])
     )
     by_time = Window.partitionBy(*key).orderBy("sec")
     running = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    stretch = (
-        Window.partitionBy(*key, "stretch").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    total = F.col("coarse") / F.lit(COARSE) + F.col("fine") / F.lit(COARSE * FINE)
     return (
         edges.withColumn("n", F.sum("dn").over(running))
+        .withColumn("coarse", F.sum("d_coarse").over(running))
+        .withColumn("fine", F.sum("d_fine").over(running))
         .withColumn("sec_end", F.lead("sec").over(by_time))
-        .withColumn("opens", F.when(F.col("n") == F.col("dn"), 1).otherwise(0))
-        .withColumn("stretch", F.sum("opens").over(running))
-        .withColumn("total", F.sum("dv").over(stretch))
         .where("n > 0")
-        .select(*key, "sec", "sec_end", (F.col("total") / F.col("n")).alias("v"))
+        .select(*key, "sec", "sec_end", (total / F.col("n")).alias("v"))
     )
 
 
@@ -158,12 +160,8 @@ def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
     mask = F.when(empty, F.array_repeat(F.lit(0).cast("tinyint"), n)).otherwise(
         observation_mask(F.col("values"))
     )
-    # The rows grow by two orders of magnitude after the join, so the number of tasks is fixed before it;
-    # adaptive coalescing would size them by the small sparse input.
-    tasks = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         channel_days(days)
-        .repartition(tasks, *KEY)
         .join(sparse, KEY, "left")
         .select(*KEY, "points", values.alias("values"))
         .select(*KEY, "values", mask.alias("mask"))

@@ -152,7 +152,8 @@ def clusters(features: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     table = R.one_hot(R.scaled_features(features, numeric, "biological_sex"), "biological_sex", levels)
     inputs = numeric + [f"biological_sex_{v}" for v in levels]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(table).select(ROW, "features")
-    k = min(k, vectors.limit(k).count())
+    # No more clusters than participants, as published.
+    k = min(k, vectors.count())
     if k <= 1:
         return vectors.select(ROW, F.lit(0).alias("cluster"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)

@@ -13,26 +13,12 @@ from pyspark.sql import functions as F
 from daygrid.operators import grid, intervals, labels, stats, windows
 from daygrid.plans.grid import record_parts
 from daygrid.sources import adapter, files
-from daygrid.sources.session import pin_session, scratch_path
+from daygrid.sources.session import stored_stage
 
 # Thresholds fitting the driver's tables, where a participant has about two records a day.
 MIN_COVERAGE = 0.1
 MIN_CHANNELS = 1
 
-_written: dict[tuple[str, str, str], str] = {}
-
-
-def _stage(spark: SparkSession, sf_dir: str, name: str, build, partition: str | None = None) -> DataFrame:
-    pin_session(spark)
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = scratch_path(spark, name)
-        writer = build().write
-        (writer.partitionBy(partition) if partition else writer).parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_parts(adapter.records(spark, sf_dir))
 
@@ -52,15 +38,15 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
             intervals.output_days(p), ["participant_id", "date"], "left_semi"
         )
 
-    return _stage(spark, sf_dir, "minutes", build)
+    return stored_stage(spark, sf_dir, "minutes", build)
 
 
 def day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(spark, sf_dir, "day_index", lambda: intervals.day_index(parts(spark, sf_dir)))
+    return stored_stage(spark, sf_dir, "day_index", lambda: intervals.day_index(parts(spark, sf_dir)))
 
 
 def day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(
+    return stored_stage(
         spark,
         sf_dir,
         "day_stats",
@@ -69,7 +55,7 @@ def day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(
+    return stored_stage(
         spark,
         sf_dir,
         "day_channel",
@@ -82,11 +68,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(spark, sf_dir, "windows", lambda: windows.windows(quality(spark, sf_dir)))
+    return stored_stage(spark, sf_dir, "windows", lambda: windows.windows(quality(spark, sf_dir)))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(
+    return stored_stage(
         spark,
         sf_dir,
         "labelled",

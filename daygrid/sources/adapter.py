@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from daygrid import constants as C
 from daygrid.functions import time as T
-from daygrid.sources.session import pin_session
+from daygrid.sources.session import pin_session, stored_stage
 
 UNITS = ["m", "ft", "km", "mi", "cm", "in", "lb", "g", "mph", "fl_oz", "cal", "count/s"]
 
@@ -25,7 +25,15 @@ def _pick(values: list[str], index: Column) -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval records of all modalities and participants, one union table."""
+    """Interval records of all modalities and participants, one union table.
+
+    Stored once: the rules that derive the records would otherwise be repeated in every later predicate, which exceeds
+    the size of one generated method. Readers of the stored table prune columns and push filters down.
+    """
+    return stored_stage(spark, sf_dir, "records", lambda: derived_records(spark, sf_dir))
+
+
+def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     e = F.col("event_id")
     last_digit = e % 10
@@ -46,6 +54,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     duration = (
         F.when(e % 101 == 0, F.lit(-10))
         .when(e % 103 == 0, F.lit(90000))
+        .when(e % 17 == 0, F.lit(20000))
         .when(e % 7 == 1, F.lit(0))
         .otherwise(F.floor(F.col("value") * 60))
         .cast("long")
@@ -62,6 +71,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("modality") == C.SLEEP, F.col("_dur").cast("double"))
         .when(is_quantity & (F.col("_q") == C.STAND_TIME), (e % 40) * F.lit(0.001))
         .when(is_quantity & (F.col("_q") == C.HEART_RATE), F.lit(0.3) + (e % 400) * F.lit(0.01))
+        .when(is_quantity & (e % 17 == 0), F.lit(0.0))
         .otherwise(F.greatest(F.col("_dur"), F.lit(1)) * ((e * 7919) % 3000 - 100) / F.lit(100.0))
     )
     fields = [
@@ -83,7 +93,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_start_offset").alias("start_offset"),
         (F.col("_start_offset") + F.when(e % 53 == 0, 60).otherwise(0)).cast("int").alias("end_offset"),
         F.when(F.col("modality") != C.MOTION, value).alias("value"),
-        F.when(F.col("modality") == C.MOTION, (e % 3).cast("double")).alias("confidence"),
+        F.when(F.col("modality") == C.MOTION, (F.floor(e / 6) % 4) * F.lit(0.1)).alias("confidence"),
         _pick(UNITS, e % 12).alias("unit"),
         F.col("event_type").alias("source"),
         F.when(e % 4 == 0, F.concat(F.lit("org.other."), F.col("event_type")))
@@ -91,15 +101,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("source_identifier"),
         (e % 3).cast("string").alias("app_version"),
     ]
-    # One struct per row through a generator: the derivation rules are evaluated once here instead of
-    # being substituted into every later predicate, which would exceed the size of one generated method.
     return df.select(F.inline(F.array(F.struct(*fields))))
 
 
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey answers, wide, from ``purchase`` events. ``seq`` is the input order."""
     e = F.col("event_id")
-    return (
+    answers = (
         table(spark, sf_dir, "events")
         .where(F.col("event_type") == "purchase")
         .select(
@@ -116,6 +124,10 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("user_id") % 5 == 0, (e % 2).cast("double")).alias("Hypertension"),
         )
     )
+    # Some participants leave every question open.
+    kept = ["participant_id", "created_on", "seq"]
+    answered = F.col("participant_id") % 13 != 4
+    return answers.select(*kept, *[F.when(answered, F.col(c)).alias(c) for c in answers.columns if c not in kept])
 
 
 def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,20 +61,24 @@ def read_modality(
     path: str,
     schema: T.StructType,
     participant_pattern: str | None = None,
+    lenient: bool = False,
 ) -> DataFrame:
     """Records of one modality. With a pattern the participant comes from each file's path, else the
-    table is shared and has its own participant column. Unreadable files and a missing folder give no
-    rows."""
+    table is shared and has its own participant column.
+
+    Unreadable files and a missing folder fail the read. With ``lenient`` they give no rows; ``skipped_files`` lists
+    the files that are left out.
+    """
+    flag = "true" if lenient else "false"
     reader = (
         spark.read.schema(schema)
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", flag)
+        .option("ignoreMissingFiles", flag)
         .option("recursiveFileLookup", "true")
     )
-    try:
-        df = reader.parquet(path)
-    except AnalysisException:
+    if lenient and not exists(spark, path):
         return spark.createDataFrame([], schema)
+    df = reader.parquet(path)
     if participant_pattern is None:
         return df
     columns = [F.col(c) for c in df.columns if c != "participant_id"]
@@ -81,6 +86,27 @@ def read_modality(
     return df.select(participant.alias("participant_id"), *columns).select(*schema.names)
 
 
+def skipped_files(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Files below ``path`` that a lenient read leaves out: those that give no row but are not empty tables."""
+    if not exists(spark, path):
+        return []
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = listed.where(F.col("path").endswith(".parquet") & (F.col("length") > 0)).select("path")
+    read = read_modality(spark, path, schema, lenient=True).select(F.col("_metadata.file_path").alias("path")).distinct()
+    empty = {r["path"] for r in listed.join(read, "path", "left_anti").collect()}
+
+    def broken(file: str) -> bool:
+        try:
+            spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(file).write.format("noop").mode(
+                "overwrite"
+            ).save()
+        except Exception:  # noqa: BLE001  whatever the reader objects to, the file was left out
+            return True
+        return False
+
+    return sorted(f for f in empty if broken(f))
+
+
 def with_micros(df: DataFrame, start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Replace timestamp columns by ``start_us`` / ``end_us``."""
     out = df.withColumn("start_us", TM.to_micros(F.col(start))).drop(start)
@@ -234,24 +260,40 @@ def read_standardization(spark: SparkSession, path: str, first: int | None = Non
 
 
 def standardization_dict(params: DataFrame) -> dict[int, tuple[float, float]]:
-    """Parameters as a mapping; one row per channel, 24 at most."""
-    return {r["feature_index"]: (r["mean"], r["std_dev"]) for r in params.limit(C.N_CHANNELS).collect()}
+    """Parameters as a mapping; one row per channel, 24 at most. A channel given twice is an error."""
+    index = F.col("feature_index")
+    per_channel = params.where((index >= 0) & (index < C.N_CHANNELS)).groupBy("feature_index").agg(
+        F.count("*").alias("n"), F.max("mean").alias("mean"), F.max("std_dev").alias("std_dev")
+    )
+    rows = per_channel.collect()
+    twice = sorted(r["feature_index"] for r in rows if r["n"] > 1)
+    if twice:
+        raise ValueError(f"standardization parameters given more than once for channels {twice}")
+    return {r["feature_index"]: (r["mean"], r["std_dev"]) for r in rows}
 
 
 # --- processed samples --------------------------------------------------------------------------------
 
 
-def sample_key(kind: str, transforms: list[str], indices: list[int] | None, stats: dict | None) -> str:
-    """Key of a processed sample table: everything that changes its content."""
-    text = json.dumps([kind, transforms, indices, sorted((stats or {}).items())])
+def sample_key(
+    kind: str, transforms: list[str], indices: list[int] | None, stats: dict | None, *inputs: str
+) -> str:
+    """Key of a processed sample table: everything that changes its content, also digests of the tables it reads."""
+    text = json.dumps([kind, transforms, indices, sorted((stats or {}).items()), inputs])
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
 def materialised(
     spark: SparkSession, folder: str, key: str, build, force: bool = False
 ) -> DataFrame:
-    """Read the processed table of ``key``, building it first when absent or forced."""
-    path = f"{folder}/{key}"
-    if force or not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Read the processed table of ``key``, building it first when absent or forced.
+
+    A build goes to a folder of its own; the pointer to it is written last, so a run that dies leaves nothing that a
+    later run takes for a table.
+    """
+    pointer = f"{folder}/{key}-pointer"
+    if force or not exists(spark, pointer):
+        path = f"{folder}/{key}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(pointer)
+    return spark.read.parquet(spark.read.parquet(pointer).first()["path"])

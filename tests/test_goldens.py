@@ -167,3 +167,104 @@ def test_parse_list(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.v for r in df.select(labels.parse_list(F.col("t")).alias("v")).collect()]
     assert got == [[1.0, 2.0], [1.0, 10.0], [], None, None]
+
+
+def minute_means_of(spark, *rows):
+    df = frame(spark, *rows)
+    return {r.minute: r.value for r in grid.minute_values(parts(df)).collect()}
+
+
+def test_zero_valued_overlaps_stay_zero(spark):
+    steps = [("00:00", "00:10", 60.0), ("00:02", "00:12", 120.0), ("00:00", "00:30", 0.0)]
+    df = frame(
+        spark,
+        *[record(C.QUANTITY, f"2022-01-01 {a}", f"2022-01-01 {b}", type=C.STEP_COUNT, value=v) for a, b, v in steps],
+    )
+    row = next(r for r in day_grid(df).collect() if r.channel_idx == 0)
+    assert row["values"][12:30] == [0.0] * 18 and sum(row["mask"]) == 12
+    motion = [("00:00", "00:10", 0.1), ("00:03", "00:12", 0.2), ("00:01", "00:30", 0.0)]
+    got = minute_means_of(
+        spark, *[record(C.MOTION, f"2022-01-01 {a}", f"2022-01-01 {b}", activity="stationary", confidence=v) for a, b, v in motion]
+    )
+    assert all(got[m] == 0.0 for m in range(12, 30)) and got[5] == pytest.approx(0.1)
+    far = [("00:00", "00:10", 1e9), ("00:00", "00:20", 1e-12)]
+    got = minute_means_of(
+        spark, *[record(C.MOTION, f"2022-01-01 {a}", f"2022-01-01 {b}", activity="stationary", confidence=v) for a, b, v in far]
+    )
+    assert got[15] == pytest.approx(1e-12, rel=1e-5)
+
+
+def test_stage_follows_its_source(spark, tmp_path):
+    from daygrid.sources.session import stored_stage
+
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(f"{source}/a")
+    read = lambda: stored_stage(spark, source, "rows", lambda: spark.read.parquet(f"{source}/a")).count()
+    assert read() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{source}/a")
+    assert read() == 5
+
+
+def test_materialised_tables_survive_half_written_folders(spark, tmp_path):
+    from daygrid.sources import files
+
+    folder, calls = str(tmp_path), []
+
+    def build():
+        calls.append(1)
+        return spark.range(4)
+
+    def dies():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        files.materialised(spark, folder, "k", dies)
+    spark.range(2).write.parquet(f"{folder}/k-half")
+    assert files.materialised(spark, folder, "k", build).count() == 4
+    assert files.materialised(spark, folder, "k", build).count() == 4 and len(calls) == 1
+    files.materialised(spark, folder, "k", build, force=True)
+    assert len(calls) == 2
+    assert files.sample_key("a", [], None, None, "x") != files.sample_key("a", [], None, None, "y")
+
+
+def test_unreadable_files_fail_unless_asked(spark, tmp_path):
+    from daygrid.sources import files
+
+    path = str(tmp_path / "r")
+    spark.createDataFrame([(1,)], "participant_id long").write.parquet(path)
+    (tmp_path / "r" / "part-x.parquet").write_bytes(b"no parquet at all")
+    schema = spark.createDataFrame([], "participant_id long").schema
+    with pytest.raises(Exception, match="(?s)."):
+        files.read_modality(spark, path, schema).count()
+    assert files.read_modality(spark, path, schema, lenient=True).count() == 1
+    assert [f.rsplit("/", 1)[-1] for f in files.skipped_files(spark, path, schema)] == ["part-x.parquet"]
+    with pytest.raises(Exception, match="(?s)."):
+        files.read_modality(spark, path + "-absent", schema)
+
+
+def test_standardization_given_twice_is_an_error(spark):
+    from daygrid.sources import files
+
+    rows = [(i, float(i), 1.0) for i in range(24)]
+    params = spark.createDataFrame(rows, "feature_index int, mean double, std_dev double")
+    assert len(files.standardization_dict(params)) == 24
+    with pytest.raises(ValueError, match="more than once"):
+        files.standardization_dict(params.unionByName(params.limit(1)))
+
+
+def test_rare_strata_raise_with_ten_examples(spark):
+    from daygrid.operators import splits
+
+    members = spark.createDataFrame([(i, f"s{i}") for i in range(30)], "participant_id long, s string")
+    with pytest.raises(ValueError) as error:
+        splits.require_no_rare_strata(members, ["s"])
+    assert str(error.value).count("'n': 1") == 10
+
+
+def test_records_are_pruned_and_filtered_at_the_scan(spark):
+    from daygrid.sources import adapter
+
+    records = adapter.records(spark, "/root/testdata/sf0.001")
+    plan = records.where("participant_id = 7").select("participant_id").distinct()._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<participant_id:bigint>" in plan
+    assert "EqualTo(participant_id,7)" in plan
