@@ -303,9 +303,9 @@ LEFT JOIN (SELECT * FROM wmin WHERE value <> 0) m ON m.participant_id = w.partic
 GROUP BY w.participant_id, w.start_date, r.role, w.day_index - r.first, c.channel_idx""",
 )
 def _(spark, d):
-    split = samples.ForecastSplit.parse("5-2d")
+    inputs, horizon = samples.forecast_minutes("5-2d")
     rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
-    out = samples.split_days(rows, split.sequence_len, split.prediction_horizon, C.MINUTES_PER_DAY)
+    out = samples.split_days(rows, inputs, horizon, C.MINUTES_PER_DAY)
     return out.select(
         "participant_id",
         "start_date",

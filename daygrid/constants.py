@@ -124,8 +124,6 @@ SPLIT_GAP_SECONDS = 2
 # --- fixed values: day quality and windows ----------------------------------------------------------
 MIN_CHANNEL_COVERAGE = 10.0
 MIN_CHANNELS_WITH_DATA = 3
-PRODUCTION_MIN_CHANNEL_COVERAGE = 7.6389
-PRODUCTION_MIN_CHANNELS_WITH_DATA = 4
 WINDOW_DAYS = 7
 MIN_REQUIRED_DAYS = 5
 QUALIFYING_WINDOWS = {"7day": (7, 2), "14day": (14, 4)}  # name -> (days, allowed missing days)

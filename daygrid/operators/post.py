@@ -114,18 +114,30 @@ def fill_gaps(
             A.positions(F.size(values)),
             lambda i: F.coalesce((F.get(mask, i) > 0.5) & (F.get(values, i) != 0), F.lit(False)),
         )
-        return A.let(
-            valid,
-            lambda valid: F.transform(
-                gaps,
-                lambda g: F.struct(
-                    g["start"].alias("start"),
-                    g["end"].alias("end"),
-                    F.array_max(F.filter(valid, lambda i: i < g["start"])).alias("before"),
-                    F.array_min(F.filter(valid, lambda i: i >= g["end"])).alias("after"),
+
+        def neighbours(valid):
+            # Gaps and valid points in one sorted list: the place of the n-th gap, less n, counts the points before it.
+            both = F.array_sort(
+                F.concat(
+                    F.transform(valid, lambda i: F.struct(i.cast("int").alias("at"), F.lit(0).alias("kind"))),
+                    F.transform(gaps, lambda g: F.struct(g["start"].cast("int").alias("at"), F.lit(1).alias("kind"))),
+                )
+            )
+            placed = F.transform(both, lambda x, j: F.struct(x["kind"].alias("kind"), j.alias("j")))
+            return A.let(
+                F.transform(F.filter(placed, lambda x: x["kind"] == 1), lambda x: x["j"]),
+                lambda places: F.transform(
+                    gaps,
+                    lambda g, n: F.struct(
+                        g["start"].alias("start"),
+                        g["end"].alias("end"),
+                        F.get(valid, F.get(places, n) - n - 1).alias("before"),
+                        F.get(valid, F.get(places, n) - n).alias("after"),
+                    ),
                 ),
-            ),
-        )
+            )
+
+        return A.let(valid, neighbours)
 
     def fill(values, mask, gaps):
         n = F.size(values)

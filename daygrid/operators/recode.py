@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,37 +65,48 @@ def duplicated_rows(df: DataFrame, key: str = "participant_id") -> DataFrame:
 # --- label coarsening and its text form ---------------------------------------------------------------
 
 
-def _name(column: str) -> str:
-    return column.lower()
+@dataclass(frozen=True)
+class Answers:
+    """How the sparse answers of one label are merged: those that ``sparse`` selects count as ``merged``.
+
+    Merged answers read ``merged_text``; the others read ``text``, with ``{}`` for the number.
+    """
+
+    sparse: Callable[[Column], Column]
+    merged: int
+    merged_text: str
+    text: str
+
+
+#: One rule per label; labels without one keep their numbers (fixed values).
+ANSWERS = {
+    "happiness": Answers(lambda v: v < 5, 4, "≤4 (Low)", "{} (High)"),
+    "feel_worthwhile1": Answers(lambda v: v < 4, 3, "≤3 (Low)", "{} (High)"),
+    "feel_worthwhile2": Answers(lambda v: v < 4, 3, "≤3 (Low)", "{} (High)"),
+    "feel_worthwhile3": Answers(lambda v: v.isin(9, 10), 9, "9-10 (High)", "{}"),
+    "heart_disease": Answers(lambda v: v != 10, 0, "Other Heart Disease", "{}"),
+}
+
+
+def _rule(column: str) -> Answers | None:
+    return ANSWERS.get(column.removesuffix("_value"))
 
 
 def coarse_label(column: str, value: Column) -> Column:
-    """Merge sparse answers. ``value`` is a rounded mean."""
-    if "happiness" in _name(column):
-        return F.when(value < 5, F.lit(4)).otherwise(value)
-    if column in ("feel_worthwhile1_value", "feel_worthwhile2_value"):
-        return F.when(value < 4, F.lit(3)).otherwise(value)
-    if column == "feel_worthwhile3_value":
-        return F.when(value == 10, F.lit(9)).otherwise(value)
-    if "heart_disease" in _name(column):
-        return F.when(value.isNotNull() & (value != 10), F.lit(0)).otherwise(value)
-    return value
+    """Merge sparse answers. ``value`` is a rounded mean; missing stays missing."""
+    rule = _rule(column)
+    return value if rule is None else F.when(rule.sparse(value), F.lit(rule.merged)).otherwise(value)
 
 
 def label_text(column: str, value: Column) -> Column:
+    """Text of a coarse answer."""
+    rule = _rule(column)
     number = value.cast("int").cast("string")
-    high = F.concat(number, F.lit(" (High)"))
-    if "happiness" in _name(column):
-        text = F.when(value == 4, F.lit("≤4 (Low)")).otherwise(high)
-    elif column in ("feel_worthwhile1_value", "feel_worthwhile2_value"):
-        text = F.when(value == 3, F.lit("≤3 (Low)")).otherwise(high)
-    elif column == "feel_worthwhile3_value":
-        text = F.when(value == 9, F.lit("9-10 (High)")).otherwise(number)
-    elif "heart_disease" in _name(column):
-        text = F.when(value == 10, F.lit("10")).otherwise(F.lit("Other Heart Disease"))
-    else:
-        text = number
-    return F.when(value.isNull(), F.lit(C.MISSING)).otherwise(text)
+    if rule is not None:
+        before, _, after = rule.text.partition("{}")
+        plain = F.concat(F.lit(before), number, F.lit(after))
+        number = F.when(value == rule.merged, F.lit(rule.merged_text)).otherwise(plain)
+    return F.coalesce(number, F.lit(C.MISSING))
 
 
 def coarse_means(means: DataFrame) -> DataFrame:
