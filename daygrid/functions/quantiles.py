@@ -2,13 +2,11 @@
 
 ``percentile`` ships every distinct value of a group to one reducer. Here a mergeable sketch first
 brackets each wanted rank, then only the rows inside the bracket are counted exactly. The bracket holds
-about ``4 / accuracy`` of the rows, and its rows are reduced to (value, count) before they meet.
+about ``16 / accuracy`` of a large group's rows, and its rows are reduced to (value, count) before they meet.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +22,27 @@ def exact_quantiles(
     a wrong value.
     """
     margin = 4.0 / accuracy
-    points = sorted({max(0.0, p - margin) for p in probabilities} | {min(1.0, p + margin) for p in probabilities})
+    around = {p + d for p in probabilities for d in (-2 * margin, 2 * margin)}
+    points = sorted(p for p in around if 0 < p < 1) or [0.5]
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
 
-    def sketch_point(p, low):
-        # The extremes are exact (min / max), so rank 0 and rank n-1 are always inside.
-        edge = (0.0 if low else 1.0)
-        extreme = F.col("_min") if low else F.col("_max")
-        if math.isclose(p, edge):
-            return extreme
-        # In a group no larger than the sketch the margin is below one rank; such a group is its own bracket.
-        return F.when(F.col("_n") <= accuracy, extreme).otherwise(
-            F.get(F.col("_sketch"), F.lit(points.index(p)))
-        )
+    def below(position):
+        """The highest sketch point that lies safely below the rank; the minimum is always one."""
+        share = F.floor(position) / F.col("_n") - F.lit(margin)
+        found = F.col("_min")
+        for i, p in enumerate(points):
+            found = F.when(share >= F.lit(p), F.get(F.col("_sketch"), F.lit(i))).otherwise(found)
+        return found
+
+    def above(position):
+        """The lowest sketch point that lies safely above the rank; the maximum is always one."""
+        share = (F.ceil(position) + 1) / F.col("_n") + F.lit(margin)
+        found = F.col("_max")
+        for i, p in reversed(list(enumerate(points))):
+            found = F.when(share <= F.lit(p), F.get(F.col("_sketch"), F.lit(i))).otherwise(found)
+        return found
 
     sketch = data.groupBy(*keys).agg(
         F.count("*").alias("_n"),
@@ -54,8 +58,8 @@ def exact_quantiles(
                     F.struct(
                         F.lit(float(p)).alias("probability"),
                         ((F.col("_n") - 1) * F.lit(float(p))).alias("_position"),
-                        sketch_point(max(0.0, p - margin), True).alias("_lo"),
-                        sketch_point(min(1.0, p + margin), False).alias("_hi"),
+                        below((F.col("_n") - 1) * F.lit(float(p))).alias("_lo"),
+                        above((F.col("_n") - 1) * F.lit(float(p))).alias("_hi"),
                     )
                     for p in probabilities
                 ]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daygrid.operators import grid, intervals, stats
 from daygrid.plans.grid import record_parts
 from daygrid.sources import files
+from daygrid.sources.session import scratch_path
 
 DAY = ["participant_id", "date"]
 
@@ -19,42 +20,46 @@ def build_days(
     stats_path: str,
     force_recompute: bool = False,
     force_recompute_stats: bool = False,
+    skip: list | None = None,
 ) -> None:
     """Add the days that are not stored yet, and their statistics.
 
-    Only records of new days are gridded: the anti-join runs before the expensive steps. Statistics of new
-    days are appended to the stored ones. ``force_recompute`` rebuilds everything;
-    ``force_recompute_stats`` recomputes all statistics from the stored days. A run that dies is simply
-    repeated: days already committed are skipped.
+    Only records of new days are gridded, and offsets are looked up for these days alone; a run without new days reads
+    the keys of what is stored and ends. Statistics of new days are appended to the stored ones. ``force_recompute``
+    rebuilds everything; ``force_recompute_stats`` recomputes all statistics from the stored days; participants in
+    ``skip`` are left out. A run that dies is simply repeated: days already committed are skipped.
     """
+    if skip:
+        records = records.where(F.col("participant_id").isNull() | ~F.col("participant_id").isin(*skip))
     parts = record_parts(records)
-    stored = files.exists(spark, days_path)
-    have_stats = files.exists(spark, stats_path)
     days = intervals.day_index(parts)
-    if stored and not force_recompute:
-        known = spark.read.parquet(days_path).select(*DAY).distinct()
-        days = days.join(known, DAY, "left_anti")
-        parts = parts.join(days.select(*DAY), DAY, "left_semi")
-    minutes = grid.minute_values(parts)
-    mode = "overwrite" if force_recompute else "append"
-    files.write_days(grid.day_channel(minutes, days), days_path, mode)
-    if force_recompute or force_recompute_stats or not have_stats:
-        files.write_day_stats(stats_of_stored(spark, days_path, parts_offsets(records)), stats_path, "overwrite")
+    if files.exists(spark, days_path) and not force_recompute:
+        days = days.join(stored_keys(spark, days_path, "channel_idx"), DAY, "left_anti")
+    path = scratch_path(spark, "new-days")
+    days.write.parquet(path)
+    days = spark.read.schema(days.schema).parquet(path)
+    if force_recompute or not days.isEmpty():
+        minutes = grid.minute_values(parts.join(days.select(*DAY), DAY, "left_semi"))
+        files.write_days(grid.day_channel(minutes, days), days_path, "overwrite" if force_recompute else "append")
+    if not files.exists(spark, days_path):
+        return
+    if force_recompute or force_recompute_stats or not files.exists(spark, stats_path):
+        wanted, mode = stored_keys(spark, days_path, "channel_idx"), "overwrite"
     else:
-        known = spark.read.parquet(stats_path).select(*DAY).distinct()
-        stored_days = spark.read.parquet(days_path).join(known, DAY, "left_anti")
-        fresh = stats_from(stored_days, parts_offsets(records))
-        files.write_day_stats(fresh, stats_path, "append")
+        done = stored_keys(spark, stats_path, "feature_index")
+        wanted, mode = stored_keys(spark, days_path, "channel_idx").join(done, DAY, "left_anti"), "append"
+        if wanted.isEmpty():
+            return
+    stored = spark.read.parquet(days_path).join(wanted, DAY, "left_semi")
+    offsets = intervals.original_offsets(parts.join(wanted, DAY, "left_semi"))
+    files.write_day_stats(stats_from(stored, offsets), stats_path, mode)
 
 
-def parts_offsets(records: DataFrame) -> DataFrame:
-    return intervals.original_offsets(record_parts(records))
+def stored_keys(spark: SparkSession, path: str, channel: str) -> DataFrame:
+    """Days of a stored table, read from the rows of one channel."""
+    return spark.read.parquet(path).where(F.col(channel) == 0).select(*DAY).distinct()
 
 
 def stats_from(stored: DataFrame, offsets: DataFrame) -> DataFrame:
     per_channel = stats.stats_from_day_channel(stored).withColumnRenamed("channel_idx", "feature_index")
     return per_channel.join(offsets, DAY, "left")
-
-
-def stats_of_stored(spark: SparkSession, days_path: str, offsets: DataFrame) -> DataFrame:
-    return stats_from(spark.read.parquet(days_path), offsets)

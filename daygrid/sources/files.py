@@ -159,8 +159,13 @@ def in_range(df: DataFrame, first: str, last: str, participant_ids: list | None
 # --- days and statistics ------------------------------------------------------------------------------
 
 
-def write_days(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).partitionBy("date").parquet(path)
+#: Files per date that one run writes, at most: participants are dealt into so many groups.
+DAY_FILES = 8
+
+
+def write_days(df: DataFrame, path: str, mode: str = "append", files: int = DAY_FILES) -> None:
+    group = F.pmod(F.xxhash64("participant_id"), F.lit(files))
+    df.repartition("date", group).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:

@@ -265,3 +265,45 @@ def test_records_are_pruned_and_filtered_at_the_scan(spark):
     plan = records.where("participant_id = 7").select("participant_id").distinct()._jdf.queryExecution().toString()
     assert "ReadSchema: struct<participant_id:bigint>" in plan
     assert "EqualTo(participant_id,7)" in plan
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 7, 999, 1000, 1001])
+def test_quantiles_at_the_sketch_size(spark, rows):
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    df = spark.range(rows).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 10007 / 3).alias("x"))
+    got = {r.probability: r["quantile"] for r in exact_quantiles(df, ["g"], "x", probabilities, accuracy=1000).collect()}
+    want = df.agg(F.percentile("x", probabilities)).first()[0]
+    assert [got[p] for p in probabilities] == pytest.approx(want)
+
+
+def test_quantile_of_many_equal_rows(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("g"), F.when(F.col("id") < 10, F.col("id")).otherwise(50).alias("x"))
+    assert [r["quantile"] for r in exact_quantiles(df, ["g"], "x", [0.5]).collect()] == [50.0]
+
+
+def test_incremental_runs(spark, tmp_path):
+    from daygrid.plans.incremental import build_days
+
+    days, statistics = str(tmp_path / "d"), str(tmp_path / "s")
+
+    def steps(participant, day):
+        row = list(record(C.QUANTITY, f"{day} 08:00", f"{day} 09:00", type=C.STEP_COUNT, value=60.0))
+        row[0] = participant
+        return tuple(row)
+
+    def stored(path):
+        return {(r[0], str(r[1])) for r in spark.read.parquet(path).select("participant_id", "date").distinct().collect()}
+
+    first = frame(spark, steps(1, "2022-01-01"), steps(2, "2022-01-01"))
+    build_days(spark, first, days, statistics, skip=[2])
+    assert stored(days) == stored(statistics) == {(1, "2022-01-01")}
+    more = first.unionByName(frame(spark, steps(1, "2022-01-02")))
+    build_days(spark, more, days, statistics)
+    want = {(1, "2022-01-01"), (1, "2022-01-02"), (2, "2022-01-01")}
+    assert stored(days) == stored(statistics) == want
+    n = len(list(tmp_path.rglob("part-*.parquet")))
+    build_days(spark, more, days, statistics)
+    assert len(list(tmp_path.rglob("part-*.parquet"))) == n
+    build_days(spark, more, days, statistics, force_recompute=True)
+    assert stored(days) == stored(statistics) == want
+    assert spark.read.parquet(days).count() == 24 * 3
