@@ -146,6 +146,10 @@ def channel_days(days: DataFrame) -> DataFrame:
     )
 
 
+#: Dense rows of 1440 values and their mask that one task builds, about 15 MB.
+DAY_ROWS_PER_TASK = 2000
+
+
 def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
     """Dense storage form: one row per participant, day and channel with 1440 values and their mask."""
     sparse = minutes.groupBy(*KEY).agg(
@@ -160,9 +164,12 @@ def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
     mask = F.when(empty, F.array_repeat(F.lit(0).cast("tinyint"), n)).otherwise(
         observation_mask(F.col("values"))
     )
+    # The rows grow by two orders of magnitude after the join, so the tasks follow the rows that come out.
+    tasks = 1 + days.count() * C.N_CHANNELS // DAY_ROWS_PER_TASK
     return (
         channel_days(days)
-        .join(sparse, KEY, "left")
+        .repartition(tasks, *KEY)
+        .join(sparse.repartition(tasks, *KEY), KEY, "left")
         .select(*KEY, "points", values.alias("values"))
         .select(*KEY, "values", mask.alias("mask"))
     )
