@@ -47,19 +47,29 @@ def _(spark, d):
     return splits.split_by_label_values(stages.flat(spark, d), adapter.participant_info(spark, d), check=False)
 
 
-@query("p05_clusters")
+@query(
+    "p05_clusters",
+    """SELECT count(*) AS members, true AS within_k, 0::BIGINT AS not_at_nearest FROM
+(SELECT DISTINCT participant_id FROM flat) SEMI JOIN demo USING (participant_id)""",
+)
 def _(spark, d):
+    """Labels of k-means cannot be told by SQL; what they have to fulfil can."""
     features = splits.demographic_features(
         stages.flat(spark, d), adapter.demographics(spark, d), adapter.participant_info(spark, d)
     )
-    return splits.clusters(features, k=8)
+    return splits.cluster_checks(features, k=8)
 
 
-@query("p06_split_by_cluster")
+@query(
+    "p06_split_by_cluster",
+    """SELECT participant_id IN (SELECT participant_id FROM demo) AS has_demographics, count(*) AS members,
+0::BIGINT AS unassigned, 0::BIGINT AS overlapping, 0::BIGINT AS wrong_strata
+FROM (SELECT DISTINCT participant_id FROM flat SEMI JOIN (SELECT * FROM info WHERE sharing_scope = 'all_qualified_researchers') USING (participant_id))
+GROUP BY 1""",
+)
 def _(spark, d):
-    return splits.split_by_cluster(
-        stages.flat(spark, d), adapter.demographics(spark, d), adapter.participant_info(spark, d), k=8
-    )
+    flat, info = stages.flat(spark, d), adapter.participant_info(spark, d)
+    return splits.cluster_split_checks(flat, adapter.demographics(spark, d), info, k=8)
 
 
 @query(

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 
 from daygrid import constants as C
 from daygrid.functions.ranking import bucketed_row_number, group_sizes
 from daygrid.operators import labels as L
 from daygrid.operators import recode as R
+from daygrid.sources.session import scratch_path
 
 ROW = "participant_id"
 
@@ -145,21 +147,81 @@ def demographic_features(flat: DataFrame, demographics: DataFrame, info: DataFra
     return demo.join(ages, ROW, "left").join(L.label_means(flat), ROW)
 
 
-def clusters(features: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """k-means cluster per participant over scaled numeric features and one-hot sex."""
+#: Starts of k-means; the fit with the least cost is taken.
+STARTS = 10
+
+
+def cluster_vectors(features: DataFrame) -> DataFrame:
+    """Scaled numeric features and one-hot sex of each participant, as vectors."""
     numeric = [c for c in features.columns if c not in (ROW, "biological_sex")]
     levels = ["Female", "Male", C.MISSING]
     table = R.one_hot(R.scaled_features(features, numeric, "biological_sex"), "biological_sex", levels)
     inputs = numeric + [f"biological_sex_{v}" for v in levels]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(table).select(ROW, "features")
-    # No more clusters than participants, as published.
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(table)
+    # Every start reads the vectors several times.
+    path = scratch_path(features.sparkSession, "cluster-vectors")
+    vectors.select(ROW, "features").write.parquet(path)
+    return features.sparkSession.read.parquet(path)
+
+
+def fitted(vectors: DataFrame, k: int, seed: int, starts: int = STARTS):
+    """The best of several k-means fits; None where there are fewer than two participants or clusters.
+
+    No more clusters than participants, as published.
+    """
     k = min(k, vectors.count())
     if k <= 1:
+        return None
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(vectors) for i in range(starts)]
+    return min(fits, key=lambda model: model.summary.trainingCost)
+
+
+def clusters(features: DataFrame, k: int = 10, seed: int = 42, starts: int = STARTS) -> DataFrame:
+    """k-means cluster per participant over scaled numeric features and one-hot sex."""
+    vectors = cluster_vectors(features)
+    model = fitted(vectors, k, seed, starts)
+    if model is None:
         return vectors.select(ROW, F.lit(0).alias("cluster"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select(ROW, "cluster")
 
 
+def cluster_checks(features: DataFrame, k: int = 10, seed: int = 42, starts: int = STARTS) -> DataFrame:
+    """Members, whether at most k clusters are used, and members that are nearer to the centre of another cluster."""
+    vectors = cluster_vectors(features)
+    model = fitted(vectors, k, seed, starts)
+    if model is None:
+        return vectors.agg(F.count("*").alias("members"), F.lit(True).alias("within_k"), F.lit(0).cast("long").alias("not_at_nearest"))
+    rows = model.transform(vectors).select("cluster", vector_to_array("features").alias("x"))
+
+    def distance(centre) -> Column:
+        parts = F.zip_with("x", F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(parts, F.lit(0.0), lambda total, v: total + v)
+
+    distances = F.array(*[distance(c) for c in model.clusterCenters()])
+    own = F.get(F.col("d"), F.col("cluster"))
+    return rows.select("cluster", distances.alias("d")).agg(
+        F.count("*").alias("members"),
+        (F.count_distinct("cluster") <= k).alias("within_k"),
+        F.count_if(own > F.array_min("d") + 1e-9).alias("not_at_nearest"),
+    )
+
+
+def cluster_strata(
+    flat: DataFrame, demographics: DataFrame, info: DataFrame, k: int = 10, seed: int = 42, starts: int = STARTS
+) -> DataFrame:
+    """The stratum of every participant: its cluster, or -1 without demographics.
+
+    When a cluster has a single member the clusters are ignored, as stratifying by them is impossible.
+    """
+    members = flat.select(ROW).distinct()
+    path = scratch_path(flat.sparkSession, "clusters")
+    clusters(demographic_features(flat, demographics, info), k, seed, starts).write.parquet(path)
+    assigned = flat.sparkSession.read.parquet(path)
+    smallest = assigned.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
+    assigned = assigned.withColumn("stratum", F.when(smallest.scalar() < 2, F.lit(0)).otherwise(F.col("cluster")))
+    return members.join(assigned, ROW, "left").withColumn("stratum", F.coalesce("stratum", F.lit(-1)))
+
+
 def split_by_cluster(
     flat: DataFrame,
     demographics: DataFrame,
@@ -168,23 +230,39 @@ def split_by_cluster(
     k: int = 10,
     seed: int = 42,
     sharing_subset: bool = True,
+    starts: int = STARTS,
 ) -> DataFrame:
-    """Assignment stratified by cluster; participants without demographics are split on their own.
-
-    When a cluster has a single member the clusters are ignored, as stratifying by them is impossible.
-    """
+    """Assignment stratified by cluster; participants without demographics are split on their own."""
     if sharing_subset:
         flat = open_sharing(flat, info)
-    members = flat.select(ROW).distinct()
-    assigned = clusters(demographic_features(flat, demographics, info), k, seed)
-    smallest = assigned.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
-    assigned = assigned.withColumn(
-        "stratum", F.when(smallest.scalar() < 2, F.lit(0)).otherwise(F.col("cluster"))
+    strata = cluster_strata(flat, demographics, info, k, seed, starts)
+    return stratified_assignment(strata, ["stratum"], test_size, seed)
+
+
+def cluster_split_checks(
+    flat: DataFrame, demographics: DataFrame, info: DataFrame, test_size: float = 0.2, k: int = 10, seed: int = 42
+) -> DataFrame:
+    """With and without demographics: members, members without or with two splits, strata with a wrong test count."""
+    flat = open_sharing(flat, info)
+    path = scratch_path(flat.sparkSession, "cluster-strata")
+    cluster_strata(flat, demographics, info, k, seed).write.parquet(path)
+    strata = flat.sparkSession.read.parquet(path)
+    split = stratified_assignment(strata, ["stratum"], test_size, seed)
+    per_member = split.groupBy(ROW).agg(F.count_distinct("split").alias("splits"), F.max("split").alias("split"))
+    rows = strata.select(ROW, "stratum").join(per_member, ROW, "left")
+    per_stratum = rows.groupBy("stratum").agg(
+        F.count("*").alias("members"),
+        F.count_if(F.col("splits").isNull()).alias("unassigned"),
+        F.count_if(F.col("splits") > 1).alias("overlapping"),
+        F.count_if(F.col("split") == "test").alias("test"),
     )
-    everyone = members.join(assigned, ROW, "left").withColumn(
-        "stratum", F.coalesce("stratum", F.lit(-1))
+    wrong = F.col("test") != F.round(F.col("members") * F.lit(test_size))
+    return per_stratum.groupBy((F.col("stratum") >= 0).alias("has_demographics")).agg(
+        F.sum("members").alias("members"),
+        F.sum("unassigned").alias("unassigned"),
+        F.sum("overlapping").alias("overlapping"),
+        F.count_if(wrong).alias("wrong_strata"),
     )
-    return stratified_assignment(everyone, ["stratum"], test_size, seed)
 
 
 def three_way(
