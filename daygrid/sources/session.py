@@ -14,7 +14,7 @@ _stored: dict[tuple[str, str, str, str], str] = {}
 def pin_session(spark: SparkSession) -> SparkSession:
     """Local time is kept in TIMESTAMP_NTZ; arithmetic on it needs a session zone without DST."""
     zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+    if zone.removeprefix("Etc/") not in ("UTC", "UCT", "GMT", "GMT0", "Z", "Zulu", "Universal", "Greenwich", "+00:00"):
         raise ValueError(f"set spark.sql.session.timeZone to UTC; it is {zone}")
     return spark
 
