@@ -19,7 +19,9 @@ null; an empty table gives an empty result; columns other than the id and the te
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -33,9 +35,16 @@ from daygrid.llm.common import stored
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks a task remembers, and the longest one worth remembering.
-CHUNKS_KEPT = 400_000
+#: Chunks, and words in them, that a task remembers, and the longest one worth remembering.
+CHUNKS_KEPT = 120_000
 CHUNK_CHARS = 48
+_ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+_MARKS = ".,;:!?"
+#: Letters up to here have one lower-case letter each (but U+0130) and no other composed form.
+_LATIN = "\u024f"
+#: How byte-level vocabularies write bytes: printable Latin-1 as it is, the others as letters from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = dict(zip([b for b in range(256) if b not in _PLAIN], range(256, 512)))
 #: Texts whose unknown chunks are encoded in one call.
 TEXTS_AT_ONCE = 256
 #: Pieces that one task numbers, about.
@@ -50,7 +59,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkIds:
-    """Ids of texts as little-endian uint32 bytes, through remembered chunks."""
+    """Ids of texts as little-endian uint32 bytes, through remembered chunks and the words in them.
+
+    The tokenizer lower-cases and separates letters, single digits and runs of other characters, so a chunk's ids are
+    those of its lower-cased words and of what surrounds them. Only plain cases are taken apart: chunks in ASCII without
+    apostrophes, and marks after a last letter; all else is encoded as it stands. Words of Latin letters go straight to
+    the tokenizer's model.
+    """
 
     def __init__(self, path: str):
         import os
@@ -59,20 +74,43 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _parts(self, chunk: str) -> list[str]:
+        if len(chunk) > CHUNK_CHARS or "<|" in chunk:
+            return [chunk]
+        if chunk.isascii():
+            return [chunk] if "'" in chunk else _ASCII_PARTS.findall(chunk.lower())
+        word = chunk.rstrip(_MARKS)
+        if word[-1:].lower().isalpha():
+            low = word.lower() if max(word) <= _LATIN and "\u0130" not in word else word
+            return [low, chunk[len(word) :]] if len(word) < len(chunk) else [low]
+        return [chunk]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CHUNKS_KEPT:
-            self.known = {"": b""}
-        new = list({c for chunks in split for c in chunks} - self.known.keys())
-        ids = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        here = {c: np.array(x.ids, "<u4").tobytes() for c, x in zip(new, ids, strict=True)}
-        self.known.update(here)
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        for c in here:
-            if len(c) > CHUNK_CHARS:
-                del self.known[c]
+        for known in (self.chunks, self.words):
+            if len(known) > CHUNKS_KEPT:
+                known.clear()
+        self.chunks[""] = b""
+        new = {c: self._parts(c) for c in {c for chunks in split for c in chunks} - self.chunks.keys()}
+        words = {w for parts in new.values() for w in parts} - self.words.keys()
+        rest = []
+        for w in words:
+            if w.isalpha() and max(w) <= _LATIN and "\u0130" not in w:
+                # Letters only: one piece for the model, its bytes written as the byte-level step writes them.
+                piece = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+                self.words[w] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+            else:
+                rest.append(w)
+        for w, x in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.words[w] = array("I", x.ids).tobytes()
+        word = self.words.__getitem__
+        self.chunks.update((c, word(p[0]) if len(p) == 1 else b"".join(map(word, p))) for c, p in new.items())
+        out = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        for c in [c for c in new if len(c) > CHUNK_CHARS]:
+            del self.chunks[c], self.words[c]
         return out
 
 
