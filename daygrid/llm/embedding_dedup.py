@@ -39,6 +39,8 @@ PARTS, HIGHEST = 4, 0.85
 SEED = 20240
 BLOCK = 1024
 ROWS_AT_ONCE = 512
+#: Rows of directions with a single block that one task compares, about.
+ROWS_PER_TASK = 20_000
 
 
 class Code:
@@ -146,37 +148,62 @@ def _reach(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
     return [(int(x), int(m)) for x, m in {*zip(a, left, strict=True), *zip(b, right, strict=True)} if x != m]
 
 
+def _links(x: np.ndarray, lists: list[np.ndarray], direction: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows a link with which rows b; pairs that also share a smaller direction count there."""
+    linked = x[a] @ x[b].T >= COSINE
+    linked[a[:, None] == b[None]] = False
+    if linked.any():
+        rows = np.union1d(a, b)
+        smaller = [lists[r][: np.searchsorted(lists[r], direction)] for r in rows]
+        every = np.concatenate(smaller).astype(np.int64)
+        who = np.repeat(np.arange(len(rows)), [len(d) for d in smaller])
+        _, place, times = np.unique(every, return_inverse=True, return_counts=True)
+        often = times > 1
+        column = np.cumsum(often) - 1
+        ok = often[place]
+        has = np.zeros((len(rows), int(often.sum())), np.float32)
+        has[who[ok], column[place[ok]]] = 1
+        linked &= has[np.searchsorted(rows, a)] @ has[np.searchsorted(rows, b)].T == 0
+    return linked
+
+
 def compare(group: pa.Table) -> pa.Table:
-    """Links of two blocks at one direction: rows (cid, links, other): links found, or another class it reaches."""
-    direction = group.column("direction")[0].as_py()
+    """Links of one task: two blocks at one direction, or all rows of many directions that are one block each.
+
+    Rows (cid, links, other): links found, or another class it reaches.
+    """
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    block = np.array(group.column("block"))
+    direction, block = np.array(group.column("direction")), np.array(group.column("block"))
     cid, copies = np.array(group.column("cid")), np.array(group.column("copies"))
     x = np.array(group.column("vector").to_pylist(), np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    linked = x[a] @ x[b].T >= COSINE
+    lists = [np.array(d, np.int64) for d in group.column("directions").to_pylist()]
+    n, pairs = np.zeros(len(cid), np.int64), []
+    order = np.lexsort((cid, direction))
+    cuts = np.flatnonzero(np.diff(direction[order])) + 1
+    sizes = np.diff(np.concatenate([[0], cuts, [len(order)]]))
     if i == j:
-        np.fill_diagonal(linked, False)
-    if linked.any():
-        # Pairs that also share a smaller direction count there.
-        lists = [d[: np.searchsorted(d, direction)] for d in map(np.array, group.column("directions").to_pylist())]
-        every = np.concatenate(lists).astype(np.int64)
-        who = np.repeat(np.arange(len(lists)), [len(d) for d in lists])
-        names, place, times = np.unique(every, return_inverse=True, return_counts=True)
-        often = times > 1
-        column = np.cumsum(often) - 1
-        ok = often[place]
-        has = np.zeros((len(lists), int(often.sum())), np.float32)
-        has[who[ok], column[place[ok]]] = 1
-        linked &= has[a] @ has[b].T == 0
-    n = np.zeros(len(cid), np.int64)
-    n[a] += linked @ copies[b]
-    if i != j:
-        n[b] += linked.T @ copies[a]
+        # Most directions hold two unrelated vectors: these are compared all at once.
+        first = np.cumsum(sizes)[sizes == 2] - 2
+        a, b = order[first], order[first + 1]
+        for p, q in zip(*(r[np.einsum("ij,ij->i", x[a], x[b]) >= COSINE] for r in (a, b)), strict=True):
+            if np.intersect1d(lists[p], lists[q])[0] == direction[p]:
+                n[p] += copies[q]
+                n[q] += copies[p]
+                pairs.append((int(max(cid[p], cid[q])), int(min(cid[p], cid[q]))))
+    for rows in np.split(order, cuts):
+        if i == j and len(rows) < 3:
+            continue
+        a, b = (rows, rows) if i == j else (rows[block[rows] == i], rows[block[rows] == j])
+        linked = _links(x, lists, direction[rows[0]], a, b)
+        if linked.any():
+            n[a] += linked @ copies[b]
+            if i != j:
+                n[b] += linked.T @ copies[a]
+            pairs += _reach(linked, cid[a], cid[b])
     hit = np.flatnonzero(n)
-    pairs = _reach(linked, cid[a], cid[b]) if len(hit) else []
+    pairs = list(dict.fromkeys(pairs))
     return pa.table(
         {
             "cid": pa.array([*cid[hit].tolist(), *(p for p, _ in pairs)], pa.int64()),
@@ -204,10 +231,13 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     tasks = meet.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select(
-        F.col("cid").alias("c"), "dim", "direction", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        F.col("cid").alias("c"), "dim", "direction", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     found = lists.join(tasks, F.col("cid") == F.col("c")).drop("c")
-    found = stored(found.groupBy("label", "dim", "direction", "i", "j").applyInArrow(compare, "cid long, links long, other long"), "vector-links")
+    # Directions of several blocks have tasks of their own; the others, most of them tiny, share tasks.
+    shards = F.lit(1 + meet.count() // ROWS_PER_TASK)
+    found = found.withColumn("task", F.when(F.col("blocks") > 1, F.col("direction")).otherwise(F.pmod(F.xxhash64("direction"), shards)))
+    found = stored(found.groupBy("label", "dim", "blocks", "task", "i", "j").applyInArrow(compare, "cid long, links long, other long"), "vector-links")
 
     n = found.filter("other IS NULL").groupBy(F.col("cid").alias("c")).agg(F.sum("links").alias("links"))
     roots = graph.components(found.filter("other IS NOT NULL").select(F.col("cid").alias("u"), F.col("other").alias("v")))
