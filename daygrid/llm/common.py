@@ -17,7 +17,7 @@ MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 
 #: Distinct words a task remembers before it starts anew; bounds the memory of a worker.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
