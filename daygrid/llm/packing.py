@@ -36,7 +36,7 @@ from daygrid.llm.common import stored
 CAPACITY = 4096
 END_ID = 1
 #: Chunks, and words in them, that a task remembers, and the longest one worth remembering.
-CHUNKS_KEPT = 120_000
+CHUNKS_KEPT = 200_000
 CHUNK_CHARS = 48
 _ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 _MARKS = ".,;:!?"
@@ -94,11 +94,11 @@ class ChunkIds:
             if len(known) > CHUNKS_KEPT:
                 known.clear()
         self.chunks[""] = b""
-        new = {c: self._parts(c) for c in {c for chunks in split for c in chunks} - self.chunks.keys()}
+        new = {c: self._parts(c) for c in set().union(*split) - self.chunks.keys()}
         words = {w for parts in new.values() for w in parts} - self.words.keys()
         rest = []
         for w in words:
-            if w.isalpha() and max(w) <= _LATIN and "\u0130" not in w:
+            if w.isalpha() and (w.isascii() or (max(w) <= _LATIN and "\u0130" not in w)):
                 # Letters only: one piece for the model, its bytes written as the byte-level step writes them.
                 piece = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
                 self.words[w] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
