@@ -63,8 +63,8 @@ class ChunkIds:
 
     The tokenizer lower-cases and separates letters, single digits and runs of other characters, so a chunk's ids are
     those of its lower-cased words and of what surrounds them. Only plain cases are taken apart: chunks in ASCII without
-    apostrophes, and marks after a last letter; all else is encoded as it stands. Words of Latin letters go straight to
-    the tokenizer's model.
+    apostrophes, and marks after a last letter; all else is encoded as it stands. Words of Latin letters in lower case go
+    straight to the tokenizer's model, which knows capitals as other ids: long chunks keep theirs and take the whole way.
     """
 
     def __init__(self, path: str):
@@ -98,8 +98,8 @@ class ChunkIds:
         words = {w for parts in new.values() for w in parts} - self.words.keys()
         rest = []
         for w in words:
-            if w.isalpha() and (w.isascii() or (max(w) <= _LATIN and "\u0130" not in w)):
-                # Letters only: one piece for the model, its bytes written as the byte-level step writes them.
+            if w.isalpha() and w == w.lower() and (w.isascii() or max(w) <= _LATIN):
+                # Lower-case letters only: one piece for the model, its bytes written as the byte-level step writes them.
                 piece = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS)
                 self.words[w] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
             else:

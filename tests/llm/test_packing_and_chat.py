@@ -57,6 +57,19 @@ def test_plan_does_not_grow_with_the_corpus():
 TEXTS = [None, "", " ", "Hello  World\n\nit's <|endoftext|> x", "É́ ΑΣ\x1cq r s", "word " * 9000, "z" * 300, "same text here", "same text here"]
 
 
+#: Runs of letters beyond CHUNK_CHARS with capitals, and marks, accents and case mappings at the edge of the short cuts.
+LONG_RUNS = ["ACGT" * 20, "A" * 49, "CamelCase" * 8, "ÀÉÎõü" * 12, "Straße" * 10, "z" * 60 + "\u0130", "é" * 60, "ÀÉ" * 24, "ACGT" * 12]
+
+
+def test_long_runs_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [*LONG_RUNS, *[f"a {x} b" for x in LONG_RUNS], *[x + "." for x in LONG_RUNS]]
+    for text, ids in zip(texts, packing.ChunkIds(packing.tokenizer_path()).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_match_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
