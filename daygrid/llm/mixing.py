@@ -1,6 +1,7 @@
 """Mixing to target weights by iterative proportional fitting.
 
-Documents fall into cells (source, language, topic). Their token weights are summed per cell in one pass, raked until
+Documents fall into cells (source, language, topic). Their tokens, counted by the tokenizer of the packing and with
+the end id, are summed per cell in one pass, raked until
 source, language and topic each have their target share, and turned into inclusion probabilities: proportional to
 raked over present weight, at most 1, at such a level that the expected weight is ``keep`` of the whole. Documents are
 then kept by a hash of their id against their cell's probability, row by row, so the same rows are kept on every run.
@@ -8,7 +9,7 @@ then kept by a hash of their id against their cell's probability, row by row, so
 Only cells reach the driver. Values without a target of their own share the entry ``OTHER``, so there are at most as
 many cells as the targets, a parameter, have combinations, however large the corpus is.
 
-Defined cases: null source or language and unlisted values are ``OTHER``; a null text weighs 0 and is ``general``;
+Defined cases: null source or language and unlisted values are ``OTHER``; a null text weighs its end id and is ``general``;
 repeated rows weigh and are kept alike; a null id hashes like the text ``~``; targets of absent values are spread over
 the present ones; an empty table gives an empty result; other columns pass through, whatever their names.
 """
@@ -21,7 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import fresh
+from daygrid.llm import packing
+from daygrid.llm.common import fresh, stored
 
 OTHER = "(other)"
 ROUNDS = 200
@@ -106,41 +108,45 @@ def probabilities(weights: np.ndarray, fitted: np.ndarray, keep: float) -> np.nd
     return np.minimum(1, high * ratio)
 
 
-def weighed(docs: DataFrame, targets: Targets, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with cell columns and weight (code points, in proportion to tokens) under free names."""
-    names = {n: fresh(docs, f"mix_{n}") for n in (*DIMENSIONS, "weight")}
+def in_cells(docs: DataFrame, targets: Targets, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with cell columns under free names."""
+    names = {n: fresh(docs, f"mix_{n}") for n in DIMENSIONS}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.withColumns(
         {
             names["source"]: _cell("source", targets.source),
             names["lang"]: _cell("lang", targets.lang),
             names["topic"]: topic_of(text),
-            names["weight"]: F.length(text).cast("long"),
         }
     ), names
 
 
-def cell_probabilities(docs: DataFrame, targets: Targets = PRODUCTION) -> dict[tuple[str, str, str], float]:
-    """Probability of every cell that occurs."""
-    rows, names = weighed(docs, targets)
+def weighed(docs: DataFrame, targets: Targets, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with cell columns and weight (tokens that packing makes of the text) under free names."""
+    rows, names = in_cells(docs, targets, text_col)
+    names["weight"] = fresh(rows, "mix_weight")
+    return rows.withColumn(names["weight"], packing.n_tokens(F.col(text_col).cast("string"))), names
+
+
+def cell_probabilities(rows: DataFrame, names: dict[str, str], targets: Targets = PRODUCTION) -> dict[tuple[str, str, str], float]:
+    """Probability of every cell that occurs in ``rows``, which ``weighed`` has made."""
     values = [list(dict.fromkeys([*getattr(targets, d), OTHER])) for d in DIMENSIONS]
-    cells = rows.groupBy(*[names[d] for d in DIMENSIONS]).agg(F.sum(names["weight"]).alias("w"), F.count("*").alias("n"))
-    found = {tuple(r)[:3]: (r["w"], r["n"]) for r in cells.collect()}
+    cells = rows.groupBy(*[names[d] for d in DIMENSIONS]).agg(F.sum(names["weight"]).alias("w"))
+    found = {tuple(r)[:3]: r["w"] for r in cells.collect()}
     weights = np.zeros([len(v) for v in values])
     place = [{x: i for i, x in enumerate(v)} for v in values]
-    for cell, (w, n) in found.items():
-        weights[tuple(p[x] for p, x in zip(place, cell, strict=True))] = max(w, n * 1e-3)
+    for cell, w in found.items():
+        weights[tuple(p[x] for p, x in zip(place, cell, strict=True))] = w
     shares = [np.array([getattr(targets, d).get(x, 0.0) for x in v]) for d, v in zip(DIMENSIONS, values, strict=True)]
     p = probabilities(weights, rake(weights, shares), targets.keep)
     return {cell: float(p[tuple(q[x] for q, x in zip(place, cell, strict=True))]) for cell in found}
 
 
-def with_probability(docs: DataFrame, targets: Targets = PRODUCTION, id_col: str = "doc_id") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with cell columns, weight, ``probability`` and ``kept`` under free names (returned)."""
-    cells = cell_probabilities(docs, targets)
-    rows, names = weighed(docs, targets)
-    names["probability"] = fresh(rows, "mix_probability")
-    names["kept"] = fresh(rows, "mix_kept")
+def _drawn(
+    rows: DataFrame, names: dict[str, str], cells: dict[tuple[str, str, str], float], targets: Targets, id_col: str
+) -> tuple[DataFrame, dict[str, str]]:
+    """``rows`` with their cells' ``probability`` and ``kept`` under free names."""
+    names = {**names, "probability": fresh(rows, "mix_probability"), "kept": fresh(rows, "mix_kept")}
     # As many rows as the targets have combinations: bounded by a parameter.
     listed = rows.sparkSession.createDataFrame(
         [(*k, v) for k, v in sorted(cells.items())], "mix_s string, mix_l string, mix_t string, mix_p double"
@@ -153,7 +159,21 @@ def with_probability(docs: DataFrame, targets: Targets = PRODUCTION, id_col: str
     return rows.withColumn(names["kept"], F.coalesce(draw < F.col(names["probability"]), F.lit(False))), names
 
 
-def sample(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` that the mix keeps, with their own columns."""
-    rows, names = with_probability(docs, targets)
+def with_probability(
+    docs: DataFrame, targets: Targets = PRODUCTION, id_col: str = "doc_id", columns: list[str] | None = None
+) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with cell columns, weight, ``probability`` and ``kept`` under free names (returned).
+
+    Tokens are counted once, so the rows are stored; ``columns`` of ``docs`` come along, all where unset.
+    """
+    rows, names = weighed(docs, targets)
+    own = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]
+    rows = stored(rows.select(*own, *names.values()), "mix-weights")
+    return _drawn(rows, names, cell_probabilities(rows, names, targets), targets, id_col)
+
+
+def sample(docs: DataFrame, targets: Targets = PRODUCTION, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that the mix keeps, with their own columns; the second pass needs cells only, no tokens."""
+    cells = cell_probabilities(*weighed(docs, targets), targets)
+    rows, names = _drawn(*in_cells(docs, targets), cells, targets, id_col)
     return rows.filter(F.col(names["kept"])).select(*[F.col(f"`{c}`") for c in docs.columns])

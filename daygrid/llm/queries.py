@@ -75,7 +75,7 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_mixing")
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = mixing.with_probability(table(spark, sf_dir, "documents"))
+    rows, names = mixing.with_probability(table(spark, sf_dir, "documents"), columns=["doc_id"])
     cell = [F.col(names[d]).alias(d) for d in (*mixing.DIMENSIONS, "weight", "probability", "kept")]
     return rows.select("doc_id", *cell)
 

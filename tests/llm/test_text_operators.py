@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daygrid.llm import mixing, quality_classifier, quality_rules, secret_scans
+from daygrid.llm import mixing, packing, quality_classifier, quality_rules, secret_scans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "alpha beta gamma delta " * 9000
@@ -238,6 +238,15 @@ def test_mix_draws_towards_the_targets(spark):
     assert abs(english["b"] / after - mixing.PRODUCTION.lang["en"]) < abs(english["a"] / before - mixing.PRODUCTION.lang["en"]) + 0.01
 
 
+def test_mix_weighs_by_the_tokens_that_packing_makes(spark):
+    docs = messy(spark)
+    rows, names = mixing.with_probability(docs)
+    assert set(docs.columns) < set(rows.columns) and rows.count() == len(ROWS)
+    pieces = packing.pieces(docs).groupBy("doc_id").agg(F.sum("length")).collect()
+    weights = rows.groupBy("doc_id").agg(F.sum(names["weight"])).collect()
+    assert sorted(map(tuple, weights), key=str) == sorted(map(tuple, pieces), key=str)
+
+
 def test_mix_on_odd_rows(spark):
     docs = messy(spark)
     kept = mixing.sample(docs)
