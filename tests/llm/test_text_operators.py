@@ -228,6 +228,31 @@ def test_raking_reaches_the_marginals():
     assert np.isclose((weights * p).sum(), 0.3 * weights.sum()) and p.max() <= 1 and (p[weights == 0] == 0).all()
 
 
+def test_bounded_raking_reaches_the_marginals_with_full_cells():
+    weights = np.array([[[30.0, 400.0], [50.0, 300.0]], [[20.0, 50.0], [60.0, 90.0]]])
+    shares = [np.array([0.7, 0.3]), np.array([0.4, 0.6]), np.array([0.22, 0.78])]
+    p = mixing.probabilities(weights, mixing.rake(weights, shares, 2000, keep=0.7), 0.7)
+    kept = weights * p
+    assert p.max() <= 1 and (p > 1 - 1e-9).any() and np.isclose(kept.sum(), 700)
+    for axis, share in enumerate(shares):
+        assert np.allclose(kept.sum(tuple(i for i in range(3) if i != axis)) / 700, share, atol=1e-6)
+
+
+def test_bounded_raking_takes_all_of_what_is_short():
+    weights = np.array([[10.0, 10.0], [400.0, 580.0]])
+    kept = mixing.rake(weights, [np.array([0.5, 0.5]), np.array([0.3, 0.7])], keep=0.7)
+    assert np.allclose(kept.sum(1), [20, 680]) and np.allclose(kept.sum(0), [210, 490], atol=1e-3) and (kept <= weights).all()
+
+
+def test_fit_tells_targets_and_reached_shares(spark):
+    docs = spark.createDataFrame([(i, "some words", "en" if i % 4 else "de", "a") for i in range(40)], SCHEMA.rsplit(",", 1)[0])
+    targets = mixing.Targets({"a": 1.0}, {"en": 0.5, "de": 0.5}, {"general": 1.0}, keep=0.8)
+    fit = mixing.fit(*mixing.weighed(docs, targets), targets)
+    told = {m.value: (m.present, m.target, m.reached) for m in fit.margins if m.dimension == "lang"}
+    assert told["de"] == pytest.approx((0.25, 0.5, 0.3125)) and told["en"] == pytest.approx((0.75, 0.5, 0.6875))
+    assert fit.keep == pytest.approx(0.8)
+
+
 def test_mix_draws_towards_the_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows, names = mixing.with_probability(docs)
