@@ -1,6 +1,7 @@
-"""Quality rules as a ledger: every rule is evaluated once, policies only read the stored bits.
+"""Quality rules as a ledger: every rule is evaluated once, policies only read its bits.
 
-``ledger`` measures each text once and stores the measurements and one failure bit per rule. A policy is a named,
+``ledger`` measures each text once and gives the measurements and one failure bit per rule; it is lazy, so a caller
+with several policies or an ablation stores it first, and the registered paths, with one pass each, keep it in flight. A policy is a named,
 versioned set of rules (a bit mask); it decides with one AND per document and never looks at a text again.
 ``ablation`` counts documents per distinct bit pattern (at most 2^rules groups, combined map-side) and derives from
 that small table what each policy rejects and what leaving out one rule would change.
