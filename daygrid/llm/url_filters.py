@@ -17,6 +17,7 @@ as pages of their host; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from daygrid.llm.common import stored
 
 DAMPING = 0.85
 ROUNDS = 10
+#: Summed change of scores between two stored tables at which ranks are settled.
+SETTLED = 1e-9
 #: Rounds between two stored tables.
 STORE_EVERY = 5
 #: Distrust, in multiples of the mean over all hosts, from which a host is blocked.
@@ -106,13 +109,16 @@ def _with_mass(seeds: DataFrame) -> DataFrame:
     return seeds.select("host", F.coalesce(F.try_divide(F.col("seed"), total), F.lit(0.0)).alias("seed"))
 
 
-def page_rank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def page_rank(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, score): PageRank of ``links`` (src, dst, weight) with jumps to ``seeds`` (host, seed; sums to 1).
 
+    ``rounds`` None: as many as it takes to settle; a round shrinks the change by ``DAMPING``, so it ends.
+
     Mass that no link carries on stays out, so a host without links scores its own jump share; scores are comparable.
     """
     ranks = seeds.select("host", F.col("seed").alias("score"))
-    for n in range(1, rounds + 1):
+    last = ranks
+    for n in count(1) if rounds is None else range(1, rounds + 1):
         flow = (
             links.join(ranks, links["src"] == ranks["host"])
             .groupBy("dst")
@@ -121,12 +127,18 @@ def page_rank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         ranks = seeds.join(flow, seeds["host"] == flow["dst"], "left").select(
             "host", ((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0))).alias("score")
         )
-        if n % STORE_EVERY == 0 and n < rounds:
+        if n % STORE_EVERY == 0 and (rounds is None or n < rounds):
             ranks = stored(ranks, "host-ranks")
+            if rounds is None:
+                old = last.select(F.col("host").alias("old_host"), F.col("score").alias("old"))
+                change = ranks.join(old, F.col("host") == F.col("old_host")).agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+                if (change or 0.0) < SETTLED:
+                    break
+                last = ranks
     return ranks
 
 
-def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, trust, distrust, verdict) of every host with a page or a link to it."""
     share = lambda verdict: F.avg(F.when(F.col("rule.verdict") == verdict, 1.0).otherwise(0.0))
     links = stored(edges(pages), "host-links")
@@ -148,7 +160,7 @@ def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     return scores.select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("verdict"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page: the rule's verdict, else the host's."""
     scores = stored(host_scores(pages, rules, rounds).select("host", "verdict"), "host-verdicts")
     bad = scores.filter("verdict = 'block'").select(F.col("host").alias("bad_host"))

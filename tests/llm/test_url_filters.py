@@ -71,5 +71,13 @@ def test_distrust_blocks_hosts_that_link_to_blocked_ones(spark):
     assert got[990] == "block" and got[900] == "block" and all(got[i] == "allow" for i in range(200))
 
 
+def test_distrust_reaches_hosts_many_links_away(spark):
+    pages = [(i, f"http://h{i}.org/", None) for i in range(300)]
+    pages += [(900, "http://x.net/es/1", None), (1001, "http://c1.org/", '<a href="http://x.net/es/1">')]
+    pages += [(1000 + i, f"http://c{i}.org/", f'<a href="http://c{i - 1}.org/">') for i in range(2, 13)]
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[1012] == "block" and all(got[i] == "allow" for i in range(300))
+
+
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
