@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, with SQL where SQL can say the same."""
+"""The operators as registered queries over whole tables, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daygrid.llm import (
     chat,
     embedding_dedup,
+    instruction_packing,
     mixing,
     packing,
     quality_classifier,
@@ -93,3 +94,8 @@ def embedding_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_dedup")
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op13_instruction_packing")
+def instruction_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instruction_packing.pack(table(spark, sf_dir, "documents"))
