@@ -8,15 +8,16 @@ The plan is made in the driver over counts, not examples: an example is full blo
 and what counts about each is its class (length, tokens of it without loss), at most ``capacity``^2 / 2 classes whatever
 the corpus. Sequences are filled one pattern at a time, as often as the counts allow. A pattern takes the class with the
 greatest dot product of its three sizes and the room left, each dimension weighted by its total demand, until none fits
-whole. The gap is filled by cutting a full block, or where those have run out the longest piece; the other part returns
-to the pool. Full blocks wait for this until all shorter pieces have a place. Where a limit other than tokens, or the end
-of the pool, leaves a sequence short, it is closed at a power of two and the rest returns to the pool: nothing is padded.
+whole. The gap is filled by cutting the longest piece, whose other part returns to the pool; where segments run out,
+by cutting a full block. Other full blocks take no part and have sequences of their own. Where a limit other than tokens,
+or the end of the pool, leaves a sequence short, it is closed at a power of two and the rest returns to the pool: nothing
+is padded.
 
 The plan is a table of slots: of the items of a class, ranks ``lo <= rank < hi`` give tokens ``from`` to ``from +
 length`` to sequences ``sequence + rank - lo``. It is broadcast: each pattern uses up a class, and has a row for each of
-its at most ``max_segments`` pieces and each part of the pool they come from; a few thousand rows in practice. Ranks
-are counted in buckets of a digest, so a class that a third of all items share is nobody's single task. The ids are
-stored once and meet the cuts by row number; cutting and checksums are column functions.
+its at most ``max_segments`` pieces and each part of the pool they come from; some thousand rows in practice. Ranks
+are counted in buckets of a digest, so a class that a third of all items share is nobody's single task. Few items are
+cut (one in some hundred): only those meet their stored ids again, all others keep the checksum taken with their tokens.
 
 Tokens: byte-level BPE files whose ids follow the order of merges, as the public ones do, are read into the rank-based
 library, which gives the same ids four times as fast (compared for every code point and mixed white space); other files
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import functools
 import json
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygrid.functions.ranking import bucketed_row_number, md5_bucket
-from daygrid.llm.common import stored
+from daygrid.llm.common import FILTER_BITS, bitset, contains, stored
 from daygrid.llm.packing import tokenizer_path
 
 CAPACITY = 1024
@@ -109,37 +111,45 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return ids
 
 
-def tokenised(
+def items(
     docs: DataFrame,
     path: str | None = None,
+    capacity: int = CAPACITY,
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
     prompt_col: str | None = None,
 ) -> DataFrame:
-    """One row per example: doc_id, prompt, doc_tokens and ids (little-endian uint32) with the end id."""
+    """Full blocks and rest of every example, with the end id: doc_id, doc_tokens, item (its first token), length, head
+    (tokens without loss), ids_crc32, ids (little-endian uint32)."""
     path = path or tokenizer_path(TOKENIZER)
     prompt = F.coalesce(F.col(prompt_col).cast("long"), F.lit(0)) if prompt_col else F.lit(0)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), prompt.cast("long").alias("prompt")
     )
+    longs = ("doc_tokens", "item", "length", "head", "ids_crc32")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [ids_of(t.as_py() or "").tobytes() + end for t in part.column(1)]
-                sizes = pa.array([len(x) // 4 for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), sizes, pa.array(found, pa.binary())],
-                    ["doc_id", "prompt", "doc_tokens", "ids"],
-                )
+                source, out = [], []
+                for row, (text, prompt) in enumerate(zip(part.column(1), part.column(2).to_pylist(), strict=True)):
+                    ids = ids_of(text.as_py() or "").tobytes() + end
+                    for b in range(0, len(ids), width):
+                        own = ids[b : b + width]
+                        first, length = b // 4, len(own) // 4
+                        source.append(row)
+                        out.append((len(ids) // 4, first, length, max(0, min(prompt - first, length)), zlib.crc32(own), own))
+                columns = list(zip(*out, strict=True)) if out else [()] * 6
+                arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
+                owner = part.column(0).take(pa.array(source, pa.int64()))
+                yield pa.RecordBatch.from_arrays([owner, *arrays, pa.array(columns[5], pa.binary())], ["doc_id", *longs, "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(encode, f"doc_id {kind}, prompt long, doc_tokens long, ids binary")
-    return out.withColumn("prompt", F.greatest(F.lit(0), F.least("prompt", "doc_tokens")))
+    return rows.mapInArrow(cut, f"doc_id {kind}, {', '.join(f'{c} long' for c in longs)}, ids binary")
 
 
 #: A slot: of the items of class (length, head), ranks lo <= rank < hi give ``size`` tokens from ``start`` to sequences
@@ -211,13 +221,20 @@ def plan(
             left[best] -= 1
             pattern.append((int(alive[best]), int(length[best])))
             room -= sizes[best]
-        if room[0] and room[1] and left.any():
-            # None fits whole: part of a full block, or of the longest piece. Its tokens without loss come first.
-            best = int(np.argmax(np.where(left > 0, length, 0)))
-            size = min(int(room[0]), int(length[best]), int(head[best]) + int(room[2]))
-            if size:
-                pattern.append((int(alive[best]), size))
-                room[0] -= size
+        if room[0] and room[1]:
+            # None fits whole: part of a shorter piece, the longest of those that give most, or of a full block where
+            # segments run out. Tokens without loss come first in each.
+            gives = np.where(left > 0, np.minimum(np.minimum(length, room[0]), head + room[2]), 0).astype(int)
+            if not (room[1] < 2 and gives[length < capacity].max(initial=0) < room[0]):
+                gives[length == capacity] = 0
+            best = int(np.argmax(gives * (capacity + 1) + length)) if gives.any() else 0
+            if gives.any():
+                pattern.append((int(alive[best]), int(gives[best])))
+                room[0] -= gives[best]
+            elif not pattern:  # full blocks only
+                best = int(np.argmax(left))
+                pattern.append((int(alive[best]), min(capacity, int(head[best]) + max_loss)))
+                room[0] -= pattern[0][1]
         total = capacity - int(room[0])
         closed = total if total == capacity else 1 << total.bit_length() - 1
         kept, at = [], 0
@@ -238,23 +255,24 @@ def plan(
     return slots
 
 
-def items(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Full blocks and rest of every example: row_no, item (its first token), length, head."""
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("doc_tokens") - 1) / capacity))
-    cut = rows.select("row_no", "prompt", "doc_tokens", F.explode(blocks).alias("n")).select(
-        "row_no", "prompt", (F.col("n") * capacity).alias("item"), "doc_tokens"
-    )
-    length = F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("item"))
-    head = F.greatest(F.lit(0), F.least(F.col("prompt") - F.col("item"), length)).cast("long")
-    return cut.select("row_no", "item", length.alias("length"), head.alias("head"))
-
-
 def classes(cut: DataFrame) -> dict[tuple[int, int], int]:
     """Items of each class; at most ``capacity``^2 / 2 rows reach the driver."""
     counted: Iterable = cut.groupBy("length", "head").agg(F.count("*").alias("n")).toLocalIterator()
     return {(r["length"], r["head"]): r["n"] for r in counted}
 
 
+def _ids_of(cut: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ids of the items of ``cut``; a bitset of bounded size keeps most of the others from the join."""
+    place = F.pmod(F.xxhash64("item_no"), F.lit(FILTER_BITS)).alias("place")
+    bits = bitset(cut.select(place))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(contains(bits, batch.column(0).to_numpy()))).select([1, 2])
+
+    return rows.select(place, F.col("item_no").alias("of_item"), "ids").mapInArrow(possible, "of_item long, ids binary")
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -269,33 +287,33 @@ def pack(
 
     ``with_ids`` adds the ids of each piece. ``columns``: id_col, text_col, prompt_col.
     """
-    rows = tokenised(docs, path, end_id, **columns).withColumn("row_no", F.monotonically_increasing_id())
-    rows = stored(rows, "examples", compression="zstd")
-    cut = stored(items(rows, capacity), "items")
-    slots = rows.sparkSession.createDataFrame(plan(classes(cut), capacity, max_segments, max_loss), SLOT)
+    rows = items(docs, path, capacity, end_id, **columns).withColumn("item_no", F.monotonically_increasing_id())
+    rows = stored(rows, "items", compression="zstd")
+    slots = rows.sparkSession.createDataFrame(plan(classes(rows), capacity, max_segments, max_loss), SLOT)
     slots = slots.select(*[F.col(c).alias(f"s_{c}") for c in slots.columns])
-    bucket = md5_bucket(F.concat_ws(":", "row_no", "item"))
-    ranked = bucketed_row_number(cut, ["length", "head"], bucket, [F.col("row_no"), F.col("item")])
+    bucket = md5_bucket(F.col("item_no").cast("string"))
+    ranked = bucketed_row_number(rows.drop("ids"), ["length", "head"], bucket, [F.col("item_no")])
     nth = F.col("rank") - 1
     fits = (F.col("length") == F.col("s_length")) & (F.col("head") == F.col("s_head")) & (nth >= F.col("s_lo")) & (nth < F.col("s_hi"))
+    silent = F.greatest(F.lit(0), F.least(F.col("head") - F.col("s_start"), F.col("s_size")))
     placed = ranked.join(F.broadcast(slots), fits).select(
-        F.col("row_no").alias("of_row"),
-        F.struct(
-            (F.col("item") + F.col("s_start")).alias("start"),
-            F.col("s_size").alias("length"),
-            (F.col("s_sequence") + nth - F.col("s_lo")).alias("sequence_id"),
-            F.col("s_at").alias("offset"),
-            (F.col("s_size") - F.greatest(F.lit(0), F.least(F.col("head") - F.col("s_start"), F.col("s_size")))).alias("loss_tokens"),
-        ).alias("p"),
-    )
-    # The pieces of one example are bounded by its own length.
-    per_row = placed.groupBy("of_row").agg(F.collect_list("p").alias("pieces"))
-    ids = lambda p: F.substring(F.col("ids"), (p["start"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int"))
-    names = ("start", "length", "sequence_id", "offset", "loss_tokens")
-    more = lambda p: [ids(p).alias("ids")] if with_ids else []
-    cuts = F.transform(
-        "pieces", lambda p: F.struct(*[p[c].alias(c) for c in names], F.crc32(ids(p)).alias("ids_crc32"), *more(p))
+        "doc_id",
+        (F.col("item") + F.col("s_start")).alias("start"),
+        F.col("s_size").alias("length"),
+        F.when(F.col("s_size") == F.col("length"), F.col("ids_crc32")).alias("ids_crc32"),
+        "doc_tokens",
+        (F.col("s_sequence") + nth - F.col("s_lo")).alias("sequence_id"),
+        F.col("s_at").alias("offset"),
+        (F.col("s_size") - silent).alias("loss_tokens"),
+        "item_no",
+        F.col("s_start").alias("inside"),
     )
-    whole = rows.join(per_row, F.col("row_no") == F.col("of_row")).select("doc_id", "doc_tokens", F.inline(cuts))
-    order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
-    return whole.select(*order, *(["ids"] if with_ids else []))
+    placed = stored(placed, "placed")
+    cut = placed if with_ids else placed.filter("ids_crc32 IS NULL")
+    ids = rows.select(F.col("item_no").alias("of_item"), "ids") if with_ids else _ids_of(cut, rows)
+    own = F.expr("substring(ids, cast(4 * inside + 1 AS int), cast(4 * length AS int))")
+    cut = cut.join(ids, F.col("item_no") == F.col("of_item")).withColumn("ids", own).withColumn("ids_crc32", F.crc32("ids"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
+    if with_ids:
+        return cut.select(*names, "ids")
+    return placed.filter("ids_crc32 IS NOT NULL").select(names).unionByName(cut.select(names))
