@@ -13,6 +13,7 @@ from daygrid.llm import (
     instruction_packing,
     mixing,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scans,
@@ -20,6 +21,7 @@ from daygrid.llm import (
     sql,
     suffix_dedup,
     url_filters,
+    whitening,
 )
 from daygrid.llm.common import table
 
@@ -99,3 +101,15 @@ def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_instruction_packing")
 def instruction_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruction_packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Beyond what a long holds, from some million vectors on, the decimal has no counterpart here.
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapse(table(spark, sf_dir, "documents"), change=periodic_runs.planted)
