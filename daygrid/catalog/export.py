@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
-from daygrid.catalog.registry import query
+from daygrid.catalog.registry import position_sums, query, rounded
+from daygrid.catalog.sql import rd
 from daygrid.operators import export, samples
 from daygrid.plans import stages
 
@@ -14,23 +15,22 @@ NUMBERED = """(SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(participant
 
 
 def flat_samples(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     return samples.flatten_days(samples.zero_missing(rows))
 
 
-@query(
-    "x01_series_records",
-    f"""SELECT w.participant_id || '_' || w.row_number AS item_id, epoch_us(w.start_date::TIMESTAMP) AS start_us, 'T' AS freq,
-CAST(24 AS INTEGER) AS features, CAST(10080 AS INTEGER) AS length,
-CAST(24 * 10080 - (SELECT count(*) FROM wmin m WHERE m.participant_id = w.participant_id AND m.start_date = w.start_date
-  AND m.value <> 0) AS INTEGER) AS n_nan FROM {NUMBERED} w""",
-)
-def _(spark, d):
-    numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
-    out = export.series_records(
-        flat_samples(spark, d), numbered, masked_as_nan=True, include_mask=False
-    )
+#: Targets in sums that tell channel and minute of each value.
+SERIES_SQL = f"""SELECT w.participant_id || '_' || w.row_number AS item_id, epoch_us(w.start_date::TIMESTAMP) AS start_us, 'T' AS freq,
+CAST(24 AS INTEGER) AS features, CAST(10080 AS INTEGER) AS length, CAST(24 * 10080 - count(m.value) AS INTEGER) AS n_nan,
+{rd("coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)", 3)} AS total,
+{rd("coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.channel_idx * 10080 + m.day_index * 1440 + m.minute + 1)), 0)", 0)} AS weighted
+FROM {NUMBERED} w LEFT JOIN (SELECT * FROM wmin WHERE value <> 0) m ON m.participant_id = w.participant_id AND m.start_date = w.start_date
+GROUP BY w.participant_id, w.row_number, w.start_date"""
+
+
+def series_sums(records):
     nans = F.transform("target", lambda row: F.size(F.filter(row, lambda v: F.isnan(v))))
+    out = records.withColumn("v", position_sums(F.flatten("target")))
     return out.select(
         "item_id",
         F.unix_micros("start").alias("start_us"),
@@ -38,9 +38,20 @@ def _(spark, d):
         F.size("target").alias("features"),
         F.size(F.get("target", F.lit(0))).alias("length"),
         F.aggregate(nans, F.lit(0), lambda a, n: a + n).alias("n_nan"),
+        rounded("v.total", 3).alias("total"),
+        rounded("v.weighted", 0).alias("weighted"),
     )
 
 
+@query("x01_series_records", SERIES_SQL)
+def _(spark, d):
+    numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
+    out = export.series_records(
+        flat_samples(spark, d), numbered, masked_as_nan=True, include_mask=False
+    )
+    return series_sums(out)
+
+
 @query(
     "x02_static_features",
     "SELECT participant_id, start_date, "
@@ -77,9 +88,12 @@ def _(spark, d):
     )
 
 
-@query("x04_feature_count", "SELECT CAST(24 AS BIGINT) AS features, count(*) AS samples FROM win")
+@query(
+    "x04_feature_count",
+    """SELECT features, count(*) AS samples FROM (SELECT w.participant_id, w.start_date, count(DISTINCT m.channel_idx) AS features
+FROM win w LEFT JOIN wmin m ON m.participant_id = w.participant_id AND m.start_date = w.start_date GROUP BY ALL) GROUP BY features""",
+)
 def _(spark, d):
-    return export.feature_count(
-        samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
-        .select(*samples.SAMPLE, "channel_idx")
-    )
+    """Samples by the number of channels they have data of: placeholders are no data, so samples may be uneven."""
+    rows = samples.sample_days(stages.window_table(spark, d), stages.day_runs(spark, d))
+    return export.feature_count(rows.select(*samples.SAMPLE, F.explode_outer("channels.channel_idx").alias("channel_idx")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
-from daygrid.catalog.registry import query, rounded, rounded_all
+from daygrid.catalog.registry import position_sums, query, rounded, rounded_all
 from daygrid.catalog.sql import rd
 from daygrid.functions import arrays as A
 from daygrid.operators import clean, grid, intervals, samples, summary
@@ -151,6 +151,12 @@ def _(spark, d):
     return days.select(*DAY, F.bit_count("channel_bits").cast("long").alias("channels"))
 
 
+def _sums(column, suffix="", digits=1):
+    """Sum of an array's values and of their products with their places."""
+    sums = position_sums(F.col(column))
+    return [rounded(sums["total"], 3).alias(f"total{suffix}"), rounded(sums["weighted"], digits).alias(f"weighted{suffix}")]
+
+
 SEGMENT_SQL = f"""SELECT s.participant_id, s.start_date, s.segment, CAST(720 AS INTEGER) AS length,
 CAST(count(m.value) FILTER (m.value <> 0) AS INTEGER) AS observed, {rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)', 3)} AS total,
 {rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.channel_idx * 30 + m.minute % 30 + 1)), 0)', 2)} AS weighted
@@ -162,33 +168,15 @@ GROUP BY s.participant_id, s.start_date, s.segment"""
 
 @query("i14_segments", SEGMENT_SQL)
 def _(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     cut = samples.segments(rows)
-    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), F.lit(0).alias("i"))
-    sums = F.aggregate(
-        "values",
-        zero,
-        lambda a, v: F.struct(
-            (a["t"] + v).alias("t"),
-            (a["w"] + v * (a["i"] + 1)).alias("w"),
-            (a["i"] + 1).alias("i"),
-        ),
-    )
     return cut.select(
         "participant_id",
         "start_date",
         "segment",
         F.size("values").alias("length"),
         F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
-        F.inline(F.array(sums)),
-    ).select(
-        "participant_id",
-        "start_date",
-        "segment",
-        "length",
-        "observed",
-        rounded("t", 3).alias("total"),
-        rounded("w", 2).alias("weighted"),
+        *_sums("values", digits=2),
     )
 
 
@@ -197,13 +185,15 @@ def _(spark, d):
     f"""SELECT w.participant_id, w.start_date, CAST(c.channel_idx AS INTEGER) AS channel_idx, CAST(10080 AS INTEGER) AS length,
 CAST(count(m.value) FILTER (m.value <> 0) AS INTEGER) AS observed,
 CAST(coalesce(min(m.day_index * 1440 + m.minute) FILTER (m.value <> 0), -1) AS INTEGER) AS first_position,
-CAST(coalesce(max(m.day_index * 1440 + m.minute) FILTER (m.value <> 0), -1) AS INTEGER) AS last_position
+CAST(coalesce(max(m.day_index * 1440 + m.minute) FILTER (m.value <> 0), -1) AS INTEGER) AS last_position,
+{rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)', 3)} AS total,
+{rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.day_index * 1440 + m.minute + 1)), 0)', 1)} AS weighted
 FROM win w, (SELECT unnest(range(0, 24)) AS channel_idx) c
 LEFT JOIN wmin m ON m.participant_id = w.participant_id AND m.start_date = w.start_date AND m.channel_idx = c.channel_idx
 GROUP BY w.participant_id, w.start_date, c.channel_idx""",
 )
 def _(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     flat = samples.flatten_days(rows)
     flags = F.transform("mask", lambda m: m == 1)
     return flat.select(
@@ -219,6 +209,7 @@ def _(spark, d):
                 F.size("mask") - F.array_position(F.reverse(flags), True),
             ).otherwise(F.lit(-1))
         ).cast("int").alias("last_position"),
+        *_sums("values"),
     )
 
 
@@ -234,7 +225,7 @@ LEFT JOIN (SELECT participant_id, date, channel_idx, count(*) AS n FROM minutes
   ON m.participant_id = w.participant_id AND m.date = w.date AND m.channel_idx = c.channel_idx""",
 )
 def _(spark, d):
-    df = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    df = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     return df.select(
         "participant_id",
         "start_date",
@@ -262,7 +253,7 @@ GROUP BY w.participant_id, w.start_date, w.day_index, c.channel_idx""",
 def _(spark, d):
     df = samples.window_samples(
         stages.window_table(spark, d),
-        stages.day_channel(spark, d),
+        stages.day_runs(spark, d),
         standardization=stages.standardization(spark, d),
     )
     return df.select(
@@ -295,7 +286,9 @@ def _(spark, d):
 @query(
     "i19_split_by_day",
     f"""SELECT w.participant_id, w.start_date, r.role, CAST(w.day_index - r.first AS INTEGER) AS role_day,
-CAST(c.channel_idx AS INTEGER) AS channel_idx, CAST(count(m.value) AS INTEGER) AS observed
+CAST(c.channel_idx AS INTEGER) AS channel_idx, CAST(count(m.value) AS INTEGER) AS observed,
+{rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)', 3)} AS total,
+{rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.minute + 1)), 0)', 1)} AS weighted
 FROM wdays w JOIN (VALUES ('x', 0, 5), ('y', 4, 6)) r(role, first, past) ON w.day_index >= r.first AND w.day_index < r.past
 CROSS JOIN (SELECT unnest(range(0, 24)) AS channel_idx) c
 LEFT JOIN (SELECT * FROM wmin WHERE value <> 0) m ON m.participant_id = w.participant_id
@@ -304,7 +297,7 @@ GROUP BY w.participant_id, w.start_date, r.role, w.day_index - r.first, c.channe
 )
 def _(spark, d):
     inputs, horizon = samples.forecast_minutes("5-2d")
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     out = samples.split_days(rows, inputs, horizon, C.MINUTES_PER_DAY)
     return out.select(
         "participant_id",
@@ -313,12 +306,23 @@ def _(spark, d):
         "role_day",
         "channel_idx",
         F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
+        *_sums("values"),
     )
 
 
+_AT = "m.day_index * 1440 + m.minute"
+_VALUE = "CAST(CAST(m.value AS FLOAT) AS DOUBLE)"
+_IN = f"FILTER ({_AT} BETWEEN {{first}} AND {{last}})"
+_PART_SQL = (
+    rd(f"coalesce(sum({_VALUE}) {_IN}, 0)", 3) + " AS total_{name}, "
+    + rd(f"coalesce(sum({_VALUE} * ({_AT} - {{first}} + 1)) {_IN}, 0)", 1) + " AS weighted_{name}"
+)
+
+
 @query(
     "i20_split_by_minute",
-    """SELECT w.participant_id, w.start_date, CAST(c.channel_idx AS INTEGER) AS channel_idx,
+    f"""SELECT w.participant_id, w.start_date, CAST(c.channel_idx AS INTEGER) AS channel_idx,
+{_PART_SQL.format(name='x', first=0, last=5999)}, {_PART_SQL.format(name='y', first=5900, last=8899)},
 CAST(6000 AS INTEGER) AS length_x, CAST(3000 AS INTEGER) AS length_y,
 CAST(count(m.value) FILTER (m.day_index * 1440 + m.minute < 6000) AS INTEGER) AS observed_x,
 CAST(count(m.value) FILTER (m.day_index * 1440 + m.minute BETWEEN 5900 AND 8899) AS INTEGER) AS observed_y
@@ -328,7 +332,7 @@ LEFT JOIN (SELECT * FROM wmin WHERE value <> 0) m ON m.participant_id = w.partic
 GROUP BY w.participant_id, w.start_date, c.channel_idx""",
 )
 def _(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     out = samples.split_flat(samples.flatten_days(rows), 6000, 3000, 100)
 
     def total(c):
@@ -342,6 +346,8 @@ def _(spark, d):
         F.size("data_y").alias("length_y"),
         total("mask_x").alias("observed_x"),
         total("mask_y").alias("observed_y"),
+        *_sums("data_x", "_x"),
+        *_sums("data_y", "_y"),
     )
 
 

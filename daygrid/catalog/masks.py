@@ -16,7 +16,7 @@ GAP = 4  # gap threshold fitting vectors of 64 cells
 
 
 def _samples(spark, d):
-    return samples.with_placeholders(stages.window_table(spark, d), stages.day_channel(spark, d))
+    return samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
 
 
 def _total(column="mask"):

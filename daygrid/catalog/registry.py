@@ -44,6 +44,16 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
     return F.round(c + F.lit(nudge(digits)), digits)
 
 
+def position_sums(values: Column) -> Column:
+    """Struct of the sum of an array's values and of their products with their positions from 1; NaN counts as zero."""
+    x = F.transform(values, lambda v: F.nanvl(v.cast("double"), F.lit(0.0)))
+    placed = F.zip_with(x, F.sequence(F.lit(1), F.size(values)), lambda v, i: v * i)
+    add = lambda a, v: a + v
+    return F.struct(
+        F.aggregate(x, F.lit(0.0), add).alias("total"), F.aggregate(placed, F.lit(0.0), add).alias("weighted")
+    )
+
+
 def rounded_all(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
     """Round every double column."""
     return df.select(

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
-from daygrid.catalog.export import flat_samples
+from daygrid.catalog.export import SERIES_SQL, flat_samples, series_sums
 from daygrid.catalog.labels import FLAT_SQL
-from daygrid.catalog.registry import query, rounded, rounded_all
+from daygrid.catalog.registry import position_sums, query, rounded, rounded_all
 from daygrid.catalog.sql import rd
 from daygrid.catalog.stats import STANDARD_SQL
-from daygrid.operators import export, labels, post, samples, splits
+from daygrid.operators import days, export, labels, post, samples, splits
 from daygrid.plans import stages
-from daygrid.plans.incremental import build_days
+from daygrid.plans.incremental import build_days_from_files
 from daygrid.sources import adapter, files
-from daygrid.sources.session import scratch_path
+from daygrid.sources.session import scratch_path, source_state
 
 RAW_SQL = f"""SELECT participant_id, record_id, modality, type, start_us, end_us, start_offset,
 {rd('value', 4)} AS value FROM rec"""
@@ -64,25 +64,30 @@ def _(spark, d):
     return out.select("record_id", "participant_id")
 
 
-DAYS_SQL = """SELECT c.participant_id, c.date, CAST(c.channel_idx AS INTEGER) AS channel_idx,
-CAST(count(m.value) AS INTEGER) AS observed
+DAYS_SQL = (
+    """SELECT c.participant_id, c.date, CAST(c.channel_idx AS INTEGER) AS channel_idx,
+CAST(count(m.value) AS INTEGER) AS observed,
+"""
+    + rd("coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)", 3)
+    + " AS total, "
+    + rd("coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.minute + 1)), 0)", 2)
+    + """ AS weighted
 FROM chanday c LEFT JOIN (SELECT * FROM minutes WHERE value <> 0) m ON m.participant_id = c.participant_id
   AND m.date = c.date AND m.channel_idx = c.channel_idx {where} GROUP BY c.participant_id, c.date, c.channel_idx"""
+)
 
 
 def _observed(df):
-    return df.select(
-        "participant_id",
-        "date",
-        "channel_idx",
-        F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
-    )
+    """Values and mask of every cell, in sums that tell their places."""
+    observed = F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed")
+    out = days.expand(df).select(*days.KEY, observed, position_sums(F.col("values")).alias("v"))
+    return out.select(*days.KEY, "observed", rounded("v.total", 3).alias("total"), rounded("v.weighted", 2).alias("weighted"))
 
 
 @query("s05_write_days", DAYS_SQL.format(where=""))
 def _(spark, d):
     path = scratch_path(spark, "days")
-    files.write_days(stages.day_channel(spark, d), path)
+    files.write_days(stages.day_runs(spark, d), path)
     return _observed(spark.read.parquet(path))
 
 
@@ -91,14 +96,16 @@ def _(spark, d):
     DAYS_SQL.format(where="WHERE c.participant_id % 10 NOT IN (3, 7)"),
 )
 def _(spark, d):
-    """Days of some participants are damaged before they are written: a short array, a lost channel."""
+    """Days of some participants are damaged before they are written: a run past midnight, an unknown channel."""
     path = scratch_path(spark, "damaged_days")
     p = F.col("participant_id") % 10
-    damaged = stages.day_channel(spark, d).where((p != 7) | (F.col("channel_idx") != 4))
-    short = (p == 3) & (F.col("channel_idx") == 9)
-    damaged = damaged.withColumn(
-        "values", F.when(short, F.slice("values", 1, 100)).otherwise(F.col("values"))
-    )
+
+    def more(channel, start, length):
+        run = F.struct(F.lit(start).alias("start"), F.lit(length).alias("length"), F.lit(1.0).cast("float").alias("value"))
+        return F.concat("channels", F.array(F.struct(F.lit(channel).alias("channel_idx"), F.array(run).alias("runs"))))
+
+    broken = F.when(p == 3, more(23, 1400, 41)).when(p == 7, more(24, 0, 1)).otherwise(F.col("channels"))
+    damaged = stages.day_runs(spark, d).withColumn("channels", broken)
     files.write_days(damaged, path)
     return _observed(files.read_days(spark, path))
 
@@ -168,13 +175,12 @@ def _(spark, d):
     return out.select("feature_index", rounded("mean").alias("mean"), rounded("std_dev", 4).alias("std_dev"))
 
 
-@query("s13_series_table", "SELECT count(*) AS records, CAST(24 AS INTEGER) AS features FROM win")
+@query("s13_series_table", SERIES_SQL)
 def _(spark, d):
     path = scratch_path(spark, "series")
     numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
     export.series_records(flat_samples(spark, d), numbered, masked_as_nan=True).write.parquet(path)
-    back = spark.read.parquet(path)
-    return back.agg(F.count("*").alias("records"), F.min(F.size("target")).alias("features"))
+    return series_sums(spark.read.parquet(path))
 
 
 @query(
@@ -182,13 +188,16 @@ def _(spark, d):
     f"""SELECT participant_id, date, feature_index, n, {rd('sum', 2)} AS sum, original_time_offset FROM stats""",
 )
 def _(spark, d):
-    """A first run over half of the participants, a second over all of it, a third that finds nothing new."""
-    days, stats = scratch_path(spark, "inc_days"), scratch_path(spark, "inc_stats")
-    records = adapter.records(spark, d)
-    build_days(spark, records.where(F.col("participant_id") % 2 == 0), days, stats)
-    build_days(spark, records, days, stats)
-    build_days(spark, records, days, stats)
-    out = spark.read.parquet(stats)
+    """A first run over files of half of the participants, a second when the others' are there, a third without new files."""
+    source, records = scratch_path(spark, "inc_source"), adapter.records(spark, d)
+    paths = [scratch_path(spark, f"inc_{name}") for name in ("days", "stats", "ledger")]
+    for part in (0, 1, None):
+        if part is not None:
+            records.where(F.pmod("participant_id", F.lit(2)) == part).write.mode("append").parquet(source)
+        taken = build_days_from_files(spark, source, *paths)
+        if bool(taken) != (part is not None):
+            raise AssertionError(f"files taken in: {taken}")
+    out = spark.read.parquet(paths[1])
     return out.select(
         "participant_id", "date", "feature_index", "n", rounded("sum", 2).alias("sum"), "original_time_offset"
     )
@@ -206,12 +215,12 @@ GROUP BY w.participant_id, w.start_date, w.day_index, c.channel_idx""",
 def _(spark, d):
     folder = scratch_path(spark, "samples")
     indices = [0, 5, 16]
-    key = files.sample_key("window", ["masked_product"], indices, None)
+    key = files.sample_key("window", ["masked_product"], indices, None, source_state(spark, d))
 
     def build():
         return samples.window_samples(
             stages.window_table(spark, d),
-            stages.day_channel(spark, d),
+            stages.day_runs(spark, d),
             indices,
             postprocessors=[post.masked_product],
         )

@@ -30,31 +30,6 @@ def at(arr: Column, index: Column) -> Column:
     return F.when((index >= 0) & (index < F.size(arr)), F.get(arr, index.cast("int")))
 
 
-def densify(points: Column, fill: Column, length: int) -> Column:
-    """Sorted sparse ``array<struct<minute,value>>`` to a dense array of ``length`` values.
-
-    Builds one piece per point (the fill run before it, then its value) and flattens, which is linear
-    in the length; a map lookup per minute would be quadratic.
-    """
-
-    def build(points):
-        n = F.size(points)
-
-        def piece(point, i):
-            previous = F.when(i > 0, F.get(points, i - 1)["minute"]).otherwise(F.lit(-1))
-            return F.concat(
-                F.array_repeat(fill, point["minute"] - previous - 1), F.array(point["value"])
-            )
-
-        last = F.when(n > 0, F.get(points, n - 1)["minute"]).otherwise(F.lit(-1))
-        return F.concat(
-            F.flatten(F.transform(points, piece)),
-            F.array_repeat(fill, F.lit(length - 1) - last),
-        )
-
-    return let(points, build)
-
-
 def runs(flags: Column, min_length: int | Column) -> Column:
     """Maximal runs of true with at least ``min_length`` elements as ``array<struct<start,end>>``.
 

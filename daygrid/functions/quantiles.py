@@ -1,115 +1,111 @@
-"""Exact quantiles with linear interpolation whose final step stays small.
+"""Exact quantiles with linear interpolation, and the statistics that come with them, in three scans.
 
-``percentile`` ships every distinct value of a group to one reducer. Here a mergeable sketch first
-brackets each wanted rank, then only the rows inside the bracket are counted exactly. The bracket holds
-about ``16 / accuracy`` of a large group's rows, and its rows are reduced to (value, count) before they meet.
+``percentile`` ships every distinct value of a group to one reducer. Here histograms are narrowed. The first scan counts
+each group's values by the logarithm of their size (some 1400 buckets per factor e, so at most 4 million a group), the
+second those of the buckets that hold a wanted rank by 2 million equal steps between the bucket's least and greatest
+value, the third the values of the steps that hold one: a step has room for 2 million different doubles at most. So the
+rows that meet after map-side counting are bounded whatever the size of a group and the spread of its values; nothing is
+ranked row by row, and no bound is estimated.
+
+It is one statement, so that Spark analyses it once. Scans find their buckets in a map that the scan before leaves as one row: groups are to be an enumeration (device class,
+record type, split, column), and more than ``GROUPS`` of them are an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
+#: Groups (of keys and columns) that one call narrows at once, at most.
+GROUPS = 10_000
+#: Buckets per factor e of the first scan; logarithms of doubles lie between -745 and 710.
+PER_E = 1400
+STEPS = 1 << 21
+BASICS = ("n", "n_missing", "sum", "mean", "m2", "min", "max")
+
+#: A number that rises with ``v``: Java's logarithm never falls where its argument rises.
+SIZE_BUCKET = f"""CASE WHEN v = 0 THEN 0L WHEN abs(v) = double('infinity') THEN {1 << 40}L
+ELSE floor((ln(abs(v)) + 746) * {PER_E}) + 1 END * CAST(signum(v) AS BIGINT)"""
+
+
+def _held(rank: str, value: str) -> str:
+    """``value`` of the one bucket that holds ``rank``."""
+    return f"max(CASE WHEN {rank} >= before AND {rank} < before + n THEN {value} END)"
+
+
+def _before(rows: str, by: str, order: str, more: str = "") -> str:
+    """Buckets with the number of values in earlier ones of the same ``by``."""
+    return f"SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING) - n AS before{more} FROM {rows}"
+
 
+def _inside(groups: str) -> str:
+    """Values in wanted buckets, which don't overlap, with their bucket; a group without values keeps its rows."""
+    entries = "collect_list(struct(g, struct(s, w)))"
+    many = f"CASE WHEN count(*) > {GROUPS} THEN raise_error('more than {GROUPS} groups') ELSE map_from_entries({entries}) END"
+    return f"""SELECT * FROM (SELECT g, v, m, get(filter(m.w, w -> w.lo <= v AND v <= w.hi), 0) AS own
+FROM (SELECT g, v, element_at((SELECT {many} FROM {groups}), g) AS m FROM data)) WHERE own IS NOT NULL OR m.s.n = 0"""
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: list[float], accuracy: int = SKETCH_ACCURACY
-) -> DataFrame:
-    """One row per group and probability: ``keys, probability, quantile``. NULL and NaN are ignored.
 
-    The rank bracket is checked: if the sketch ever missed a rank the query fails instead of returning
-    a wrong value.
+def _statement(probabilities: list[float], keys: int) -> str:
+    ranks = [f"{side}((total - 1) * {float(p)!r}D)" for p in probabilities for side in ("floor", "ceil")]
+    indices = range(len(ranks))
+    bucket = "struct({rank} - before AS rank, lo, hi)"
+    mine = lambda i: f"CASE WHEN get(m.w, {i}).lo = part THEN get(m.w, {i}).rank END"
+    first = ", ".join(_held(r, bucket.format(rank=r)) for r in ranks)
+    second = ", ".join(_held(mine(i), bucket.format(rank=mine(i))) for i in indices)
+    third = ", ".join(_held(mine(i), "v") for i in indices)
+    basics = """sum(n) AS n, sum(missing) AS n_missing, sum(s) AS sum, max(whole) AS mean,
+sum(n * (var + (mean - whole) * (mean - whole))) AS m2, min(lo) AS min, max(hi) AS max"""
+    whole = ", sum(n) OVER (PARTITION BY g) AS total, try_divide(sum(s) OVER (PARTITION BY g), sum(n) OVER (PARTITION BY g)) AS whole"
+
+    def quantile(i: int, p: float) -> str:
+        low, high, at = f"get(w, {2 * i})", f"get(w, {2 * i + 1})", f"((s.n - 1) * {float(p)!r}D)"
+        between = f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({at} - floor({at})) END"
+        return f"CASE WHEN {low} IS NULL AND s.n > 0 THEN raise_error('the rank of a quantile was not found') ELSE {between} END"
+
+    quantiles = ", ".join(quantile(i, p) for i, p in enumerate(probabilities))
+    columns = ", ".join([*(f"g.k{i} AS k{i}" for i in range(keys)), "g.variable AS variable"])
+    ctes = {
+        "data": f"SELECT struct({', '.join([*(f'k{i}' for i in range(keys)), 'variable'])}) AS g, CASE WHEN NOT isnan(x) THEN x + 0D END AS v FROM {{long}}",
+        "sized": f"""SELECT g, {SIZE_BUCKET} AS b, count(v) AS n, count_if(v IS NULL) AS missing, sum(v) AS s, avg(v) AS mean,
+var_pop(v) AS var, min(v) AS lo, max(v) AS hi FROM data GROUP BY ALL""",
+        "sizes": _before("sized", "g", "b", whole),
+        "groups1": f"SELECT g, struct({', '.join(BASICS)}) AS s, w FROM (SELECT g, {basics}, array({first}) AS w FROM sizes GROUP BY g)",
+    }
+    if ranks:
+        ctes |= {
+            "in1": _inside("groups1"),
+            "stepped": f"""SELECT g, own.lo AS part, CASE WHEN own.hi > own.lo THEN floor((v - own.lo) / (own.hi - own.lo) * {STEPS}) ELSE 0L END AS b,
+count(v) AS n, min(v) AS lo, max(v) AS hi, any_value(m) AS m FROM in1 GROUP BY ALL""",
+            "steps": _before("stepped", "g, part", "b"),
+            "groups2": f"SELECT g, any_value(m.s) AS s, array({second}) AS w FROM steps GROUP BY g",
+            "in2": _inside("groups2"),
+            "valued": "SELECT g, own.lo AS part, v, count(v) AS n, any_value(m) AS m FROM in2 GROUP BY ALL",
+            "vals": _before("valued", "g, part", "v"),
+            "groups3": f"SELECT g, any_value(m.s) AS s, array({third}) AS w FROM vals GROUP BY g",
+        }
+    last = "groups3" if ranks else "groups1"
+    return (
+        "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items())
+        + f"\nSELECT {columns}, s.*, CAST(array({quantiles}) AS ARRAY<DOUBLE>) AS quantiles FROM {last}"
+    )
+
+
+def summaries(df: DataFrame, keys: list[str], columns: list[str], probabilities: list[float] = ()) -> DataFrame:
+    """One row per group and column: keys, variable, n, n_missing, sum, mean, m2, min, max, quantiles.
+
+    NULL and NaN are missing. ``m2`` is the sum of squared distances from the mean; ``quantiles`` follows
+    ``probabilities`` (NULL entries in a group without values).
     """
-    margin = 4.0 / accuracy
-    around = {p + d for p in probabilities for d in (-2 * margin, 2 * margin)}
-    points = sorted(p for p in around if 0 < p < 1) or [0.5]
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-
-    def below(position):
-        """The highest sketch point that lies safely below the rank; the minimum is always one."""
-        share = F.floor(position) / F.col("_n") - F.lit(margin)
-        found = F.col("_min")
-        for i, p in enumerate(points):
-            found = F.when(share >= F.lit(p), F.get(F.col("_sketch"), F.lit(i))).otherwise(found)
-        return found
-
-    def above(position):
-        """The lowest sketch point that lies safely above the rank; the maximum is always one."""
-        share = (F.ceil(position) + 1) / F.col("_n") + F.lit(margin)
-        found = F.col("_max")
-        for i, p in reversed(list(enumerate(points))):
-            found = F.when(share <= F.lit(p), F.get(F.col("_sketch"), F.lit(i))).otherwise(found)
-        return found
-
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(p) for p in points], accuracy).alias("_sketch"),
-    )
-    brackets = sketch.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("probability"),
-                        ((F.col("_n") - 1) * F.lit(float(p))).alias("_position"),
-                        below((F.col("_n") - 1) * F.lit(float(p))).alias("_lo"),
-                        above((F.col("_n") - 1) * F.lit(float(p))).alias("_hi"),
-                    )
-                    for p in probabilities
-                ]
-            )
-        ).alias("_b"),
-    ).select(*keys, "_b.*")
-
-    # Values below the bracket are only counted; values inside are kept as (value, count).
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    condition = F.col("d._v") <= F.col("b._hi")
-    for c in on:
-        condition = condition & c
-    if keys:
-        joined = data.alias("d").join(brackets.alias("b"), condition)
-    else:
-        # One bracket row per probability, so the nested loop side is a handful of rows.
-        joined = data.alias("d").join(F.broadcast(brackets).alias("b"), condition)
-    below = F.col("d._v") < F.col("b._lo")
-    counted = joined.groupBy(
-        *[F.col(f"b.{k}").alias(k) for k in keys],
-        F.col("b.probability").alias("probability"),
-        F.col("b._position").alias("_position"),
-        F.when(~below, F.col("d._v")).alias("_value"),
-    ).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys, "probability").orderBy(F.col("_value").asc_nulls_first())
-    ranked = counted.withColumn(
-        "_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
-    low_rank, high_rank = F.floor("_position"), F.ceil("_position")
-
-    def value_at(rank):
-        return F.max(
-            F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_value"))
-        )
-
-    low, high = value_at(low_rank), value_at(high_rank)
-    weight = F.max(F.col("_position") - low_rank)
-    quantile = low + (high - low) * weight
-    return ranked.groupBy(*keys, "probability").agg(
-        F.when(quantile.isNull(), F.raise_error(F.lit("quantile rank outside its bracket")))
-        .otherwise(quantile)
-        .alias("quantile")
-    )
-
-
-def pivot_quantiles(quantiles: DataFrame, keys: list[str], names: dict[float, str]) -> DataFrame:
-    """One column per probability."""
-    return quantiles.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("probability") == F.lit(float(p)), F.col("quantile"))).alias(name)
-            for p, name in names.items()
-        ]
-    )
+    names = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    values = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns]
+    long = df.select(*names, F.inline(F.array(*values)))
+    out = df.sparkSession.sql(_statement(list(probabilities), len(keys)), long=long)
+    return out.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """One row per group and probability: ``keys, probability, quantile``. NULL and NaN are ignored."""
+    listed = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("probability"), F.col("quantiles").alias("quantile"))
+    out = summaries(df, keys, [value], probabilities).where("n > 0")
+    return out.select(*keys, F.explode(listed).alias("_q")).select(*keys, F.col("_q.probability").alias("probability"), F.col("_q.quantile").alias("quantile"))

@@ -14,7 +14,7 @@ from daygrid import constants as C
 from daygrid.functions import arrays as A
 from daygrid.functions import time as T
 from daygrid.functions.numbers import holds, nan_to_null
-from daygrid.operators.intervals import fill_is_zero
+from daygrid.operators.days import compact, expand
 
 KEY = ["participant_id", "date", "channel_idx"]
 
@@ -130,49 +130,9 @@ def minute_values(parts: DataFrame) -> DataFrame:
     return minute_means(mean_segments(second_intervals(parts))).drop("covered_seconds")
 
 
-def channel_days(days: DataFrame) -> DataFrame:
-    """All 24 channels of every output day with the fill rule of their uncovered minutes."""
-    return days.select(
-        "participant_id",
-        "date",
-        "channel_bits",
-        "has_sleep",
-        F.explode(F.sequence(F.lit(0), F.lit(C.N_CHANNELS - 1))).alias("channel_idx"),
-    ).select(
-        "participant_id",
-        "date",
-        "channel_idx",
-        fill_is_zero(F.col("channel_idx"), F.col("channel_bits"), F.col("has_sleep")).alias("zero_fill"),
-    )
-
-
-#: Dense rows of 1440 values and their mask that one task builds, about 15 MB.
-DAY_ROWS_PER_TASK = 2000
-
-
 def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
-    """Dense storage form: one row per participant, day and channel with 1440 values and their mask."""
-    sparse = minutes.groupBy(*KEY).agg(
-        F.sort_array(
-            F.collect_list(F.struct("minute", F.col("value").cast("float").alias("value")))
-        ).alias("points")
-    )
-    fill = F.when(F.col("zero_fill"), F.lit(0.0)).otherwise(F.lit(float("nan"))).cast("float")
-    empty = F.col("points").isNull()
-    n = C.MINUTES_PER_DAY
-    values = F.when(empty, F.array_repeat(fill, n)).otherwise(A.densify(F.col("points"), fill, n))
-    mask = F.when(empty, F.array_repeat(F.lit(0).cast("tinyint"), n)).otherwise(
-        observation_mask(F.col("values"))
-    )
-    # The rows grow by two orders of magnitude after the join, so the tasks follow the rows that come out.
-    tasks = 1 + days.count() * C.N_CHANNELS // DAY_ROWS_PER_TASK
-    return (
-        channel_days(days)
-        .repartition(tasks, *KEY)
-        .join(sparse.repartition(tasks, *KEY), KEY, "left")
-        .select(*KEY, "points", values.alias("values"))
-        .select(*KEY, "values", mask.alias("mask"))
-    )
+    """Dense rows: one per participant, day and channel with 1440 values and their mask."""
+    return expand(compact(minutes, days))
 
 
 def observation_mask(values: Column) -> Column:

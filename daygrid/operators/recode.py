@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
-from daygrid.functions.numbers import bin_label, holds
-from daygrid.functions.quantiles import exact_quantiles
+from daygrid.functions.numbers import bin_label, holds, nan_to_null
+from daygrid.functions.quantiles import summaries
 
 
 def age_years(created_on: Column, birthdate: Column) -> Column:
@@ -194,28 +194,21 @@ def top_devices(df: DataFrame, n: int = 5, column: str = "device") -> DataFrame:
 def scaled_features(df: DataFrame, numeric: list[str], category: str) -> DataFrame:
     """Median imputation and scaling of numeric columns, one-hot category with a Missing level.
 
-    Medians and moments are one row each; they reach the rows as scalar subqueries. A column without any
-    value becomes zero, a column without spread is only centred.
+    NULL and NaN are missing. Moments of the filled column follow from those of its values, so they come with the median
+    from one call; the row with all of them reaches the data as a scalar subquery. A column without any value becomes
+    zero, a column without spread is only centred.
     """
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in numeric], "variable", "x")
-    medians = exact_quantiles(long, ["variable"], "x", [0.5])
-    one_row = medians.agg(
-        F.struct(
-            *[F.max(F.when(F.col("variable") == c, F.col("quantile"))).alias(c) for c in numeric]
-        ).alias("m")
-    )
-    filled = df.withColumn("_m", one_row.scalar())
-    filled = filled.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m.{c}"), F.lit(0.0)) for c in numeric}
-    ).drop("_m")
-    moments = filled.agg(
-        F.struct(
-            *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in numeric]
-        ).alias("s")
-    )
-    scaled = filled.withColumn("_s", moments.scalar()).withColumns(
+    found = summaries(df, [], numeric, [0.5])
+    median = F.coalesce(F.get("quantiles", F.lit(0)), F.lit(0.0))
+    held, missing = F.col("n"), F.col("n_missing")
+    own = F.coalesce("mean", F.lit(0.0))
+    mean = F.coalesce(F.try_divide(held * own + missing * median, held + missing), F.lit(0.0))
+    squares = F.coalesce("m2", F.lit(0.0)) + held * (own - mean) * (own - mean) + missing * (median - mean) * (median - mean)
+    moments = F.struct(median.alias("median"), mean.alias("mean"), F.sqrt(F.try_divide(squares, held + missing)).alias("std"))
+    one_row = found.agg(F.struct(*[F.max(F.when(F.col("variable") == c, moments)).alias(c) for c in numeric]).alias("s"))
+    scaled = df.withColumn("_s", one_row.scalar()).withColumns(
         {
-            c: (F.col(c) - F.col(f"_s.{c}.mean"))
+            c: (F.coalesce(nan_to_null(F.col(c).cast("double")), F.col(f"_s.{c}.median")) - F.col(f"_s.{c}.mean"))
             / F.when(F.col(f"_s.{c}.std") > 0, F.col(f"_s.{c}.std")).otherwise(F.lit(1.0))
             for c in numeric
         }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daygrid import constants as C
 from daygrid.functions import arrays as A
-from daygrid.functions.quantiles import exact_quantiles
+from daygrid.functions.quantiles import exact_quantiles, summaries
 from daygrid.operators.grid import KEY
 
 
@@ -62,23 +62,6 @@ def day_stats(minutes: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def stats_from_day_channel(stored: DataFrame) -> DataFrame:
-    """Recompute the statistics from stored dense days (row-local, no shuffle)."""
-    values = F.filter("values", lambda v: A.observed(v))
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double"))
-    squares = F.aggregate(
-        values, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")
-    )
-    n = F.size(values)
-    return stored.select(
-        *KEY,
-        (n * F.lit(100.0) / C.MINUTES_PER_DAY).alias("data_coverage"),
-        n.cast("double").alias("n"),
-        total.alias("sum"),
-        squares.alias("sum_of_squares"),
-    )
-
-
 def standardization(stats: DataFrame) -> DataFrame:
     """Global mean and standard deviation per channel from the partial sums.
 
@@ -259,25 +242,10 @@ def describe(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
 
     ``group`` must be a fixed enumeration such as the split name.
     """
-    from daygrid.functions.quantiles import pivot_quantiles
-
-    long = df.unpivot(group, [F.col(c).cast("double").alias(c) for c in columns], "variable", "x").where(
-        F.col("x").isNotNull() & ~F.isnan("x")
-    )
-    keys = [*group, "variable"]
-    basic = long.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-    )
-    quartiles = pivot_quantiles(
-        exact_quantiles(long, keys, "x", [0.25, 0.5, 0.75]),
-        keys,
-        {0.25: "q25", 0.5: "q50", 0.75: "q75"},
-    )
-    return basic.join(quartiles, keys)
+    q = [F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(("q25", "q50", "q75"))]
+    spread = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std")
+    out = summaries(df, group, columns, [0.25, 0.5, 0.75]).where("n > 0")
+    return out.select(*group, "variable", "n", "mean", spread, "min", "max", *q)
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:

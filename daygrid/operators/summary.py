@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daygrid import constants as C
 from daygrid.functions import time as T
 from daygrid.functions.numbers import nan_to_null
-from daygrid.functions.quantiles import exact_quantiles, pivot_quantiles
+from daygrid.functions.quantiles import summaries
 
 
 def robust_stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,11 +16,9 @@ def robust_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 
     ``keys`` are fixed enumerations (device class, record type).
     """
-    basic = df.groupBy(*keys).agg(F.sum("value").alias("sum"), F.avg("value").alias("mean"))
-    quartiles = pivot_quantiles(
-        exact_quantiles(df, keys, "value", [0.25, 0.5, 0.75]), keys, {0.25: "q25", 0.5: "median", 0.75: "q75"}
-    )
-    return basic.join(quartiles, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
+    q = [F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(("q25", "median", "q75"))]
+    out = summaries(df, keys, ["value"], [0.25, 0.5, 0.75]).where("n > 0").select(*keys, "sum", "mean", *q)
+    return out.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def hourly_means(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Stored stages: each job of the chain reads the table the previous one wrote.
 
-records -> minutes, day statistics, dense days -> windows -> labelled windows. A stage is written once per
+records -> minutes, day statistics, days as runs -> windows -> labelled windows. A stage is written once per
 application and input folder, under the shared scratch folder, and read back by every later job. That cuts
 the lineage with a table that survives the loss of executors.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.operators import grid, intervals, labels, stats, windows
+from daygrid.operators import days, grid, intervals, labels, stats, windows
 from daygrid.plans.grid import record_parts
 from daygrid.sources import adapter, files
 from daygrid.sources.session import stored_stage
@@ -54,15 +54,20 @@ def day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def day_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as runs; dense rows are made of them where they are used."""
     return stored_stage(
         spark,
         sf_dir,
-        "day_channel",
-        lambda: grid.day_channel(minutes(spark, sf_dir), day_index(spark, sf_dir)),
+        "day_runs",
+        lambda: days.compact(minutes(spark, sf_dir), day_index(spark, sf_dir)),
     )
 
 
+def day_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return days.expand(day_runs(spark, sf_dir))
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.day_quality(day_stats(spark, sf_dir), MIN_COVERAGE, MIN_CHANNELS)
 

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from daygrid import constants as C
 from daygrid.functions import time as TM
-from daygrid.operators import samples as S
+from daygrid.operators import days
 from daygrid.operators.grid import KEY
 from daygrid.operators.windows import time_range
+from daygrid.sources.session import scratch_path
 
 RECORD_SCHEMA = T.StructType(
     [
@@ -129,6 +130,22 @@ def write_raw(df: DataFrame, path: str) -> None:
             own.write.parquet(target)
 
 
+FILE = ["path", "length", "changed"]
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Path, size and time of change (microseconds) of the files below a folder; no file is opened."""
+    found = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    )
+    return found.select("path", "length", F.unix_micros("modificationTime").alias("changed"))
+
+
+def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of all modalities from the given files."""
+    return spark.read.schema(RECORD_SCHEMA).parquet(*paths)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     out = None
     for modality in C.MODALITIES:
@@ -164,13 +181,36 @@ DAY_FILES = 8
 
 
 def write_days(df: DataFrame, path: str, mode: str = "append", files: int = DAY_FILES) -> None:
+    """Days as runs, one row per participant's day."""
     group = F.pmod(F.xxhash64("participant_id"), F.lit(files))
     df.repartition("date", group).write.mode(mode).partitionBy("date").parquet(path)
 
 
+def replace_days(spark: SparkSession, new: DataFrame, gone: DataFrame, path: str) -> None:
+    """Write ``new`` days in place of the stored ones of ``gone``: dates with either are rewritten, others untouched."""
+    key = ["participant_id", "date"]
+    dates = gone.select("date").unionByName(new.select("date")).distinct()
+    kept = spark.read.parquet(path).join(dates, "date", "left_semi").join(gone, key, "left_anti")
+    held = scratch_path(spark, "replaced-days")
+    kept.unionByName(new).write.parquet(held)
+    group = F.pmod(F.xxhash64("participant_id"), F.lit(DAY_FILES))
+    rows = spark.read.schema(kept.schema).parquet(held).repartition("date", group)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def drop_keys(spark: SparkSession, gone: DataFrame, path: str) -> None:
+    """Take the days of ``gone`` out of a stored statistics table."""
+    if not exists(spark, path):
+        return
+    held = scratch_path(spark, "kept-stats")
+    kept = spark.read.parquet(path).join(gone, ["participant_id", "date"], "left_anti")
+    kept.write.parquet(held)
+    write_day_stats(spark.read.schema(kept.schema).parquet(held), path, "overwrite")
+
+
 def read_days(spark: SparkSession, path: str) -> DataFrame:
-    """Stored days; badly shaped ones are left out and become placeholders downstream."""
-    return S.stored_days(spark.read.parquet(path))
+    """Stored days as runs; badly shaped ones are left out and become placeholders downstream. Row-local."""
+    return spark.read.parquet(path).where(days.well_formed())
 
 
 def write_day_stats(df: DataFrame, path: str, mode: str = "append") -> None:
