@@ -126,7 +126,7 @@ def _(spark, d):
     " UNION ALL ".join(
         f"""SELECT '{g}' AS modality_group, count(*) FILTER (c > 0) AS days_with_coverage,
 count(DISTINCT participant_id) FILTER (c > 0) AS unique_participants,
-CAST(floor(sum(c) * 14.4e0 + 1e-6) AS BIGINT) AS estimated_data_points
+CAST(sum(round(c * 14.4e0)) AS BIGINT) AS estimated_data_points
 FROM (SELECT participant_id, date, sum(data_coverage) AS c FROM stats WHERE feature_index {cond} GROUP BY ALL)"""
         for g, cond in GROUP_SQL.items()
     ),
@@ -255,38 +255,44 @@ def _(spark, d):
     return rounded_all(summary.motion_seconds(df, []), 2)
 
 
+def _listed(kind: str, condition: str, column: str, names: list[str], amount: str) -> str:
+    """Seconds of each listed name, also those without records."""
+    values = ", ".join(f"('{n}')" for n in names)
+    figure = "seconds" if kind == "sleep" else "delta"
+    return f"""SELECT '{kind}' AS kind, k.name, '{figure}' AS figure, {rd(f"coalesce(sum({amount}), 0)", 2)} AS amount
+FROM (VALUES {values}) k(name) LEFT JOIN locd l ON l.modality = '{condition}' AND l.{column} = k.name GROUP BY k.name"""
+
+
+_SECONDS = "(l.end_us - l.start_us) / 1e6"
+_ROBUST = {
+    "sum": "sum(value)",
+    "mean": "avg(value)",
+    "q25": "quantile_cont(value, 0.25)",
+    "median": "quantile_cont(value, 0.5)",
+    "q75": "quantile_cont(value, 0.75)",
+    "iqr": "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)",
+}
+
+
 @query(
     "a16_summary_by_kind",
-    f"""SELECT 'robust' AS kind, '{C.STEP_COUNT}' AS name, {rd('sum(value)', 2)} AS amount FROM locd WHERE type = '{C.STEP_COUNT}'
-UNION ALL SELECT 'hourly', CAST(hour AS VARCHAR), {rd('a', 4)} FROM (
-  SELECT h.hour, avg(l.value) AS a FROM (SELECT unnest(range(0, 24)) AS hour) h
-  LEFT JOIN locd l ON l.type = '{C.HEART_RATE}' AND (l.start_us % 86400000000) // 3600000000 = h.hour GROUP BY h.hour)
-UNION ALL SELECT 'sleep', 'asleep', {rd(f"sum(value) FILTER (category = '{C.ASLEEP}')", 2)} FROM locd WHERE modality = 'sleep'
-UNION ALL SELECT 'workout', workout_type, {rd('sum((end_us - start_us) / 1e6)', 2)} FROM locd WHERE modality = 'workout' GROUP BY 2
-UNION ALL SELECT 'motion', activity, {rd('sum((end_us - start_us) / 1e6)', 2)} FROM locd WHERE modality = 'motion' GROUP BY 2""",
+    " UNION ALL ".join(
+        [
+            *(
+                f"""SELECT 'robust' AS kind, type AS name, '{figure}' AS figure, {rd(sql, 2)} AS amount FROM locd
+WHERE modality = 'healthkit' AND type <> '{C.HEART_RATE}' GROUP BY type"""
+                for figure, sql in _ROBUST.items()
+            ),
+            f"""SELECT 'hourly', h.name, 'mean_value', {rd('avg(l.value)', 2)} FROM (SELECT lpad(CAST(unnest(range(0, 24)) AS VARCHAR), 2, '0') AS name) h
+LEFT JOIN locd l ON l.type = '{C.HEART_RATE}' AND lpad(CAST((l.start_us % 86400000000) // 3600000000 AS VARCHAR), 2, '0') = h.name GROUP BY h.name""",
+            _listed("sleep", "sleep", "category", [C.IN_BED, C.ASLEEP], "l.value"),
+            _listed("workout", "workout", "workout_type", C.WORKOUT_TYPES, _SECONDS),
+            _listed("motion", "motion", "activity", C.MOTION_REPORT_ORDER, _SECONDS),
+        ]
+    ),
 )
 def _(spark, d):
-    df = stages.local_records(spark, d).withColumn("all_rows", F.lit(1))
-
-    def run(kind, column):
-        return summary.summary_for(kind)(df.where(F.col(column) == kind), ["all_rows"])
-
-    def form(out, kind, name, amount, digits):
-        return out.select(
-            F.lit(kind).alias("kind"), name.cast("string").alias("name"), rounded(amount, digits).alias("amount")
-        )
-
-    pieces = [
-        form(run(C.STEP_COUNT, "type"), "robust", F.lit(C.STEP_COUNT), F.col("sum"), 2),
-        form(run(C.HEART_RATE, "type"), "hourly", F.col("hour"), F.col("mean_value"), 4),
-        form(run(C.SLEEP, "modality"), "sleep", F.lit("asleep"), F.col("seconds_asleep"), 2),
-        form(run(C.WORKOUT, "modality"), "workout", F.col("workout_type"), F.col("delta"), 2),
-        form(run(C.MOTION, "modality"), "motion", F.col("activity"), F.col("delta"), 2),
-    ]
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out
+    return rounded_all(summary.summaries_by_kind(stages.local_records(spark, d)), 2)
 
 
 @query(
@@ -299,7 +305,7 @@ def _(spark, d):
     return df.withColumn("units", F.array_join("units", ","))
 
 
-def _describe_sql(source: str, columns: list[str], group: str) -> str:
+def describe_sql(source: str, columns: list[str], group: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT {group}, '{c}' AS variable, count({c}) AS n, {rd(f'avg({c})', 4)} AS mean,
 {rd(f'stddev_samp({c})', 4)} AS std, {rd(f'min({c})', 4)} AS min, {rd(f'quantile_cont({c}, 0.25)', 4)} AS q25,
@@ -311,7 +317,7 @@ FROM {source} GROUP BY {group}"""
 
 @query(
     "a18_describe",
-    _describe_sql(
+    describe_sql(
         """(SELECT CASE WHEN coalesce(m.participant_id, a.participant_id) % 5 = 0 THEN 'test' ELSE 'train' END AS split,
 a.age, m.weight_kg, m.height_cm FROM demo1 m FULL JOIN ages a ON a.participant_id = m.participant_id)""",
         ["age", "weight_kg", "height_cm"],

@@ -42,5 +42,19 @@ def bucketed_row_number(
     )
 
 
-def group_sizes(df: DataFrame, group: list[str], name: str = "group_size") -> DataFrame:
-    return df.groupBy(*group).agg(F.count("*").alias(name))
+def rank_and_size(df: DataFrame, group: list[str], bucket: Column, order: list[Column]) -> DataFrame:
+    """Add ``_rank`` (from 1, by bucket, then ``order``) and ``_size`` within ``group``.
+
+    Rows move once, to their (group, bucket). A bucket's size is its last rank, so the bucket table comes from the same
+    shuffle; it carries what lies before a bucket and the group's total, and moves twice: at most ``16 ** digits`` rows
+    a group.
+    """
+    keys = ["_g", "_bucket"]
+    rows = df.withColumns({"_g": F.struct(F.lit(0).alias("_all"), *group), "_bucket": bucket})
+    rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    table = rows.groupBy(*keys).agg(F.max("_within").alias("_n"))
+    whole = Window.partitionBy("_g")
+    so_far = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    table = table.select(*keys, (F.sum("_n").over(so_far) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    joined = rows.join(table, keys)
+    return joined.withColumn("_rank", F.col("_before") + F.col("_within")).drop(*keys, "_within", "_before")

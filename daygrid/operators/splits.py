@@ -2,7 +2,7 @@
 
 Members are ordered by md5 of (seed, participant), which is the same digest in every engine, and the
 first round(n * share) of each stratum go to the test part. Ranks come from
-``functions.ranking.bucketed_row_number``, so a stratum may be as large as the whole table.
+``functions.ranking.rank_and_size``, so a stratum may be as large as the whole table.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
 from daygrid import constants as C
-from daygrid.functions.ranking import bucketed_row_number, group_sizes
+from daygrid.functions.ranking import rank_and_size
 from daygrid.operators import labels as L
 from daygrid.operators import recode as R
 from daygrid.sources.session import scratch_path
@@ -29,17 +29,11 @@ def split_digest(seed: int, key: Column) -> Column:
 def label_count_bins(counts: DataFrame, bins: int = 5) -> DataFrame:
     """Quantile bins of the label counts: right-closed, lowest edge included, duplicate edges dropped.
 
-    Falls back to the raw count when only one edge is left. There are at most as many different counts
-    as labels, so the quantiles are taken over a table of (count, frequency).
+    Falls back to the raw count when only one edge is left. There are at most as many different counts as labels, and
+    ``percentile`` merges (count, frequency) pairs, so few numbers leave a task.
     """
-    frequency = counts.groupBy("label_count").agg(F.count("*").alias("n"))
-    probabilities = [i / bins for i in range(bins + 1)]
-    edges = frequency.agg(
-        F.array_distinct(
-            F.expr(
-                f"percentile(label_count, array({','.join(f'{p}D' for p in probabilities)}), n)"
-            )
-        ).alias("edges")
+    edges = counts.agg(
+        F.array_distinct(F.percentile("label_count", [i / bins for i in range(bins + 1)])).alias("edges")
     )
     with_edges = counts.withColumn("_e", edges.scalar())
     inner_edges_below = F.size(
@@ -51,31 +45,31 @@ def label_count_bins(counts: DataFrame, bins: int = 5) -> DataFrame:
     ).drop("_e")
 
 
+def assigned_by_rank(ranked: DataFrame, shares: list[tuple[str, float]], rest: str = "train") -> Column:
+    """Split of a row with ``_rank`` and ``_size``: cut points at the rounded cumulative shares, on one ranking."""
+    out, cuts, total = F.lit(rest), [], 0.0
+    for name, share in shares:
+        total += share
+        cuts.append((name, total))
+    for name, cut in reversed(cuts):
+        out = F.when(F.col("_rank") <= F.round(F.col("_size") * F.lit(cut)), F.lit(name)).otherwise(out)
+    return out
+
+
 def stratified_assignment(
-    members: DataFrame, strata: list[str], test_size: float = 0.2, seed: int = 42
+    members: DataFrame,
+    strata: list[str],
+    test_size: float = 0.2,
+    seed: int = 42,
+    shares: list[tuple[str, float]] | None = None,
 ) -> DataFrame:
-    """``participant_id, split`` for one row per participant. ``strata`` may be empty."""
-    digest = split_digest(seed, F.col(ROW))
-    ranked = bucketed_row_number(
-        members.select(ROW, *strata).withColumn("_h", digest),
-        strata,
-        F.substring(F.col("_h"), 1, 3),
-        [F.col("_h"), F.col(ROW)],
-        "_rank",
-    )
-    sizes = group_sizes(members, strata, "_size")
-    if strata:
-        renamed = sizes.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], "_size")
-        condition = F.lit(True)
-        for i, s in enumerate(strata):
-            condition = condition & F.col(s).eqNullSafe(F.col(f"_s{i}"))
-        ranked = ranked.join(renamed, condition)
-        size = F.col("_size")
-    else:
-        ranked = ranked.withColumn("_size", sizes.scalar())
-        size = F.col("_size")
-    is_test = F.col("_rank") <= F.round(size * F.lit(test_size))
-    return ranked.select(ROW, F.when(is_test, "test").otherwise("train").alias("split"))
+    """``participant_id, split`` for one row per participant. ``strata`` may be empty.
+
+    ``shares`` gives several parts at once, in order; without it the parts are test and train.
+    """
+    rows = members.select(ROW, *strata).withColumn("_h", split_digest(seed, F.col(ROW)))
+    ranked = rank_and_size(rows, strata, F.substring(F.col("_h"), 1, 3), [F.col("_h"), F.col(ROW)])
+    return ranked.select(ROW, assigned_by_rank(ranked, shares or [("test", test_size)]).alias("split"))
 
 
 def split_by_label_count(
@@ -266,32 +260,72 @@ def cluster_split_checks(
 
 
 def three_way(
-    flat: DataFrame, test_size: float = 0.2, validation_size: float = 0.1, bins: int = 5, seed: int = 42
+    flat: DataFrame,
+    test_size: float = 0.2,
+    validation_size: float = 0.1,
+    bins: int = 5,
+    seed: int = 42,
+    by: str = "label_count",
+    info: DataFrame | None = None,
+    demographics: DataFrame | None = None,
+    **more,
 ) -> DataFrame:
-    """Test split, then a validation split of the rest at validation / (1 - test)."""
-    first = split_by_label_count(flat, test_size, bins, seed)
-    rest = rows_of_split(flat, first, "train")
-    second = split_by_label_count(rest, validation_size / (1 - test_size), bins, seed)
-    renamed = second.withColumn(
-        "split", F.when(F.col("split") == "test", "validation").otherwise("train")
-    )
-    return first.where(F.col("split") == "test").unionByName(renamed)
+    """Test split, then a validation split of the rest at validation / (1 - test).
+
+    ``by`` is how both are stratified: ``label_count`` (bins of the rest are made anew), ``label_values`` (a participant's
+    label texts, which do not depend on the others) or ``clusters`` (the rest is clustered anew). What the first split
+    knows of each participant is kept, so labels are read once for the first two.
+    """
+    second_size = validation_size / (1 - test_size)
+    if by == "label_count":
+        members = label_count_bins(L.labels_present(flat), bins)
+        first = _with_split(members, ["stratum"], test_size, seed)
+        rest = label_count_bins(first.where("split = 'train'").drop("split", "stratum"), bins)
+        second = stratified_assignment(rest, ["stratum"], second_size, seed)
+    elif by == "label_values":
+        members = label_strata(flat if info is None else open_sharing(flat, info))
+        strata = [c for c in members.columns if c != ROW]
+        first = _with_split(members, strata, test_size, seed)
+        second = stratified_assignment(first.where("split = 'train'"), strata, second_size, seed)
+    elif by == "clusters":
+        path = scratch_path(flat.sparkSession, "first-split")
+        split_by_cluster(flat, demographics, info, test_size, seed=seed, **more).write.parquet(path)
+        first = flat.sparkSession.read.parquet(path)
+        rest = flat.join(first.where("split = 'train'"), ROW, "left_semi")
+        second = split_by_cluster(rest, demographics, info, second_size, seed=seed, **more)
+    else:
+        raise ValueError(f"splits are stratified by label_count, label_values or clusters, not {by!r}")
+    renamed = second.withColumn("split", F.when(F.col("split") == "test", "validation").otherwise("train"))
+    return first.where("split = 'test'").select(ROW, "split").unionByName(renamed)
+
+
+def _with_split(members: DataFrame, strata: list[str], test_size: float, seed: int) -> DataFrame:
+    """``members`` with their split; ranks are taken on the rows themselves, so nothing is joined back."""
+    rows = members.withColumn("_h", split_digest(seed, F.col(ROW)))
+    ranked = rank_and_size(rows, strata, F.substring(F.col("_h"), 1, 3), [F.col("_h"), F.col(ROW)])
+    return ranked.withColumn("split", assigned_by_rank(ranked, [("test", test_size)])).drop("_h", "_rank", "_size")
+
+
+def without_rare_strata(members: DataFrame, strata: list[str], minimum: int = 2) -> DataFrame:
+    """Members of strata that are large enough to be split."""
+    # Strata are counted map-side.
+    sizes = members.groupBy(F.struct(*strata).alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum)
+    return members.withColumn("_g", F.struct(*strata)).join(sizes, "_g", "left_semi").drop("_g")
+
+
+def described_splits(assignment: DataFrame, demographics: DataFrame, info: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, std, min, quartiles and max of the columns in each split."""
+    from daygrid.operators.stats import describe
+
+    return describe(assignment.join(diagnostics(demographics, info), ROW, "left"), ["split"], columns)
 
 
 def window_level_split(windows: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Random split of windows, not participants: the same participant may be on both sides."""
     key = F.concat_ws("|", F.col(ROW).cast("string"), F.date_format("start_date", "yyyy-MM-dd"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key))
-    total = windows.agg(F.count("*").alias("n"))
-    ranked = bucketed_row_number(
-        windows.withColumn("_h", digest),
-        [],
-        F.substring(F.col("_h"), 1, 3),
-        [F.col("_h"), F.col(ROW), F.col("start_date")],
-        "_rank",
-    )
-    is_test = F.col("_rank") <= F.round(total.scalar() * F.lit(test_size))
-    return ranked.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_rank")
+    rows = windows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), key)))
+    ranked = rank_and_size(rows, [], F.substring(F.col("_h"), 1, 3), [F.col("_h"), F.col(ROW), F.col("start_date")])
+    return ranked.withColumn("split", assigned_by_rank(ranked, [("test", test_size)])).drop("_h", "_rank", "_size")
 
 
 def split_checks(assignment: DataFrame, members: DataFrame) -> DataFrame:

@@ -136,15 +136,16 @@ def group_report(by_group: DataFrame) -> DataFrame:
         ["participant_id"], [f"{g}_coverage_sum" for g in groups], "modality_group", "coverage"
     )
     per_participant = long.groupBy("modality_group", "participant_id").agg(
-        F.count_if(F.col("coverage") > 0).alias("days"), F.sum("coverage").alias("coverage")
+        F.count_if(F.col("coverage") > 0).alias("days"),
+        # Coverage is a share of whole minutes; summed as such, the order of summation doesn't matter.
+        F.sum(F.round(F.col("coverage") * (C.MINUTES_PER_DAY / 100)).cast("long")).alias("minutes"),
     )
     return (
         per_participant.groupBy("modality_group")
         .agg(
             F.sum("days").alias("days_with_coverage"),
             F.count_if(F.col("days") > 0).alias("unique_participants"),
-            # The product is a whole number of minutes; the small term keeps summation order out of it.
-            F.floor(F.sum("coverage") * (C.MINUTES_PER_DAY / 100) + F.lit(1e-6)).alias("estimated_data_points"),
+            F.sum("minutes").alias("estimated_data_points"),
         )
         .withColumn("modality_group", F.regexp_replace("modality_group", "_coverage_sum$", ""))
         .orderBy(F.desc("days_with_coverage"), "modality_group")

@@ -73,6 +73,60 @@ def summary_for(kind: str):
     return {C.SLEEP: sleep_seconds, C.WORKOUT: workout_seconds, C.MOTION: motion_seconds}[kind]
 
 
+#: Figures of each kind of summary: name of the figure, column of ``summaries``.
+KIND_FIGURES = {
+    "robust": {"sum": "sum", "mean": "mean", "q25": "q25", "median": "median", "q75": "q75", "iqr": "iqr"},
+    "hourly": {"mean_value": "mean"},
+    "sleep": {"seconds": "sum"},
+    "workout": {"delta": "sum"},
+    "motion": {"delta": "sum"},
+}
+#: Names that a report lists although they have no record, and what they then show.
+KIND_NAMES = {
+    "hourly": [f"{h:02d}" for h in range(24)],
+    "sleep": [C.IN_BED, C.ASLEEP],
+    "workout": C.WORKOUT_TYPES,
+    "motion": C.MOTION_REPORT_ORDER,
+}
+
+
+def summaries_by_kind(df: DataFrame) -> DataFrame:
+    """All figures of the summaries of every kind of record: ``kind, name, figure, amount``, from one expansion.
+
+    A record adds one row (kind, name, amount): its hour for heart rate, its type, category or activity otherwise.
+    Listed names join that expansion as rows without an amount, so they need no join. Sums and quantiles of all kinds
+    come from the same three scans. Seconds of absent names are 0, means of absent hours NULL.
+    """
+    modality = F.col("modality")
+    hour = F.lpad(T.floor_div(T.micros_of_day(F.col("start_us")), T.HOUR).cast("string"), 2, "0")
+    seconds = T.seconds_between(F.col("start_us"), F.col("end_us"))
+    heart = (modality == C.QUANTITY) & (F.col("type") == C.HEART_RATE)
+
+    def row(kind, name, amount):
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), amount.cast("double").alias("amount"))
+
+    made = (
+        F.when(heart, row("hourly", hour, F.col("value")))
+        .when(modality == C.QUANTITY, row("robust", F.col("type"), F.col("value")))
+        .when(modality == C.SLEEP, row("sleep", F.col("category"), F.col("value")))
+        .when(modality == C.WORKOUT, row("workout", F.col("workout_type"), seconds))
+        .when(modality == C.MOTION, row("motion", F.col("activity"), seconds))
+    )
+    rows = df.select(made.alias("_r")).where(F.col("_r.name").isNotNull()).select("_r.*")
+    listed = [(kind, name, None) for kind, names in KIND_NAMES.items() for name in names]
+    rows = rows.unionByName(df.sparkSession.createDataFrame(listed, "kind string, name string, amount double"))
+    q = [F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("q25", "median", "q75"))]
+    found = summaries(rows, ["kind", "name"], ["amount"], [0.25, 0.5, 0.75])
+    found = found.select("kind", "name", "mean", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("sum")).alias("sum"), *q)
+    found = found.withColumn("iqr", F.col("q75") - F.col("q25"))
+    figure = lambda f, c: F.struct(F.lit(f).alias("figure"), F.col(c).alias("amount"))
+    figures = F.array()
+    for kind, own in reversed(KIND_FIGURES.items()):
+        each = F.array(*[figure(f, c) for f, c in own.items()])
+        figures = each if kind == "motion" else F.when(F.col("kind") == kind, each).otherwise(figures)
+    return found.select("kind", "name", F.inline(figures))
+
+
 def units_per_type(df: DataFrame) -> DataFrame:
     """Distinct units and record count of each record type (units are an enumeration)."""
     return df.groupBy("type").agg(
