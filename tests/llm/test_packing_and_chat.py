@@ -165,3 +165,18 @@ def test_one_conversation_may_hold_most_rows(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.formatted(chat.message_events(table))).collect()}
     assert Counter(got.values()) == {20_000: 1, 1: 50}
+
+
+def test_marked_pieces_give_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    path = packing.tokenizer_path()
+    whole, chunks = Tokenizer.from_file(path), packing.ChunkIds(path)
+    letters = "etaoinshrdlu" * 3 + "cmfwypvbgkjqxzETAS" + "éèüßñçãæøÀÉŒœſıªºµ" + "0123456789²½" + "'’“”–—….,;:!?()\"#*$%&|<>_-\x7f\x80"
+    texts = ["".join(rng.choice(letters + "  \n\t\xa0") for _ in range(rng.randrange(0, 300))) for _ in range(3000)]
+    settled = [c for c in map(chr, range(0x2028)) if packing._SETTLED.fullmatch(c) and c != packing.MARK]
+    texts += [f"a{c}b {c}{c} {c}'s9{c}" for c in settled] + ["", " ", "İ", "İ", "<|endoftext|>", "'ll 'LL it's"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert chunks.marked is not None and chunks.encode(texts) == want
+    assert packing.marked_encoding(packing.tokenizer_path("byte_bpe_50k.json")) is None
