@@ -65,11 +65,25 @@ def _(spark, d):
     return out.select("participant_id", "start_date", "day_index", "channel_idx", _total().alias("observed"))
 
 
-@query("m04_heart_rate_masked_runs", _gap_sql("channel_idx = 5", C.HEART_RATE_GAP_MINUTES))
+#: Samples whose heart-rate channel has an empty day are blanked by the rule before and list nothing.
+BLANK_SQL = """(SELECT w.participant_id, w.start_date FROM wdays w LEFT JOIN (SELECT * FROM wmin WHERE channel_idx = 5 AND value <> 0) m
+  ON m.participant_id = w.participant_id AND m.start_date = w.start_date AND m.day_index = w.day_index
+GROUP BY w.participant_id, w.start_date, w.day_index HAVING count(m.value) = 0)"""
+
+
+@query(
+    "m04_heart_rate_masked_runs",
+    f"SELECT * FROM ({_gap_sql('channel_idx = 5', C.HEART_RATE_GAP_MINUTES)}) ANTI JOIN {BLANK_SQL} USING (participant_id, start_date)",
+)
 def _(spark, d):
     return post.heart_rate_masked_runs(_samples(spark, d)).drop("end_date")
 
 
+@query("m04b_heart_rate_masked_runs_alone", _gap_sql("channel_idx = 5", C.HEART_RATE_GAP_MINUTES))
+def _(spark, d):
+    return post.heart_rate_masked_runs(_samples(spark, d), after_blanking=False).drop("end_date")
+
+
 @query(
     "m05_strip_nans",
     f"SELECT vec_id, {rd('sum(CASE WHEN i % 5 = 2 THEN -1 ELSE v END)')} AS total FROM vec GROUP BY vec_id",
@@ -157,8 +171,11 @@ def _(spark, d):
     )
 
 
-def _long(spark, d):
-    return adapter.vector_days(spark, d).select("vec_id", F.posexplode("values").alias("i", "x"))
+def _cells(df):
+    """Normal and restored cells of each vector."""
+    both = F.arrays_zip(F.col("values").alias("normalised"), F.col("restored").alias("restored"))
+    cells = df.select("vec_id", F.posexplode(both).alias("i", "c"))
+    return rounded_all(cells.select("vec_id", "i", F.col("c.normalised").alias("normalised"), F.col("c.restored").alias("restored")))
 
 
 @query(
@@ -167,8 +184,7 @@ def _long(spark, d):
 FROM vec WINDOW w AS (PARTITION BY vec_id)""",
 )
 def _(spark, d):
-    out = post.instance_denormalise(post.instance_normalise(_long(spark, d), ["vec_id"], ["i"]))
-    return rounded_all(out.select("vec_id", "i", "normalised", "restored"))
+    return _cells(post.instance_denormalise(post.instance_normalise(adapter.vector_days(spark, d)), into="restored"))
 
 
 @query(
@@ -179,12 +195,8 @@ JOIN vec l ON l.vec_id = x.vec_id AND l.i = 63
 JOIN (SELECT vec_id, sqrt(var_pop(v) + 1e-5) AS sd FROM vec GROUP BY vec_id) s ON s.vec_id = x.vec_id""",
 )
 def _(spark, d):
-    affine = (2.0, 0.5)
-    normal = post.instance_normalise(
-        _long(spark, d), ["vec_id"], ["i"], subtract_last=True, affine=affine
-    )
-    out = post.instance_denormalise(normal, affine=affine)
-    return rounded_all(out.select("vec_id", "i", "normalised", "restored"))
+    normal = post.instance_normalise(adapter.vector_days(spark, d), subtract_last=True, affine=(2.0, 0.5))
+    return _cells(post.instance_denormalise(normal, into="restored"))
 
 
 @query(
@@ -193,8 +205,8 @@ def _(spark, d):
 FROM vec WINDOW w AS (PARTITION BY vec_id)""",
 )
 def _(spark, d):
-    out = post.instance_normalise(_long(spark, d), ["vec_id"], ["i"], eps=0.11, skip_flat=True)
-    return rounded_all(out.select("vec_id", "i", "normalised"))
+    out = post.instance_normalise(adapter.vector_days(spark, d), eps=0.11, skip_flat=True)
+    return _cells(out.withColumn("restored", F.col("values"))).drop("restored")
 
 
 @query(

@@ -136,7 +136,11 @@ def label_loss(df: DataFrame, prediction: str, label: str) -> DataFrame:
 
 
 def report(df: DataFrame, names: DataFrame) -> DataFrame:
-    """Channel names, metrics as text with six digits, an overall row first."""
+    """Channel names and metrics as text.
+
+    ``names`` has a row per channel; grouped by channel and limited to known ones it is at most 24 rows when broadcast.
+    """
+    names = names.where(F.col("channel_idx").between(0, C.N_CHANNELS - 1)).groupBy("channel_idx").agg(F.min("channel").alias("channel"))
     errors = masked_errors(df)
     correlations = mean_correlation(df)
     text = [
@@ -154,3 +158,31 @@ def report(df: DataFrame, names: DataFrame) -> DataFrame:
         .alias("channel"),
         *text,
     )
+
+
+# --- from windows to metrics --------------------------------------------------------------------------
+
+
+def last_day_forecast(days: DataFrame) -> DataFrame:
+    """Baseline forecast of day rows with roles (``samples.split_days``): the last input day, repeated.
+
+    Returns one row per sample, channel and forecast day with ``forecast``, ``target`` and ``mask`` (that of the target).
+    Rows of a sample and channel meet once; an absent last input day gives missing forecasts.
+    """
+    key = ["participant_id", "start_date", "end_date", "channel_idx"]
+    inputs, targets = F.col("role") == "x", F.col("role") == "y"
+    last = F.max_by(F.when(inputs, F.col("values")), F.when(inputs, F.col("role_day")))
+    wanted = F.collect_list(F.when(targets, F.struct("role_day", F.col("values").alias("target"), "mask")))
+    gathered = days.groupBy(*key).agg(last.alias("forecast"), wanted.alias("_y"))
+    return gathered.select(*key, "forecast", F.inline("_y"))
+
+
+def forecast_cells(forecast: DataFrame) -> DataFrame:
+    """Cells of a forecast: key, minute, y, yhat, mask. One row per minute, aggregated right after."""
+    sample = F.concat_ws("_", "participant_id", "start_date").alias("sample_id")
+    cells = F.arrays_zip(F.col("target").alias("y"), F.col("forecast").alias("yhat"), F.col("mask").alias("mask"))
+    rows = forecast.select(sample, "channel_idx", "role_day", F.posexplode(cells).alias("minute", "_c"))
+    return rows.select(
+        "sample_id", "channel_idx", "role_day", "minute", F.col("_c.y").cast("double").alias("y"),
+        F.col("_c.yhat").cast("double").alias("yhat"), F.col("_c.mask").cast("int").alias("mask"),
+    )

@@ -56,13 +56,23 @@ def mask_channels_with_empty_day(samples: DataFrame) -> DataFrame:
 
 
 def heart_rate_masked_runs(
-    samples: DataFrame, minimum: int = C.HEART_RATE_GAP_MINUTES, indices: list[int] | None = None
+    samples: DataFrame,
+    minimum: int = C.HEART_RATE_GAP_MINUTES,
+    indices: list[int] | None = None,
+    after_blanking: bool = True,
 ) -> DataFrame:
-    """Long masked stretches of the heart-rate channel. ``indices`` are the selected channels, if any."""
+    """Long masked stretches of the heart-rate channel. ``indices`` are the selected channels, if any.
+
+    The rules are a sequence: a sample whose heart-rate channel the rule for empty days has blanked is past this one and
+    lists nothing, unless ``after_blanking`` is off.
+    """
     if indices is not None and HEART_RATE_CHANNEL not in indices:
         return heart_rate_masked_runs(samples.where(F.lit(False)), minimum)
+    over_days = Window.partitionBy(*SAMPLE, "channel_idx")
     return (
         samples.where(F.col("channel_idx") == HEART_RATE_CHANNEL)
+        .withColumn("_blank", F.bool_or(~F.exists("mask", lambda m: m != 0)).over(over_days))
+        .where(~F.col("_blank") | F.lit(not after_blanking))
         .select(*SAMPLE, "day_index", F.inline(masked_runs(F.col("mask"), minimum)))
         .withColumnsRenamed({"start": "start_minute", "end": "end_minute"})
     )
@@ -217,12 +227,14 @@ def fill_heart_rate(
 def standardise(df: DataFrame, params: DataFrame, epsilon: float = C.STD_EPSILON) -> DataFrame:
     """(v - mean) / std per channel; channels with almost no spread stay as they are.
 
-    ``params`` has one row per channel (24 at most), hence the broadcast.
+    ``params`` has one row per channel; they are grouped by channel, so the broadcast has 24 rows at most, and a channel
+    given twice is an error.
     """
+    twice = F.raise_error(F.lit("standardization parameters given more than once for a channel"))
     small = F.broadcast(
-        params.where(F.col("feature_index").between(0, C.N_CHANNELS - 1)).select(
-            F.col("feature_index").alias("channel_idx"), "mean", "std_dev"
-        )
+        params.where(F.col("feature_index").between(0, C.N_CHANNELS - 1))
+        .groupBy(F.col("feature_index").alias("channel_idx"))
+        .agg(F.when(F.count("*") > 1, twice).otherwise(F.max("mean")).alias("mean"), F.max("std_dev").alias("std_dev"))
     )
     usable = F.abs("std_dev") >= epsilon
     return (
@@ -240,44 +252,64 @@ def standardise(df: DataFrame, params: DataFrame, epsilon: float = C.STD_EPSILON
 
 def instance_normalise(
     df: DataFrame,
-    key: list[str],
-    order: list[str],
-    value: str = "x",
+    column: str = "values",
     eps: float = C.REVIN_EPSILON,
     subtract_last: bool = False,
     affine: tuple[float, float] | None = None,
     skip_flat: bool = False,
 ) -> DataFrame:
-    """Reversible normalisation of long rows per ``key`` (a sample and channel).
+    """Reversible normalisation of a series held in an array, one row per sample and channel. Row-local.
 
-    Adds ``center``, ``scale`` and ``normalised``; the first two let ``instance_denormalise`` undo it. The
-    statistics are one aggregate per key joined back, not a sort of the series. With ``skip_flat`` series
-    whose sample deviation is below eps stay as they are.
+    The array is replaced by its normal form, and ``inverse`` (a factor and an offset) travels with the row:
+    ``instance_denormalise`` applies it to any array in the normal form, a forecast for example. With ``skip_flat``
+    series whose sample deviation is below eps stay as they are and their inverse changes nothing.
     """
-    center = F.max_by(value, F.struct(*order)) if subtract_last else F.avg(value)
-    stats = df.groupBy(*key).agg(
-        center.alias("center"),
-        F.sqrt(F.var_pop(value) + F.lit(eps)).alias("scale"),
-        F.stddev_samp(value).alias("_std"),
-    )
-    out = df.join(stats, key)
-    normalised = (F.col(value) - F.col("center")) / F.col("scale")
-    if affine is not None:
-        weight, bias = affine
-        normalised = normalised * F.lit(weight) + F.lit(bias)
-    if skip_flat:
-        normalised = F.when(F.col("_std") < eps, F.col(value)).otherwise(normalised)
-    return out.withColumn("normalised", normalised).drop("_std")
-
-
-def instance_denormalise(
-    df: DataFrame, eps: float = C.REVIN_EPSILON, affine: tuple[float, float] | None = None
-) -> DataFrame:
-    value = F.col("normalised")
-    if affine is not None:
-        weight, bias = affine
-        value = (value - F.lit(bias)) / F.lit(weight + eps * eps)
-    return df.withColumn("restored", value * F.col("scale") + F.col("center"))
+    add = lambda a, v: a + v
+
+    def normal(x):
+        n = F.size(x)
+        mean = F.try_divide(F.aggregate(x, F.lit(0.0), add), n)
+
+        def with_mean(mean):
+            squares = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+            return A.let(F.struct(mean.alias("mean"), squares.alias("squares")), with_moments)
+
+        def with_moments(m):
+            scale = F.sqrt(F.try_divide(m["squares"], n) + F.lit(eps))
+            center = F.get(x, n - 1) if subtract_last else m["mean"]
+            weight, bias = affine or (1.0, 0.0)
+            # x = ((normal - bias) / (weight + eps^2)) * scale + center, as published.
+            shrunk = F.lit(weight + eps * eps if affine else 1.0)
+            flat = (F.sqrt(F.try_divide(m["squares"], n - 1)) < eps) if skip_flat else F.lit(False)
+            flat = F.coalesce(flat, F.lit(False))
+            forth = F.struct(
+                F.when(flat, F.lit(0.0)).otherwise(center).alias("center"),
+                F.when(flat, F.lit(1.0)).otherwise(scale).alias("scale"),
+                F.when(flat, F.lit(1.0)).otherwise(F.lit(weight)).alias("weight"),
+                F.when(flat, F.lit(0.0)).otherwise(F.lit(bias)).alias("bias"),
+                F.when(flat, F.lit(1.0)).otherwise(shrunk).alias("shrunk"),
+            )
+            return A.let(forth, applied)
+
+        def applied(f):
+            back = F.struct(
+                (f["scale"] / f["shrunk"]).alias("factor"),
+                (f["center"] - f["bias"] * f["scale"] / f["shrunk"]).alias("offset"),
+            )
+            new = F.transform(x, lambda v: (v - f["center"]) / f["scale"] * f["weight"] + f["bias"])
+            return F.struct(new.alias("values"), back.alias("inverse"))
+
+        return A.let(mean, with_mean)
+
+    found = A.let(F.transform(column, lambda v: v.cast("double")), normal)
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, found.alias("_n")).select(*others, F.col("_n.values").alias(column), F.col("_n.inverse").alias("inverse"))
+
+
+def instance_denormalise(df: DataFrame, column: str = "values", into: str | None = None) -> DataFrame:
+    """Undo ``instance_normalise`` on an array, with the ``inverse`` of its row. Row-local."""
+    back = F.transform(column, lambda v: v * F.col("inverse.factor") + F.col("inverse.offset"))
+    return df.withColumn(into or column, back)
 
 
 def apply_all(df: DataFrame, transforms: list) -> DataFrame:
