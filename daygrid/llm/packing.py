@@ -31,7 +31,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -169,13 +168,13 @@ def n_tokens(text: Column, path: str | None = None) -> Column:
     """Tokens that ``pieces`` cuts a text into, with the end id."""
     path = path or tokenizer_path()
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids_of = ChunkIds(path)
         for texts in batches:
-            texts = [x or "" for x in texts]
-            parts = (texts[at : at + TEXTS_AT_ONCE] for at in range(0, len(texts), TEXTS_AT_ONCE))
-            yield pd.Series([len(ids) // 4 + 1 for part in parts for ids in ids_of.encode(part)], dtype="int64")
+            parts = (texts.slice(at, TEXTS_AT_ONCE) for at in range(0, len(texts), TEXTS_AT_ONCE))
+            parts = ([x or "" for x in part.to_pylist()] for part in parts)
+            yield pa.array([len(ids) // 4 + 1 for part in parts for ids in ids_of.encode(part)], pa.int64())
 
     return count(text)
 

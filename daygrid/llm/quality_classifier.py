@@ -7,21 +7,27 @@ good; their length-weighted mean, calibrated by a logistic curve, is the documen
 Only whole documents are labelled. Lines start with their document's label; after a first fit, lines of bad documents
 that look good are relabelled (the worst stays bad) and the field is fitted again. The fit uses at most
 ``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_LINES`` lines, chosen by a hash of the id among rows whose
-crc32(id) mod 5 is not 0; the sample is bounded, so it is fitted in the driver. Scoring covers every whole text.
+crc32(id) mod 5 is not 0; the sample is bounded, so it is fitted in the driver. Its features travel as 4-byte numbers of
+each line alone (at most 70 MB); neighbours are added in the driver.
 
-Defined cases: null and empty texts have one empty line and score what an undecided document scores; repeated rows get
+Scoring covers every whole text. Short chains run together, at most ``CELLS`` lines at once. A chain of more than
+``LONG_CHAIN`` lines is cut into segments: the transfer matrix of each is made first, messages then pass from segment to
+segment, and with both ends known the segments run like chains of their own. The marginals are those of the uncut chain;
+beside the text and its lines a worker holds some numbers a line and one block of segments.
+
+Defined cases: very long texts as above; null and empty texts have one empty line and score what an undecided document scores; repeated rows get
 equal scores; ids may be null (then not held out); labels other than 0 and 1, null ones and those of unknown ids are not
 learnt from; without labels of both kinds every score is 0.5; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -30,14 +36,17 @@ SAMPLE_LINES = 400
 THRESHOLD = 0.3
 EPOCHS, RATE, PENALTY = 150, 0.05, 1e-3
 DOCS_AT_ONCE = 256
+#: Lines, padding included, that go through the recursions together; chains beyond the second number run in segments.
+CELLS = 1 << 18
+LONG_CHAIN = 4096
 SYMBOLS = "#*$%&|<>!"
 N_OWN = 11
 
 
-def line_features(lines: list[str]) -> np.ndarray:
-    """Measurements of each line, about 0 to 1 each."""
+def line_features(lines: list[str], seen: set[str] | None = None) -> np.ndarray:
+    """Measurements of each line, about 0 to 1 each; ``seen`` holds the text's earlier lines and takes up these."""
     out = np.zeros((len(lines), N_OWN), np.float64)
-    seen: set[str] = set()
+    seen = set() if seen is None else seen
     for i, line in enumerate(lines):
         words = line.split()
         n = len(words)
@@ -66,18 +75,36 @@ def line_features(lines: list[str]) -> np.ndarray:
     return out
 
 
-def chain_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line with those of its neighbours and a constant; the lines' lengths."""
+def _own(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each line by itself; the lines' lengths."""
     lines = (text or "").split("\n")
-    own = line_features(lines)
-    edge = np.zeros((1, N_OWN))
+    return line_features(lines), np.array([len(x) for x in lines], np.float64)
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """Features of each line, those of the lines before and after it, and a constant."""
+    edge = np.zeros((1, N_OWN), own.dtype)
     before, after = np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge])
-    return np.hstack([own, before, after, np.ones((len(own), 1))]), np.array([len(x) for x in lines], np.float64)
+    return np.hstack([own, before, after, np.ones((len(own), 1), own.dtype)])
+
+
+def evidence_of(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``with_neighbours(own) @ weights`` without making that matrix; the lines' lengths."""
+    lines = (text or "").split("\n")
+    parts, seen = [], set()
+    by_place = weights[:-1].reshape(3, N_OWN).T
+    for at in range(0, len(lines), LONG_CHAIN):
+        parts.append(line_features(lines[at : at + LONG_CHAIN], seen) @ by_place)
+    own = np.vstack(parts)
+    out = own[:, 0] + weights[-1]
+    out[1:] += own[:-1, 1]
+    out[:-1] += own[1:, 2]
+    return out, np.fromiter(map(len, lines), np.float64, len(lines))
 
 
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(r) for r in rows])
-    out = np.zeros((len(rows), n.max(), *rows[0].shape[1:]))
+    out = np.zeros((len(rows), n.max(), *rows[0].shape[1:]), rows[0].dtype)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out, np.arange(n.max()) < n[:, None]
@@ -110,6 +137,57 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray) ->
     return good * mask, pairs * mask[:, 1:, None, None]
 
 
+def long_marginals(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals of the state good along one chain, in segments that pass messages on."""
+    rest = scores[1:]
+    if not len(rest):
+        return 1 / (1 + np.exp(-scores))
+    width = min(int(np.ceil(np.sqrt(len(rest)))), LONG_CHAIN)
+    count = -(-len(rest) // width)
+    emit = np.zeros(count * width)
+    emit[: len(rest)] = rest
+    emit = emit.reshape(count, width)
+    mask = np.arange(count * width).reshape(count, width) < len(rest)
+
+    def onward(state: np.ndarray, rows: slice, i: int) -> np.ndarray:
+        """Messages (..., 2) after line i of the segments ``rows``; padding leaves them as they are."""
+        shape = (-1,) + (1,) * (state.ndim - 2)
+        new = _lse(state[..., :, None] + trans, -2)
+        new[..., 1] += emit[rows, i].reshape(shape)
+        return np.where(mask[rows, i].reshape((*shape, 1)), new, state)
+
+    # From each state before a segment to each state at its end.
+    moves = np.broadcast_to(np.where(np.eye(2) > 0, 0.0, -np.inf), (count, 2, 2))
+    for i in range(width):
+        moves = onward(moves, slice(None), i)
+    into, out_of = np.zeros((count + 1, 2)), np.zeros((count + 1, 2))
+    into[0] = 0.0, scores[0]
+    for k in range(count):
+        into[k + 1] = _lse(into[k, :, None] + moves[k], 0)
+        into[k + 1] -= into[k + 1].max()
+    for k in range(count - 1, -1, -1):
+        out_of[k] = _lse(moves[k] + out_of[k + 1], 1)
+        out_of[k] -= out_of[k].max()
+
+    def share(messages: np.ndarray) -> np.ndarray:
+        return np.exp(messages[..., 1] - _lse(messages, -1))
+
+    good = np.empty((count, width))
+    for at in range(0, count, max(CELLS // width, 1)):
+        rows = slice(at, min(at + max(CELLS // width, 1), count))
+        fwd = np.empty((rows.stop - at, width, 2))
+        state = into[at : rows.stop]
+        for i in range(width):
+            state = fwd[:, i] = onward(state, rows, i)
+        state = out_of[at + 1 : rows.stop + 1]
+        for i in range(width - 1, -1, -1):
+            good[rows, i] = share(fwd[:, i] + state)
+            ahead = state.copy()
+            ahead[:, 1] += emit[rows, i]
+            state = np.where(mask[rows, i, None], _lse(trans + ahead[:, None, :], 2), state)
+    return np.concatenate([[share(into[0] + out_of[0])], good.ravel()[: len(rest)]])
+
+
 @dataclass(frozen=True)
 class Model:
     weights: tuple[float, ...]
@@ -117,23 +195,38 @@ class Model:
     slope: float
     shift: float
 
-    def scores(self, texts: list[str | None]) -> list[float]:
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
         """Quality of each text, in the order given; chains of similar length run together."""
         w, trans = np.array(self.weights), np.array(self.trans)
-        evidence, lengths = [], []
+        evidence, lengths, means = [], [], []
         for text in texts:
-            x, n = chain_features(text)
-            evidence.append(x @ w)
+            s, n = evidence_of(text, w)
+            if len(s) > LONG_CHAIN:
+                means.append(weighted(long_marginals(s, trans), n))
+                s = n = np.empty(0)
+            else:
+                means.append(0.0)
+            evidence.append(s)
             lengths.append(n)
-        means = np.empty(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: len(lengths[i]))
-        for at in range(0, len(order), DOCS_AT_ONCE):
-            part = order[at : at + DOCS_AT_ONCE]
-            s, mask = _padded([evidence[i] for i in part])
+        order = sorted((i for i in range(len(means)) if len(lengths[i])), key=lambda i: len(lengths[i]))
+        for part in _together([len(lengths[i]) for i in order]):
+            s, mask = _padded([evidence[order[i]] for i in part])
             good, _ = forward_backward(s, mask, trans)
             for row, i in enumerate(part):
-                means[i] = weighted(good[row, : len(lengths[i])], lengths[i])
-        return (1 / (1 + np.exp(-(self.slope * means + self.shift)))).tolist()
+                n = lengths[order[i]]
+                means[order[i]] = weighted(good[row, : len(n)], n)
+        return (1 / (1 + np.exp(-(self.slope * np.array(means) + self.shift)))).tolist()
+
+
+def _together(sizes: list[int]) -> Iterator[range]:
+    """Ranges of ascending ``sizes`` that stay within ``DOCS_AT_ONCE`` chains and ``CELLS`` lines, padding included."""
+    start = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= DOCS_AT_ONCE or (i + 1 - start) * size > CELLS):
+            yield range(start, i)
+            start = i
+    if sizes:
+        yield range(start, len(sizes))
 
 
 def weighted(good: np.ndarray, lengths: np.ndarray) -> float:
@@ -215,12 +308,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, y, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, n = chain_features(text)
-                if len(n) <= SAMPLE_LINES:
-                    out.append((i, y, x.ravel().tolist(), n.tolist()))
+            for i, y, text in zip(*batch.columns, strict=True):
+                text = text.as_py() or ""
+                if text.count("\n") < SAMPLE_LINES:
+                    x, n = _own(text)
+                    out.append((i.as_py(), y.as_py(), x.astype("<f4").tobytes(), n.astype("<i4").tobytes()))
             if out:
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "y", "x", "n"]
                 )
@@ -228,9 +322,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(chosen, rows["id"] == chosen["label_id"]).select("id", "y", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(features, f"id {kind}, y int, x array<double>, n array<double>").collect()
-    by_id = {r["id"]: r for r in sorted(got, key=lambda r: (r["id"], len(r["n"]), r["x"]))}
-    return fit([(np.array(r["x"]).reshape(len(r["n"]), -1), np.array(r["n"]), r["y"]) for r in by_id.values()])
+    got = rows.mapInArrow(features, f"id {kind}, y int, x binary, n binary").collect()
+    by_id = {r["id"]: r for r in sorted(got, key=lambda r: (r["id"], len(r["n"]), bytes(r["x"])))}
+
+    def chain(r: Row) -> tuple[np.ndarray, np.ndarray, int]:
+        own = np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, N_OWN)
+        return with_neighbours(own), np.frombuffer(bytes(r["n"]), "<i4").astype(np.float64), r["y"]
+
+    return fit([chain(r) for r in by_id.values()])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +338,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                out = pa.array(model.scores(part.column(2).to_pylist()), pa.float64())
+                out = pa.array(model.scores(x.as_py() for x in part.column(2)), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))

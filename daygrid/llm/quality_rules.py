@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +83,10 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measures(texts: pd.Series) -> pd.DataFrame:
+def _measures(texts: pa.Array) -> pa.Array:
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    return pd.DataFrame([measure(x) for x in texts], columns=names, dtype="int64")
+    rows = np.array([measure(x.as_py()) for x in texts], np.int64).reshape(-1, len(names))
+    return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], names)
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,7 @@ def _bits(rules: tuple[Rule, ...], measurement: Callable[[str], Column] = F.col)
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: id, measurements, ``fail_bits`` (bit set: the rule failed)."""
-    measures = F.pandas_udf(_measures, MEASURES)
+    measures = F.arrow_udf(_measures, MEASURES)
     rows = docs.select(F.col(id_col), measures(F.col(text_col).cast("string")).alias("m"))
     return rows.select(id_col, "m.*").withColumn("fail_bits", _bits(rules))
 
@@ -159,7 +160,7 @@ def with_verdict(rows: DataFrame, policy: str = PRODUCTION) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``policy`` keeps, with all their columns; row-local, so repeated rows and null ids stay."""
-    measures = F.pandas_udf(_measures, MEASURES)
+    measures = F.arrow_udf(_measures, MEASURES)
     m = fresh(docs, "measures")
     rows = docs.withColumn(m, measures(F.col(text_col).cast("string")))
     bits = _bits(RULES, lambda name: F.col(m)[name])

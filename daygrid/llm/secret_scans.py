@@ -63,8 +63,11 @@ WEAK = (
 KINDS = BASE + WEAK
 
 
-def _matches(text: Column, number: int, kind: Kind) -> Column:
-    """Every match of a kind: its place in the list, code points before it since the last one, its own, the group's."""
+def _matches(text: Column, number: int, kind: Kind, octets: bool = False) -> Column:
+    """Every match of a kind: its place in the list, code points before it since the last one, its own, the group's.
+
+    With ``octets``, the UTF-8 bytes before it and its own as well.
+    """
     whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
     rows = F.transform(
@@ -75,35 +78,48 @@ def _matches(text: Column, number: int, kind: Kind) -> Column:
             F.length(x["gap"]).alias("gap"),
             F.length(x["all"]).alias("width"),
             F.length(x["counted"]).alias("counted"),
+            *([F.octet_length(x["gap"]).alias("gap_b"), F.octet_length(x["all"]).alias("width_b")] if octets else []),
         ),
     )
-    empty = F.array().cast("array<struct<kind:int,place:int,gap:int,width:int,counted:int>>")
+    more = ",gap_b:int,width_b:int" if octets else ""
+    empty = F.array().cast(f"array<struct<kind:int,place:int,gap:int,width:int,counted:int{more}>>")
     # The piece after the last match has no match of its own.
     return F.when(F.size(whole) > 0, F.filter(rows, lambda x: x["width"].isNotNull())).otherwise(empty)
 
 
-def matches(text: Column) -> Column:
-    return F.concat(*[_matches(text, n, k) for n, k in enumerate(KINDS)])
+def matches(text: Column, octets: bool = False) -> Column:
+    return F.concat(*[_matches(text, n, k, octets) for n, k in enumerate(KINDS)])
 
 
 def _by_kind(column: Column, attribute: str) -> Column:
     return F.element_at(F.array(*[F.lit(getattr(k, attribute)) for k in KINDS]), column + 1)
 
 
-def parts(rows: DataFrame) -> DataFrame:
-    """(row_no, kind, s, e, sort) of all matches that are long enough, from stored rows with ``m`` = ``matches``."""
+def parts(rows: DataFrame, octets: bool = False) -> DataFrame:
+    """(row_no, kind, s, e, sort) of all matches that are long enough, from stored rows with ``m`` = ``matches``.
+
+    With ``octets``, the bytes (sb, eb) too.
+    """
     before = W.partitionBy("row_no", "m.kind").orderBy("m.place")
     end = F.sum(F.col("m.gap") + F.col("m.width")).over(before)
+    more, names = [], []
+    if octets:
+        end_b = F.sum(F.col("m.gap_b") + F.col("m.width_b")).over(before)
+        more, names = [(end_b - F.col("m.width_b")).alias("sb"), end_b.alias("eb")], ["sb", "eb"]
     return (
         rows.select("row_no", F.explode("m").alias("m"))
-        .select("row_no", "m.kind", (end - F.col("m.width")).alias("s"), end.alias("e"), "m.counted")
+        .select("row_no", "m.kind", (end - F.col("m.width")).alias("s"), end.alias("e"), "m.counted", *more)
         .filter(F.col("counted") >= _by_kind(F.col("kind"), "least"))
-        .select("row_no", "kind", "s", "e", _by_kind(F.col("kind"), "sort").alias("sort"))
+        .select("row_no", "kind", "s", "e", _by_kind(F.col("kind"), "sort").alias("sort"), *names)
     )
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """Base finds, and weak candidates with a complementary part within the scope: (row_no, kind, s, e)."""
+    """Base finds, and weak candidates with a complementary part within the scope: (row_no, kind, s, e).
+
+    Bytes (sb, eb) are kept where ``found`` has them.
+    """
+    kept = ["row_no", "kind", "s", "e", *[c for c in ("sb", "eb") if c in found.columns]]
     cell = lambda c: F.floor(c / F.lit(SCOPE))
     weak = found.filter(F.col("kind") >= len(BASE)).withColumn(
         "cell", F.explode(F.sequence(cell(F.col("s")), cell(F.col("e"))))
@@ -123,8 +139,8 @@ def linked(found: DataFrame) -> DataFrame:
         & (F.col("s") <= F.col("e2") + SCOPE)
         & ((F.col("e2") <= F.col("s")) | (F.col("e") <= F.col("s2")))
     )
-    hits = weak.join(other, near, "left_semi").select("row_no", "kind", "s", "e").distinct()
-    return found.filter(F.col("kind") < len(BASE)).select("row_no", "kind", "s", "e").unionByName(hits)
+    hits = weak.join(other, near, "left_semi").select(kept).distinct()
+    return found.filter(F.col("kind") < len(BASE)).select(kept).unionByName(hits)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,46 +178,60 @@ def summarised(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def masked(text: Column, finds: Column, mark: str = MARK) -> Column:
-    """``text`` with every run of overlapping finds replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def covered(finds: DataFrame) -> DataFrame:
+    """(row_no, runs): the bytes (sb, eb) of each row that finds cover, overlapping finds as one run, in order."""
+    order = W.partitionBy("row_no").orderBy("sb", "kind", "eb")
+    reach = F.max("eb").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = finds.withColumn("new", F.coalesce(F.col("sb") >= reach, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order)).groupBy("row_no", "run")
+    return (
+        runs.agg(F.min("sb").alias("sb"), F.max("eb").alias("eb"))
+        .groupBy("row_no")
+        .agg(F.array_sort(F.collect_list(F.struct("sb", "eb"))).alias("runs"))
+    )
+
 
-    def step(acc: Column, x: Column) -> Column:
-        again = x["s"] < acc["at"]
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(again, acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(mark))).alias("out"),
-        )
+def masked(text: Column, runs: Column, mark: str = MARK) -> Column:
+    """``text`` with each of its ``runs`` replaced by ``mark``.
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.aggregate(finds, start, step, rest)
+    What lies between is cut out of the bytes by place, each piece by itself, and joined once.
+    """
+    octets = text.cast("binary")
+    between = F.transform(
+        F.sequence(F.lit(0), F.size(runs)),
+        lambda i: F.struct(
+            F.coalesce(F.get(runs, i - 1)["eb"], F.lit(0)).cast("int").alias("from"),
+            F.coalesce(F.get(runs, i)["sb"], F.octet_length(text)).cast("int").alias("to"),
+        ),
+    )
+    pieces = F.transform(between, lambda x: F.substring(octets, x["from"] + 1, x["to"] - x["from"]).cast("string"))
+    return F.array_join(pieces, mark)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """All rows and columns of ``docs``, secrets in the text replaced by ``MARK``; ``chars_col`` follows where it is given.
 
-    Rows without any match pass straight through; only rows with matches are stored and shuffled.
+    Texts are scanned once: rows are stored with their matches. Those without any pass straight through from there; only
+    rows with finds meet them again.
     """
-    m = fresh(docs, "matches")
-    marked = docs.withColumn(m, matches(text_or_empty(text_col)))
-    clean = marked.filter(F.size(m) == 0).drop(m)
-    hit = marked.filter(F.size(m) > 0).select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
-        F.col(m).alias("m"),
-        F.monotonically_increasing_id().alias("row_no"),
-    )
-    hit = stored(hit, "secret-rows")
-    found = linked(parts(hit)).groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("s", "kind", "e"))).alias("finds"))
-    new = F.when(F.col("finds").isNull(), F.col("doc")[text_col]).otherwise(masked(F.col("doc")[text_col], F.col("finds")))
-    rows = hit.drop("m").join(found, "row_no", "left").withColumn("new", new)
+    m, no, hit = fresh(docs, "matches"), fresh(docs, "row_no"), fresh(docs, "hit")
+    marked = docs.withColumn(m, matches(text_or_empty(text_col), octets=True))
+    marked = marked.withColumn(no, F.monotonically_increasing_id()).withColumn(hit, F.size(m) > 0)
+    rows = stored(marked, "secret-rows")
+    named = rows.filter(F.col(hit)).select(F.col(no).alias("row_no"), F.col(m).alias("m"))
+    found = covered(linked(parts(named, octets=True))).withColumnRenamed("row_no", "found_no")
+    met = rows.filter(F.col(hit)).select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(no).alias("row_no"))
+    met = met.join(found, F.col("row_no") == F.col("found_no"), "left")
+    text = F.col("doc")[text_col]
+    met = met.withColumn("new", F.when(F.col("runs").isNull(), text).otherwise(masked(text.cast("string"), F.col("runs"))))
 
     def column(c: str) -> Column:
         if c == text_col:
             return F.col("new").alias(c)
         if c == chars_col:
             kind = docs.schema[c].dataType
-            return F.when(F.col("finds").isNull(), F.col("doc")[c]).otherwise(F.length("new").cast(kind)).alias(c)
+            return F.when(F.col("runs").isNull(), F.col("doc")[c]).otherwise(F.length("new").cast(kind)).alias(c)
         return F.col("doc")[c].alias(c)
 
-    return clean.union(rows.select(*[column(c) for c in docs.columns]))
+    clean = rows.filter(~F.col(hit)).select(docs.columns)
+    return clean.union(met.select(*[column(c) for c in docs.columns]))

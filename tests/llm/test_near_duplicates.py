@@ -81,6 +81,17 @@ def test_join_matches_brute_force(spark, monkeypatch, block):
     assert got == dict(enumerate(joined(texts)))
 
 
+def test_keep_one_matches_brute_force(spark):
+    texts = near_copies(random.Random(5), copies=12)
+    component = {i: c for i, (_, c) in enumerate(joined(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).withColumn("Row_No", F.lit("x"))
+    again = docs.unionByName(docs)
+    for rows, copies in ((docs, 1), (again, 2)):
+        kept = Counter(r["doc_id"] for r in signature_join.keep_one(rows).collect())
+        wordless = {i for i, t in enumerate(texts) if not (t or "").split()}
+        assert kept == Counter({i: copies if i in wordless else 1 for i, c in component.items() if i == c})
+
+
 def test_join_on_odd_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (3, "other text"), (None, "A b c d e F"), (None, None), (1, "other TEXT"), (4, "x " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set_key", F.lit(1))
