@@ -1,12 +1,14 @@
-"""Repeated long byte strings, found through a logarithmic family of suffix indexes.
+"""Repeated long byte strings, found through a logarithmic family of suffix arrays.
 
 Sampled suffixes stand for all: in every string of ``MATCH`` bytes one suffix start is chosen by the string's content
-alone (the start of its smallest ``PREFIX``-byte piece), so equal strings choose the same one. Suffixes are kept in the
-order of a 64-bit fingerprint of their first ``PREFIX`` bytes; where two suffixes agree, a long match may begin.
+alone (the start of its smallest ``PREFIX``-byte piece), so equal strings choose the same one, and the ``PREFIX`` bytes
+that follow it are common to both. A suffix is its first ``PREFIX`` bytes; arrays hold suffixes in the order of these.
 
-``IndexFamily`` takes batches. A batch becomes a sorted list of suffix prefixes with their numbers; it is merge-scanned
-(a sort-merge join) against the levels there are, which yields the prefixes that occur twice; then it is a level itself.
-Levels of equal size merge into one of twice the size before the next scan, so n batches are rewritten log n times.
+``IndexFamily`` takes batches. The suffixes of a batch are merged with the arrays there are into one byte order, dealt
+by ranges, and scanned: each learns the bytes it shares with its neighbours, which are the longest it shares with any.
+Where that is ``PREFIX`` bytes, a long match may begin. The scan leaves the batch's own array with these lengths. Arrays
+of equal size merge into one of twice the size before the next scan, so n batches are rewritten log n times. Suffixes
+that agree are one row with a count, combined before any range is formed, so no range holds copies.
 
 Matched suffixes are settled exactly, by counting fingerprints, so a passage that a third of all documents share is no
 group in any task. A chosen start stands for a run of strings (those that chose it). First the bytes of the whole run
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 from daygrid.llm.common import FILTER_BITS, bitset, contains, mixed, stored
 
 MATCH = 400
-PREFIX = 160
+PREFIX = 64
 #: Batches in which a whole table enters the index.
 BATCHES = 4
 #: Widths of the parts into which runs of strings are cut, round by round.
 PARTS = (36, 6, 1)
 #: Documents handled at once in a task.
 TEXTS_AT_ONCE = 500
+#: Bytes of texts handled at once, where there is more than one text.
+BYTES_AT_ONCE = 16 << 20
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -106,50 +110,109 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
+def _portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch in portions, each with the place of its first row."""
+    at, size, portion = 0, 0, []
+    for n in range(0, len(column), TEXTS_AT_ONCE):
+        for data in _texts(column.slice(n, TEXTS_AT_ONCE)):
+            if portion and (len(portion) == TEXTS_AT_ONCE or size + len(data) > BYTES_AT_ONCE):
+                yield at, portion
+                at, size, portion = at + len(portion), 0, []
+            portion.append(data)
+            size += len(data)
+    if portion:
+        yield at, portion
+
+
+def _binaries(pieces: list[np.ndarray], width: int) -> pa.Array:
+    """Rows of ``width`` bytes as one binary array."""
+    flat = np.concatenate([np.empty(0, np.uint8), *[p.ravel() for p in pieces]])
+    offsets = np.arange(0, len(flat) + 1, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _listed(values: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
 def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, class, sha256, chosen suffixes (start, prefix fingerprint).
+    """Per row: doc_id, n_bytes, class, sha256, chosen suffixes (start, first bytes, their fingerprint).
 
     A task lists the suffixes of a class once; copies that several tasks list only cost work later.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, seen = Fingerprints(), set()
+        nothing = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                sizes, names, digests, starts, keys = [], [], [], [], []
-                for data in _texts(part.column(1)):
+            for at, portion in _portions(batch.column(1)):
+                sizes, names, digests, starts, keys, heads = [], [], [], [], [], []
+                for data in portion:
                     name, digest = _class(data)
                     sizes.append(len(data))
                     names.append(name)
                     digests.append(digest)
-                    if name in seen or len(data) < MATCH:
-                        starts.append([])
-                        keys.append([])
-                        continue
-                    seen.add(name)
-                    start, key, _, _ = chosen(prints, prints.sums(data))
-                    starts.append(start.astype(np.int32))
-                    keys.append(key.view(np.int64))
+                    start, key = nothing
+                    if name not in seen and len(data) >= MATCH:
+                        seen.add(name)
+                        start, key, _, _ = chosen(prints, prints.sums(data))
+                        heads.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), PREFIX)[start])
+                    starts.append(start)
+                    keys.append(key)
+                counts = [len(x) for x in starts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        batch.column(0).slice(at, len(portion)),
                         pa.array(sizes, pa.int64()),
                         pa.array(names, pa.int64()),
                         pa.array(digests, pa.string()),
-                        pa.array(starts, pa.list_(pa.int32())),
-                        pa.array(keys, pa.list_(pa.int64())),
+                        _listed(pa.array(np.concatenate(starts).astype(np.int32)), counts),
+                        _listed(pa.array(np.concatenate(keys).view(np.int64)), counts),
+                        _listed(_binaries(heads, PREFIX), counts),
                     ],
-                    ["doc_id", "n_bytes", "class", "sha256", "starts", "keys"],
+                    ["doc_id", "n_bytes", "class", "sha256", "starts", "keys", "heads"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, class long, sha256 string, starts array<int>, keys array<bigint>"
+        run, f"doc_id {kind}, n_bytes long, class long, sha256 string, starts array<int>, keys array<bigint>, heads array<binary>"
     )
 
 
+def common_lengths(heads: pa.Array) -> np.ndarray:
+    """Bytes that each of the sorted suffixes, ``PREFIX`` bytes each, has in common with the next."""
+    offsets = np.frombuffer(heads.buffers()[1], np.int32)[heads.offset : heads.offset + len(heads) + 1]
+    rows = np.frombuffer(heads.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, PREFIX)
+    other = rows[1:] != rows[:-1]
+    return np.where(other.any(1), other.argmax(1), PREFIX)
+
+
+def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From suffixes in order (head, key, n, fresh): the fresh ones in order, with ``longest``, the bytes shared with another."""
+    held, left = None, 0
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        after = common_lengths(rows.column("head").chunk(0))
+        before = np.concatenate([[left], after])
+        last = rows.num_rows - 1
+        yield from _fresh(rows.slice(0, last), np.maximum(before[:-1], after))
+        held, left = rows.slice(last).to_batches()[0], before[-1]
+    if held is not None:
+        yield from _fresh(pa.Table.from_batches([held]), np.array([left]))
+
+
+def _fresh(rows: pa.Table, longest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    longest = np.where(np.array(rows.column("n")) > 1, PREFIX, longest).astype(np.int32)
+    out = rows.select(["head", "key", "n"]).append_column("longest", pa.array(longest))
+    yield from out.filter(rows.column("fresh")).to_batches()
+
+
 class IndexFamily:
-    """Levels of sorted suffix prefixes (key, n); ``insert`` returns the prefixes of a batch that occur twice by now."""
+    """Sorted arrays of suffixes (head, key, n, longest); ``insert`` returns keys of a batch's suffixes that occur twice by now.
+
+    An array's partitions are ranges of heads in rising order, each sorted.
+    """
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
@@ -158,19 +221,20 @@ class IndexFamily:
         """Merge the last two levels while they are of equal size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            both = a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")
-            self.levels.append((2 * size, stored(both, f"suffix-level-{2 * size}")))
+            ranges = a.unionByName(b).repartitionByRange("head")
+            both = ranges.groupBy("head").agg(F.min("key").alias("key"), F.sum("n").alias("n"), F.max("longest").alias("longest"))
+            self.levels.append((2 * size, stored(both.sortWithinPartitions("head"), f"suffix-level-{2 * size}")))
 
     def insert(self, batch: DataFrame) -> DataFrame:
-        """``batch``: column ``key``. Scans the batch against itself and every level, then adds it."""
+        """``batch``: columns ``head``, ``key``. Scans the batch merged with every level, then adds it."""
         self._merge()
-        counted = batch.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key")
-        counted = stored(counted, "suffix-level-1")
-        found = counted.filter("n > 1").select("key")
+        rows = batch.groupBy("head").agg(F.min("key").alias("key"), F.count("*").alias("n")).withColumn("fresh", F.lit(True))
         for _, level in self.levels:
-            found = found.unionByName(counted.select("key").join(level.select("key"), "key"))
-        self.levels.append((1, counted))
-        return found
+            rows = rows.unionByName(level.select("head", "key", "n", F.lit(False).alias("fresh")))
+        ordered = rows.repartitionByRange("head").sortWithinPartitions("head")
+        level = stored(ordered.mapInArrow(scanned, "head binary, key long, n long, longest int"), "suffix-level-1")
+        self.levels.append((1, level))
+        return level.filter(F.col("longest") >= PREFIX).select("key")
 
 
 def _parts(start: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -228,9 +292,8 @@ def matched_texts(docs: DataFrame, flagged: DataFrame, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = [x for x in _texts(batch.column(0).slice(at, TEXTS_AT_ONCE)) if len(x) >= MATCH]
-                out = {_class(x)[0]: x for x in part}
+            for _, portion in _portions(batch.column(0)):
+                out = {_class(x)[0]: x for x in portion if len(x) >= MATCH}
                 places = np.array([c & (FILTER_BITS - 1) for c in out], np.int64)
                 ok = contains(maybe, places)
                 if ok.any():
@@ -376,7 +439,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     rows = stored(suffixes(docs, id_col, text_col), "suffixes")
     index, matched = IndexFamily(), None
     for n in range(batches):
-        batch = rows.filter(F.pmod(F.xxhash64("class"), F.lit(batches)) == n).select(F.explode("keys").alias("key"))
+        batch = rows.filter(F.pmod(F.xxhash64("class"), F.lit(batches)) == n)
+        batch = batch.select(F.explode(F.arrays_zip("heads", "keys")).alias("s")).select(F.col("s.heads").alias("head"), F.col("s.keys").alias("key"))
         found = index.insert(batch)
         matched = found if matched is None else matched.unionByName(found)
     matched = stored(matched.distinct().select(F.col("key").alias("k")), "suffix-matches")

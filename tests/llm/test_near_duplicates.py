@@ -1,10 +1,12 @@
 """Jaccard join, embedding dedup and repeated strings against brute force, with odd rows and hot groups."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,14 +214,63 @@ def test_repeated_strings_on_odd_rows(spark):
     assert suffix_dedup.dedup(docs.filter("false")).count() == 0
 
 
+def heads_of(spark, heads):
+    rows = [(bytearray(h), int.from_bytes(hashlib.sha256(h).digest()[:7], "big")) for h in heads]
+    return spark.createDataFrame(rows, "head binary, key long")
+
+
+def arrayed(level):
+    """Rows of a level in the order of its files."""
+    return [r for name in sorted(level.inputFiles()) for r in pq.read_table(name.removeprefix("file://")).to_pylist()]
+
+
 def test_index_levels_merge_geometrically(spark):
     index, matched = suffix_dedup.IndexFamily(), []
+    head = lambda k: str(k).encode().rjust(suffix_dedup.PREFIX)
     batches = [[1, 2, 3], [3, 4], [5, 5], [1, 6], [7], [2], [8], [9, 1]]
+    number = {r["key"]: k for k in range(1, 10) for r in heads_of(spark, [head(k)]).collect()}
     for b in batches:
-        found = index.insert(spark.createDataFrame([(k,) for k in b], "key long"))
-        matched.append({r["key"] for r in found.collect()})
+        found = index.insert(heads_of(spark, map(head, b)))
+        matched.append({number[r["key"]] for r in found.collect()})
     assert matched == [set(), {3}, {5}, {1}, set(), {2}, set(), {1}]
     assert sorted((size for size, _ in index.levels), reverse=True) == [4, 2, 1, 1]
-    index.insert(spark.createDataFrame([(99,)], "key long"))
+    index.insert(heads_of(spark, [head(99)]))
     assert [size for size, _ in index.levels] == [8, 1]
     assert index.levels[0][1].agg(F.sum("n")).first()[0] == sum(map(len, batches))
+
+
+def test_levels_are_suffix_arrays(spark):
+    rng = random.Random(5)
+    width = suffix_dedup.PREFIX
+    # Few letters and bytes above 127: long common beginnings, and an order of unsigned bytes.
+    make = lambda: bytes(rng.choice(b"a\x00\xe9") for _ in range(rng.choice([3, 8, width]))).rjust(width, b"q")
+    index, seen = suffix_dedup.IndexFamily(), Counter()
+    for _ in range(4):
+        own = [make() for _ in range(400)]
+        known = Counter(seen)
+        seen.update(own)
+        index.insert(heads_of(spark, own))
+        rows = arrayed(index.levels[-1][1])
+        assert [r["head"] for r in rows] == sorted(set(own))
+        every = sorted(seen)
+        shared = [len(os.path.commonprefix(list(p))) for p in zip(every, every[1:], strict=False)]
+        for r in rows:
+            at = every.index(r["head"])
+            twice = own.count(r["head"]) > 1 or known[r["head"]]
+            assert r["longest"] == (width if twice else max(shared[max(at - 1, 0) : at + 1]))
+    index._merge()
+    assert [size for size, _ in index.levels] == [4]
+    rows = arrayed(index.levels[0][1])
+    assert [(r["head"], r["n"]) for r in rows] == sorted(seen.items())
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    shared = prose(30)
+    texts = [prose(100_000) + shared + prose(10), prose(5) + shared, "a" * 1_000_000, prose(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup(docs).collect()}
+    # Bytes next to the passage may agree by chance.
+    assert abs(got[0][0] - len(shared)) < 8 and got[0] == got[1]
+    assert (got[2], got[3]) == ((1_000_000, 1), (0, 0))
