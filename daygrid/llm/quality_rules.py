@@ -1,8 +1,9 @@
 """Quality rules as a ledger: every rule is evaluated once, policies only read its bits.
 
-``ledger`` measures each text once and gives the measurements and one failure bit per rule; it is lazy, so a caller
-with several policies or an ablation stores it first, and the registered paths, with one pass each, keep it in flight. A policy is a named,
-versioned set of rules (a bit mask); it decides with one AND per document and never looks at a text again.
+``ledger`` measures each text once and gives the measurements and one failure bit per rule; ``stored_ledger`` writes
+them to the shared folder, so that any number of policies and ablations read that table and no text. A policy is a named,
+versioned set of rules (a bit mask); it decides with one AND per document. ``keep_good``, which has to hand the texts on
+and applies one policy, keeps the bits in flight.
 ``ablation`` counts documents per distinct bit pattern (at most 2^rules groups, combined map-side) and derives from
 that small table what each policy rejects and what leaving out one rule would change.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import BLANKS, fresh, words_of
+from daygrid.llm.common import BLANKS, fresh, stored, words_of
 
 #: Symbols of the base measurement (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -151,6 +152,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return rows.select(id_col, "m.*").withColumn("fail_bits", _bits(rules))
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``ledger`` written once; what is derived from it reads only the columns it needs."""
+    return stored(ledger(docs, id_col, text_col, rules), "quality-ledger")
+
+
 def with_verdict(rows: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """Add ``base_failed`` and ``kept`` of ``policy`` to a ledger."""
     return rows.withColumn("base_failed", rejected("base@1")).withColumn(

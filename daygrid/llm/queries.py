@@ -41,12 +41,17 @@ def query(name: str, oracle: str | None = None):
 
 @query("op1_quality_rules", sql.QUALITY_RULES)
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
     return quality_rules.with_verdict(rows).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
     )
 
 
+@query("quality_ablation", sql.quality_ablation())
+def quality_ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablation(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
+
+
 @query("op2_url_filters", sql.url_filters())
 def url_filters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))

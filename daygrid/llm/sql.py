@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from daygrid.llm import chat as chat_format
+from daygrid.llm import quality_rules as quality
 from daygrid.llm import secret_scans as secrets
 from daygrid.llm import url_filters as urls
 
@@ -50,6 +51,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM judged"""
 
 
+def quality_ablation() -> str:
+    cases = [(p, r.name, quality.policy_mask(p), r.mask) for p in quality.POLICIES for r in quality.RULES if quality.policy_mask(p) & r.mask]
+    return f"""WITH {QUALITY_MEASURES},
+cases(policy, rule, mask, bit) AS (VALUES {", ".join(map(str, cases))})
+SELECT policy, rule, count(*) FILTER (WHERE fail_bits & mask <> 0) AS rejected,
+       count(*) FILTER (WHERE fail_bits & mask = bit) AS only_this_rule,
+       count(*) FILTER (WHERE fail_bits & mask & ~bit <> 0) AS rejected_without
+FROM judged CROSS JOIN cases GROUP BY policy, rule"""
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -91,6 +91,17 @@ def test_ledger_policies_and_ablation(spark):
         assert r["only_this_rule"] == sum(x["fail_bits"] & mask == bit for x in ledger)
         assert r["rejected_without"] == sum(x["fail_bits"] & mask & ~bit != 0 for x in ledger)
     assert quality_rules.ledger(nothing(spark)).count() == 0
+    assert quality_rules.ablation(quality_rules.ledger(nothing(spark))).count() == 0
+
+
+def test_policies_read_the_stored_ledger_only(spark):
+    docs = messy(spark).withColumn("fail_bits", F.lit("x"))
+    stored = quality_rules.stored_ledger(docs)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, stored.collect()), key=key) == sorted(map(tuple, quality_rules.ledger(docs).collect()), key=key)
+    for rows in (quality_rules.with_verdict(stored).select("kept"), quality_rules.ablation(stored)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<fail_bits:bigint>" in plan and "Arrow" not in plan
 
 
 def found(text):
