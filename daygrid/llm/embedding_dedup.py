@@ -23,6 +23,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,14 @@ def usable(embedding: str = "embedding", label: str = "label") -> Column:
     )
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one width, none of their components null, as unit rows in double precision."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
 def decoded(classes: DataFrame, population: int) -> DataFrame:
     """(cid, label, dim, direction) for every direction of every class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,16 +118,13 @@ def decoded(classes: DataFrame, population: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                vectors = part.column(2).to_pylist()
-                dims = np.array([len(v) for v in vectors])
+                vectors = part.column(2)
+                dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
                 for dim in map(int, np.unique(dims)):
                     if dim not in codes:
                         codes[dim] = [Code(dim, population, k) for k in range(CODES)]
                     own = np.flatnonzero(dims == dim)
-                    x = np.array([vectors[i] for i in own], np.float64)
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    lists = directions(x, codes[dim])
+                    lists = directions(_matrix(vectors.take(pa.array(own))), codes[dim])
                     again = pa.array(np.repeat(own, [len(d) for d in lists]))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -175,10 +181,9 @@ def compare(group: pa.Table) -> pa.Table:
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     direction, block = np.array(group.column("direction")), np.array(group.column("block"))
     cid, copies = np.array(group.column("cid")), np.array(group.column("copies"))
-    x = np.array(group.column("vector").to_pylist(), np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lists = [np.array(d, np.int64) for d in group.column("directions").to_pylist()]
+    x = _matrix(group.column("vector").combine_chunks())
+    shared = group.column("directions").combine_chunks()
+    lists = np.split(shared.flatten().to_numpy(), np.cumsum(pc.list_value_length(shared).to_numpy())[:-1])
     n, pairs = np.zeros(len(cid), np.int64), []
     order = np.lexsort((cid, direction))
     cuts = np.flatnonzero(np.diff(direction[order])) + 1
