@@ -152,6 +152,8 @@ def _(spark, d):
     """Records to the published report: days, windows, the 5-2 day split, a baseline forecast, aligned cells, metrics."""
     rows = samples.window_samples(stages.window_table(spark, d), stages.day_runs(spark, d))
     forecast = evaluate.last_day_forecast(samples.split_days(rows, *samples.forecast_minutes("5-2d")))
-    cells, key = evaluate.forecast_cells(forecast), ["sample_id", "channel_idx", "role_day", "minute"]
+    # Cells that nothing was observed in leave with "mask = 1"; days without any other leave before they are cells.
+    seen = forecast.where(F.array_contains("mask", F.lit(1).cast("tinyint")))
+    cells, key = evaluate.forecast_cells(seen), ["sample_id", "channel_idx", "role_day", "minute"]
     names = spark.createDataFrame(list(enumerate(C.CHANNELS)), "channel_idx int, channel string")
     return evaluate.report(cells.where("mask = 1").select(*key, "y", "yhat", "mask"), names)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daygrid import constants as C
 from daygrid.catalog.registry import position_sums, query, rounded
 from daygrid.catalog.sql import rd
+from daygrid.functions import arrays as A
 from daygrid.operators import export, samples
 from daygrid.plans import stages
 
@@ -29,17 +30,22 @@ GROUP BY w.participant_id, w.row_number, w.start_date"""
 
 
 def series_sums(records):
-    nans = F.transform("target", lambda row: F.size(F.filter(row, lambda v: F.isnan(v))))
-    out = records.withColumn("v", position_sums(F.flatten("target")))
-    return out.select(
-        "item_id",
-        F.unix_micros("start").alias("start_us"),
-        "freq",
-        F.size("target").alias("features"),
-        F.size(F.get("target", F.lit(0))).alias("length"),
-        F.aggregate(nans, F.lit(0), lambda a, n: a + n).alias("n_nan"),
-        rounded("v.total", 3).alias("total"),
-        rounded("v.weighted", 0).alias("weighted"),
+    """Sums over each record's whole target; channels are summed one by one, so a row holds one of them."""
+    shape = {
+        "start_us": F.unix_micros("start"),
+        "features": F.size("target"),
+        "length": F.size(F.get("target", F.lit(0))),
+    }
+    key = ["item_id", "start_us", "freq", "features", "length"]
+    lengths = F.transform("target", lambda row: F.size(row)).alias("lengths")
+    channels = records.withColumns(shape).select(*key, lengths, F.posexplode("target").alias("i", "values"))
+    before = F.aggregate(F.slice("lengths", 1, F.col("i")), F.lit(0), lambda a, n: a + n)
+    missing = A.total("values", lambda v: F.isnan(v).cast("int"), "int")
+    parts = channels.select(*key, before.alias("before"), missing.alias("n_nan"), position_sums(F.col("values")).alias("v"))
+    return parts.groupBy(*key).agg(
+        F.sum("n_nan").cast("int").alias("n_nan"),
+        rounded(F.sum("v.total"), 3).alias("total"),
+        rounded(F.sum(F.col("v.weighted") + F.col("before") * F.col("v.total")), 0).alias("weighted"),
     )
 
 
@@ -77,14 +83,13 @@ GROUP BY w.participant_id, w.start_date""",
 def _(spark, d):
     numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
     out = export.series_records(flat_samples(spark, d), numbered)
-    per_channel = F.transform(
-        "feat_dynamic_real", lambda row: F.aggregate(row, F.lit(0), lambda a, v: a + v.cast("int"))
-    )
-    return out.select(
+    rows = out.select("item_id", "start", F.size("feat_dynamic_real").alias("features"), F.explode("feat_dynamic_real").alias("m"))
+    observed = rows.select("item_id", "start", "features", A.total("m", kind="int").alias("observed"))
+    return observed.groupBy("item_id", "start", "features").agg(F.sum("observed").cast("int").alias("observed")).select(
         F.substring_index("item_id", "_", 1).cast("bigint").alias("participant_id"),
         F.to_date("start").alias("start_date"),
-        F.size("feat_dynamic_real").alias("features"),
-        F.aggregate(per_channel, F.lit(0), lambda a, n: a + n).alias("observed"),
+        "features",
+        "observed",
     )
 
 

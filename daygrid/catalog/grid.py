@@ -101,13 +101,12 @@ FROM chanday c LEFT JOIN minutes m ON m.participant_id = c.participant_id AND m.
   AND m.channel_idx = c.channel_idx GROUP BY c.participant_id, c.date, c.channel_idx, c.zero_fill""",
 )
 def _(spark, d):
-    valid = F.filter("values", lambda v: ~F.isnan(v))
     return day_grid(adapter.records(spark, d)).select(
         *grid.KEY,
         F.size("values").alias("length"),
-        (F.size("values") - F.size(valid)).alias("n_missing"),
-        F.size(F.filter(valid, lambda v: v == 0)).alias("n_zero"),
-        rounded(F.aggregate(valid, F.lit(0.0), lambda a, v: a + v.cast("double")), 3).alias("total"),
+        A.total("values", lambda v: F.isnan(v).cast("int"), "int").alias("n_missing"),
+        A.total("values", lambda v: (v == 0).cast("int"), "int").alias("n_zero"),
+        rounded(A.total("values", lambda v: F.nanvl(v.cast("double"), F.lit(0.0))), 3).alias("total"),
     )
 
 
@@ -121,12 +120,10 @@ FROM chanday c LEFT JOIN (SELECT * FROM minutes WHERE value <> 0) m ON m.partici
 def _(spark, d):
     df = stages.day_channel(spark, d)
     mask = grid.observation_mask(F.col("values"))
-    return df.select(
+    return df.select(*grid.KEY, mask.alias("_m")).select(
         *grid.KEY,
-        F.aggregate(mask, F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
-        F.aggregate(
-            F.transform(mask, lambda m, i: m.cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x
-        ).alias("minute_sum"),
+        A.total("_m", kind="int").alias("observed"),
+        (position_sums(F.col("_m"))["weighted"] - position_sums(F.col("_m"))["total"]).cast("long").alias("minute_sum"),
     )
 
 
@@ -168,14 +165,15 @@ GROUP BY s.participant_id, s.start_date, s.segment"""
 
 @query("i14_segments", SEGMENT_SQL)
 def _(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
+    by_day = ("day_index", "channel_idx")
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d), order=by_day)
     cut = samples.segments(rows)
     return cut.select(
         "participant_id",
         "start_date",
         "segment",
         F.size("values").alias("length"),
-        F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
+        A.total("mask", kind="int").alias("observed"),
         *_sums("values", digits=2),
     )
 
@@ -195,13 +193,13 @@ GROUP BY w.participant_id, w.start_date, c.channel_idx""",
 def _(spark, d):
     rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     flat = samples.flatten_days(rows)
-    flags = F.transform("mask", lambda m: m == 1)
+    flags = A.mapped("mask", lambda m: m == 1)
     return flat.select(
         "participant_id",
         "start_date",
         "channel_idx",
         F.size("values").alias("length"),
-        F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
+        A.total("mask", kind="int").alias("observed"),
         F.coalesce(F.nullif(F.array_position(flags, True), F.lit(0)) - 1, F.lit(-1)).cast("int").alias("first_position"),
         (
             F.when(
@@ -233,7 +231,7 @@ def _(spark, d):
         "date",
         "channel_idx",
         "is_placeholder",
-        F.size(F.filter("values", lambda v: F.isnan(v))).alias("n_missing"),
+        A.total("values", lambda v: F.isnan(v).cast("int"), "int").alias("n_missing"),
     )
 
 
@@ -261,8 +259,8 @@ def _(spark, d):
         "start_date",
         "day_index",
         "channel_idx",
-        F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
-        rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 2).alias("total"),
+        A.total("mask", kind="int").alias("observed"),
+        rounded(A.total("values"), 2).alias("total"),
     )
 
 
@@ -305,7 +303,7 @@ def _(spark, d):
         "role",
         "role_day",
         "channel_idx",
-        F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("observed"),
+        A.total("mask", kind="int").alias("observed"),
         *_sums("values"),
     )
 
@@ -336,7 +334,7 @@ def _(spark, d):
     out = samples.split_flat(samples.flatten_days(rows), 6000, 3000, 100)
 
     def total(c):
-        return F.aggregate(c, F.lit(0), lambda a, m: a + m.cast("int"))
+        return A.total(c, kind="int")
 
     return out.select(
         "participant_id",

@@ -18,6 +18,38 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_constant(values: Column) -> Column:
+    """True where all elements of a non-empty array are equal (NaN equals NaN, NULL equals NULL).
+
+    Most channels of a day are empty, so most day arrays repeat one value. Telling that runs as generated code, where a
+    lambda is called element by element; the functions below call theirs once for such an array.
+    """
+    return F.coalesce(F.size(F.array_distinct(values)) == 1, F.lit(False))
+
+
+def mapped(values: Column | str, f) -> Column:
+    """``transform`` by a function of the element alone."""
+    values = F.col(values) if isinstance(values, str) else values
+    once = F.array_repeat(f(F.get(values, F.lit(0))), F.size(values))
+    return F.when(is_constant(values), once).otherwise(F.transform(values, f))
+
+
+def zipped(left: Column | str, right: Column | str, f) -> Column:
+    """``zip_with`` by a function of the two elements alone."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (left, right))
+    first = F.lit(0)
+    alike = is_constant(a) & is_constant(b) & (F.size(a) == F.size(b))
+    return F.when(alike, F.array_repeat(f(F.get(a, first), F.get(b, first)), F.size(a))).otherwise(F.zip_with(a, b, f))
+
+
+def total(values: Column | str, f=lambda v: v, kind: str = "double") -> Column:
+    """Sum of ``f`` over the elements, in ``kind``."""
+    values = F.col(values) if isinstance(values, str) else values
+    once = (f(F.get(values, F.lit(0))).cast(kind) * F.size(values)).cast(kind)
+    summed = F.aggregate(values, F.lit(0).cast(kind), lambda a, v: a + f(v).cast(kind))
+    return F.when(is_constant(values), once).otherwise(summed)
+
+
 def positions(length: Column) -> Column:
     """``[0, 1, ..., length-1]``; empty for a length of zero."""
     return F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(

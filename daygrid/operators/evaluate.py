@@ -5,7 +5,7 @@ Rows are cells ``sample_id, channel_idx, <cell key>, y, yhat, mask``. Everything
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
@@ -172,9 +172,9 @@ def last_day_forecast(days: DataFrame) -> DataFrame:
     key = ["participant_id", "start_date", "end_date", "channel_idx"]
     inputs, targets = F.col("role") == "x", F.col("role") == "y"
     last = F.max_by(F.when(inputs, F.col("values")), F.when(inputs, F.col("role_day")))
-    wanted = F.collect_list(F.when(targets, F.struct("role_day", F.col("values").alias("target"), "mask")))
-    gathered = days.groupBy(*key).agg(last.alias("forecast"), wanted.alias("_y"))
-    return gathered.select(*key, "forecast", F.inline("_y"))
+    last = last.over(Window.partitionBy(*key))
+    rows = days.select(*key, "role", "role_day", last.alias("forecast"), F.col("values").alias("target"), "mask")
+    return rows.where(targets).select(*key, "forecast", "role_day", "target", "mask")
 
 
 def forecast_cells(forecast: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
+from daygrid.functions import arrays as A
 from daygrid.functions.ranking import bucketed_row_number, md5_bucket
 from daygrid.operators.post import masked_to_nan
-from daygrid.operators.samples import SAMPLE
+from daygrid.operators.samples import SAMPLE, gathered
 
 SERIES_SCHEMA = (
     "target array<array<float>>, start timestamp, freq string, item_id string, "
@@ -48,23 +49,15 @@ def series_records(
     number of channels differs from the expected one, or whose range is not valid, is skipped.
     """
     values = masked_to_nan(F.col("values"), F.col("mask")) if masked_as_nan else F.col("values")
-    rows = flat.select(
-        *SAMPLE,
-        F.struct(
-            F.col("channel_idx").alias("i"),
-            F.transform(values, lambda v: v.cast("float")).alias("v"),
-            F.transform("mask", lambda m: m.cast("float")).alias("m"),
-        ).alias("_c"),
-    )
+    fields = [A.mapped(values, lambda v: v.cast("float")).alias("v")]
+    if include_mask:
+        fields.append(A.mapped("mask", lambda m: m.cast("float")).alias("m"))
+    rows = flat.select(*SAMPLE, F.col("channel_idx").alias("i"), *fields)
     expected = features if features is not None else C.N_CHANNELS
-    gathered = (
-        rows.groupBy(*SAMPLE)
-        .agg(F.array_sort(F.collect_list("_c")).alias("_c"))
-        .where((F.size("_c") == expected) & (F.col("start_date") <= F.col("end_date")))
-    )
-    joined = gathered.join(numbered, SAMPLE)
+    whole = (F.size("_g") == expected) & (F.col("start_date") <= F.col("end_date"))
+    joined = gathered(rows, SAMPLE, "i", [c for c in rows.columns if c in ("v", "m")]).where(whole).join(numbered, SAMPLE)
     columns = [
-        F.col("_c.v").alias("target"),
+        F.col("_g.v").alias("target"),
         F.col("start_date").cast("timestamp").alias("start"),
         F.lit(C.SERIES_FREQ).alias("freq"),
         F.concat_ws("_", F.col("participant_id").cast("string"), F.col("row_number").cast("string")).alias(
@@ -74,7 +67,7 @@ def series_records(
     if labels:
         columns.append(static_features(list(labels)).alias("feat_static_real"))
     if include_mask:
-        columns.append(F.col("_c.m").alias("feat_dynamic_real"))
+        columns.append(F.col("_g.m").alias("feat_dynamic_real"))
     return joined.select(*columns)
 
 

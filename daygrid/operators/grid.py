@@ -136,7 +136,7 @@ def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def observation_mask(values: Column) -> Column:
-    return F.transform(
+    return A.mapped(
         values, lambda v: F.when(A.observed(v), F.lit(1)).otherwise(F.lit(0)).cast("tinyint")
     )
 

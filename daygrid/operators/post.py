@@ -20,34 +20,56 @@ def masked_flags(mask: Column) -> Column:
 
 def masked_runs(mask: Column, minimum: int) -> Column:
     """Runs of at least ``minimum`` masked cells, as [start, end)."""
-    return A.runs(masked_flags(mask), minimum)
+    n, first = F.size(mask), F.get(mask, F.lit(0))
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
+    found = A.runs(masked_flags(mask), minimum)
+    alike = F.filter(whole, lambda r: (first == 0) & (r["end"] >= minimum))
+    return F.when(A.is_constant(mask), alike).otherwise(found)
+
+
+def fully_masked(mask: Column) -> Column:
+    """Whether no cell is observed."""
+    return F.when(A.is_constant(mask), F.get(mask, F.lit(0)) == 0).otherwise(~F.exists(mask, lambda m: m != 0))
 
 
 def all_channels_masked(samples: DataFrame, minimum: int = C.ALL_CHANNELS_MASKED_MINUTES) -> DataFrame:
     """Stretches of a day where every channel is masked for at least ``minimum`` minutes.
 
-    A day's masks are merged element-wise: at most 24 short arrays meet per sample and day.
+    Each mask becomes the list of its observed stretches; only these meet, at most 24 lists per sample and day.
     """
-    merged = F.aggregate(
-        F.slice(F.collect_list("mask"), 2, C.N_CHANNELS),
-        F.get(F.collect_list("mask"), F.lit(0)),
-        lambda acc, m: F.zip_with(acc, m, lambda a, b: F.greatest(a, b)),
+    mask = F.col("mask")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(mask).alias("end")))
+    alike = F.filter(whole, lambda r: F.get(mask, F.lit(0)) > 0)
+    seen = F.when(A.is_constant(mask), alike).otherwise(A.runs(F.transform(mask, lambda m: m > 0), 1))
+    rows = samples.select(*SAMPLE, "day_index", seen.alias("_seen"), F.size(mask).alias("_n"))
+    days = rows.groupBy(*SAMPLE, "day_index").agg(
+        F.array_sort(F.flatten(F.collect_list("_seen"))).alias("_seen"), F.max("_n").alias("_n")
     )
-    days = samples.groupBy(*SAMPLE, "day_index").agg(merged.alias("any_observed"))
-    return days.select(
-        *SAMPLE, "day_index", F.inline(masked_runs(F.col("any_observed"), minimum))
-    ).withColumnsRenamed({"start": "start_minute", "end": "end_minute"})
+    end = F.struct(F.col("_n").alias("start"), F.col("_n").alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc, run):
+        gap = F.array(F.struct(acc["reach"].alias("start"), run["start"].alias("end")))
+        long = run["start"] - acc["reach"] >= minimum
+        return F.struct(
+            F.greatest(acc["reach"], run["end"]).alias("reach"),
+            F.when(long, F.concat(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"),
+        )
+
+    start = F.struct(F.lit(0).alias("reach"), none.alias("gaps"))
+    gaps = F.aggregate(F.concat("_seen", F.array(end)), start, step, lambda acc: acc["gaps"])
+    return days.select(*SAMPLE, "day_index", F.inline(gaps)).withColumnsRenamed({"start": "start_minute", "end": "end_minute"})
 
 
 def mask_channels_with_empty_day(samples: DataFrame) -> DataFrame:
     """A channel fully masked on any day of the window is masked on all its days."""
-    empty_day = ~F.exists("mask", lambda m: m != 0)
+    empty_day = fully_masked(F.col("mask"))
     over_days = Window.partitionBy(*SAMPLE, "channel_idx")
     return (
         samples.withColumn("_empty", F.bool_or(empty_day).over(over_days))
         .withColumn(
             "mask",
-            F.when(F.col("_empty"), F.transform("mask", lambda m: F.lit(0).cast("tinyint"))).otherwise(
+            F.when(F.col("_empty"), F.array_repeat(F.lit(0).cast("tinyint"), F.size("mask"))).otherwise(
                 F.col("mask")
             ),
         )
@@ -63,15 +85,15 @@ def heart_rate_masked_runs(
 ) -> DataFrame:
     """Long masked stretches of the heart-rate channel. ``indices`` are the selected channels, if any.
 
-    The rules are a sequence: a sample whose heart-rate channel the rule for empty days has blanked is past this one and
-    lists nothing, unless ``after_blanking`` is off.
+    With ``after_blanking`` the rules are a sequence: a sample whose heart-rate channel the rule for empty days has blanked
+    is past this one and lists nothing. Without, all samples are judged.
     """
     if indices is not None and HEART_RATE_CHANNEL not in indices:
         return heart_rate_masked_runs(samples.where(F.lit(False)), minimum)
     over_days = Window.partitionBy(*SAMPLE, "channel_idx")
     return (
         samples.where(F.col("channel_idx") == HEART_RATE_CHANNEL)
-        .withColumn("_blank", F.bool_or(~F.exists("mask", lambda m: m != 0)).over(over_days))
+        .withColumn("_blank", F.bool_or(fully_masked(F.col("mask"))).over(over_days))
         .where(~F.col("_blank") | F.lit(not after_blanking))
         .select(*SAMPLE, "day_index", F.inline(masked_runs(F.col("mask"), minimum)))
         .withColumnsRenamed({"start": "start_minute", "end": "end_minute"})
@@ -97,13 +119,13 @@ def masked_product(df: DataFrame) -> DataFrame:
     """Zero where masked."""
     return df.withColumn(
         "values",
-        F.zip_with("values", "mask", lambda v, m: F.when(m == 0, F.lit(0.0)).otherwise(v)),
+        A.zipped("values", "mask", lambda v, m: F.when(m == 0, F.lit(0.0)).otherwise(v)),
     )
 
 
 def masked_to_nan(values: Column, mask: Column) -> Column:
     """Missing where masked."""
-    return F.zip_with(
+    return A.zipped(
         values, mask, lambda v, m: F.when(m == 0, F.lit(float("nan"))).otherwise(v)
     )
 
@@ -243,8 +265,8 @@ def standardise(df: DataFrame, params: DataFrame, epsilon: float = C.STD_EPSILON
             "values",
             F.when(
                 usable,
-                F.transform("values", lambda v: (v - F.col("mean")) / F.col("std_dev")),
-            ).otherwise(F.transform("values", lambda v: v.cast("double"))),
+                A.mapped("values", lambda v: (v - F.col("mean")) / F.col("std_dev")),
+            ).otherwise(A.mapped("values", lambda v: v.cast("double"))),
         )
         .drop("mean", "std_dev")
     )
