@@ -14,7 +14,7 @@ from daygrid import constants as C
 from daygrid.functions import arrays as A
 from daygrid.functions import time as T
 from daygrid.functions.numbers import holds, nan_to_null
-from daygrid.operators.days import compact, expand
+from daygrid.operators.days import DAY, compact, expand, tasks_of
 
 KEY = ["participant_id", "date", "channel_idx"]
 
@@ -64,7 +64,8 @@ def mean_segments(intervals: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Segments ``[sec, sec_end)`` of constant mean over the intervals covering them.
 
     Edges are summed per second first (map-side, then on the full key), so the running sums see at most
-    86,401 rows per day and channel however many records a day has.
+    86,401 rows per day and channel however many records a day has. The channels of a day meet in one task, in as many
+    tasks as the session says: merged by their size as edges these would be too few for the minutes made of them.
     """
     scaled = F.col("v") * F.lit(COARSE)
     coarse = F.floor(scaled)
@@ -81,6 +82,7 @@ def mean_segments(intervals: DataFrame, key: list[str] = KEY) -> DataFrame:
         valued.select(*key, F.inline(F.array(edge("s", 1), edge("e", -1))))
         .groupBy(*key, "sec")
         .agg(*[F.sum(c).alias(c) for c in ("dn", "d_coarse", "d_fine")])
+        .repartition(tasks_of(intervals), *[c for c in key if c in DAY] or key)
     )
     by_time = Window.partitionBy(*key).orderBy("sec")
     running = by_time.rowsBetween(Window.unboundedPreceding, 0)
@@ -95,29 +97,30 @@ def mean_segments(intervals: DataFrame, key: list[str] = KEY) -> DataFrame:
     )
 
 
-def minute_means(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Mean over the covered seconds of each touched minute: ``key, minute, value``.
+def minute_stretches(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Mean over the covered seconds of each touched minute, as stretches of ``minutes`` from ``minute`` that have one mean.
 
-    The input is already partitioned by ``key``, so the last aggregation needs no further shuffle.
+    A segment is cut into its whole minutes, which no other touches, and what it covers of its first and last one. These
+    pieces, at most three a segment, are what is summed; whole minutes are listed after that, so no table of all minutes is
+    held. The input is already partitioned by ``key``, so the aggregation needs no further shuffle.
     """
-    pieces = segments.select(
-        *key,
-        "sec",
-        "sec_end",
-        "v",
-        F.explode(
-            F.sequence(
-                T.floor_div(F.col("sec"), 60).cast("int"),
-                T.floor_div(F.col("sec_end") - 1, 60).cast("int"),
-            )
-        ).alias("minute"),
-    )
-    covered = F.least(F.col("sec_end"), (F.col("minute") + 1) * 60) - F.greatest(
-        F.col("sec"), F.col("minute") * 60
+    sec, end = F.col("sec"), F.col("sec_end")
+    first, last = T.floor_div(sec, 60), T.floor_div(end - 1, 60)
+    whole, past = T.ceil_div(sec, 60), T.floor_div(end, 60)
+
+    def piece(holds, minute, minutes, covered):
+        fields = {"minute": minute, "minutes": minutes, "covered": covered}
+        return F.when(holds, F.struct(*[c.cast("int").alias(name) for name, c in fields.items()]))
+
+    pieces = F.array(
+        piece(first < whole, first, F.lit(1), F.least(end, whole * 60) - sec),
+        piece(whole < past, whole, past - whole, F.lit(60)),
+        piece((past <= last) & (whole <= last), last, F.lit(1), end - last * 60),
     )
     return (
-        pieces.withColumn("covered", covered)
-        .groupBy(*key, "minute")
+        segments.select(*key, "v", F.inline(pieces))
+        .where("minute IS NOT NULL")
+        .groupBy(*key, "minute", "minutes")
         .agg(
             (F.sum(F.col("v") * F.col("covered")) / F.sum("covered")).alias("value"),
             F.sum("covered").cast("int").alias("covered_seconds"),
@@ -125,9 +128,27 @@ def minute_means(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
     )
 
 
-def minute_values(parts: DataFrame) -> DataFrame:
-    """Sparse per-minute values of all channels: ``participant_id, date, channel_idx, minute, value``."""
-    return minute_means(mean_segments(second_intervals(parts))).drop("covered_seconds")
+def every_minute(stretches: DataFrame) -> DataFrame:
+    """A row per minute of each stretch; one with a NULL minute where there is no stretch. Row-local."""
+    minutes = F.explode_outer(F.sequence(F.col("minute"), F.col("minute") + F.col("minutes") - 1))
+    others = [c for c in stretches.columns if c not in ("minute", "minutes", "value", "covered_seconds")]
+    return stretches.select(*others, minutes.alias("minute"), "value", "covered_seconds")
+
+
+def minute_means(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Mean over the covered seconds of each touched minute: ``key, minute, value, covered_seconds``."""
+    return every_minute(minute_stretches(segments, key))
+
+
+def minute_values(parts: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Sparse per-minute values of all channels: ``participant_id, date, channel_idx, minute, value``.
+
+    With ``days`` only of these; others are left out while they are segments.
+    """
+    segments = mean_segments(second_intervals(parts))
+    if days is not None:
+        segments = segments.join(days, DAY, "left_semi")
+    return minute_means(segments).drop("covered_seconds")
 
 
 def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:
@@ -155,9 +176,9 @@ def modality_grid(parts: DataFrame, modality: str) -> DataFrame:
     """Per-minute values of one modality with its fill rule, in sparse form.
 
     Adds one row with a NULL minute for each channel that has records but covers no minute, so an empty
-    channel stays distinguishable from an absent one.
+    channel stays distinguishable from an absent one. Channels meet their values while these are stretches.
     """
     own = parts.where(F.col("modality") == modality)
-    values = minute_values(own)
+    values = minute_stretches(mean_segments(second_intervals(own)))
     present = own.where(F.col("channel_idx").isNotNull()).select(*KEY).distinct()
-    return present.join(values, KEY, "left")
+    return every_minute(present.join(values, KEY, "left")).drop("covered_seconds")

@@ -36,5 +36,4 @@ def day_statistics(records: DataFrame, skip: list[str] | None = None) -> DataFra
 def observed_minutes(records: DataFrame) -> DataFrame:
     """Sparse minutes of existing days."""
     parts = record_parts(records)
-    days = intervals.output_days(parts)
-    return grid.minute_values(parts).join(days, ["participant_id", "date"], "left_semi")
+    return grid.minute_values(parts, intervals.output_days(parts))

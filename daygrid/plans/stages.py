@@ -34,9 +34,7 @@ def local_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         p = parts(spark, sf_dir)
-        return grid.minute_values(p).join(
-            intervals.output_days(p), ["participant_id", "date"], "left_semi"
-        )
+        return grid.minute_values(p, intervals.output_days(p))
 
     return stored_stage(spark, sf_dir, "minutes", build)
 

@@ -109,3 +109,36 @@ def test_heart_rate_runs_of_all_samples(spark):
     d = "/root/testdata/sf0.001"
     got, alone = (sorted(map(tuple, QUERIES[q](spark, d).collect())) for q in ("m04_heart_rate_masked_runs", "m04b_heart_rate_masked_runs_alone"))
     assert got == alone and got
+
+
+def test_minutes_are_listed_after_all_sums_and_joins(spark):
+    from daygrid.operators import grid
+
+    cuts = [(1, D0, 0, 30, 86400, 2.0), (1, D0, 1, 0, 60, 1.0), (1, D0, 1, 70, 100, 3.0), (1, D0, 1, 100, 125, 5.0), (1, D0, 1, 125, 250, 7.0), (2, D0, 0, 5, 6, 9.0)]
+    segments = spark.createDataFrame(cuts, "participant_id long, date date, channel_idx int, sec int, sec_end int, v double")
+    want = {}
+    for p, day, c, a, b, v in cuts:
+        for s in range(a, b):
+            want.setdefault((p, day, c, s // 60), []).append(v)
+    got = {tuple(r[:4]): (r.value, r.covered_seconds) for r in grid.minute_means(segments).collect()}
+    assert got.keys() == want.keys()
+    assert all(n == len(want[k]) and math.isclose(v, sum(want[k]) / n) for k, (v, n) in got.items())
+    stretches = grid.minute_stretches(segments).collect()
+    assert len(stretches) == 8 and sum(r.minutes for r in stretches) == len(want)
+
+
+def test_minutes_cross_no_exchange(spark):
+    from daygrid.operators import grid
+
+    records = [(1, D0, 0, "healthkit", "t", 0, 7_200_000_000, 1.0, None), (2, D0, 1, "healthkit", "t", 0, 90_000_000, 4.0, None)]
+    parts = spark.createDataFrame(
+        records, "participant_id long, date date, channel_idx int, modality string, type string, start_us long, end_us long, value double, confidence double"
+    )
+    days = spark.createDataFrame([(1, D0), (None, D0)], "participant_id long, date date")
+    minutes = grid.minute_values(parts, days)
+    assert sorted((r.participant_id, r.minute) for r in minutes.collect()) == [(1, m) for m in range(120)]
+    of_kind = grid.modality_grid(parts, "healthkit")
+    assert of_kind.count() == 122
+    for df in (minutes, of_kind):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("sequence(") < plan.index("Join") and "Aggregate" not in plan[: plan.index("sequence(")]
