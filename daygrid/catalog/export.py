@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
-from daygrid.catalog.registry import position_sums, query, rounded
+from daygrid.catalog.registry import query, rounded
 from daygrid.catalog.sql import rd
 from daygrid.functions import arrays as A
 from daygrid.operators import export, samples
@@ -40,8 +40,8 @@ def series_sums(records):
     lengths = F.transform("target", lambda row: F.size(row)).alias("lengths")
     channels = records.withColumns(shape).select(*key, lengths, F.posexplode("target").alias("i", "values"))
     before = F.aggregate(F.slice("lengths", 1, F.col("i")), F.lit(0), lambda a, n: a + n)
-    missing = A.total("values", lambda v: F.isnan(v).cast("int"), "int")
-    parts = channels.select(*key, before.alias("before"), missing.alias("n_nan"), position_sums(F.col("values")).alias("v"))
+    missing = F.size("values") - F.size(F.array_remove("values", F.lit(float("nan")).cast("float")))
+    parts = A.with_sums(channels, [*key, before.alias("before"), missing.alias("n_nan")], {"v": "values"})
     return parts.groupBy(*key).agg(
         F.sum("n_nan").cast("int").alias("n_nan"),
         rounded(F.sum("v.total"), 3).alias("total"),
@@ -84,7 +84,8 @@ def _(spark, d):
     numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
     out = export.series_records(flat_samples(spark, d), numbered)
     rows = out.select("item_id", "start", F.size("feat_dynamic_real").alias("features"), F.explode("feat_dynamic_real").alias("m"))
-    observed = rows.select("item_id", "start", "features", A.total("m", kind="int").alias("observed"))
+    sums = A.with_sums(rows, ["item_id", "start", "features"], {"m": "m"})
+    observed = sums.select("item_id", "start", "features", F.col("m.plain").cast("int").alias("observed"))
     return observed.groupBy("item_id", "start", "features").agg(F.sum("observed").cast("int").alias("observed")).select(
         F.substring_index("item_id", "_", 1).cast("bigint").alias("participant_id"),
         F.to_date("start").alias("start_date"),

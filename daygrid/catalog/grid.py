@@ -120,10 +120,11 @@ FROM chanday c LEFT JOIN (SELECT * FROM minutes WHERE value <> 0) m ON m.partici
 def _(spark, d):
     df = stages.day_channel(spark, d)
     mask = grid.observation_mask(F.col("values"))
-    return df.select(*grid.KEY, mask.alias("_m")).select(
+    sums = A.with_sums(df.select(*grid.KEY, mask.alias("_m")), grid.KEY, {"m": "_m"})
+    return sums.select(
         *grid.KEY,
-        A.total("_m", kind="int").alias("observed"),
-        (position_sums(F.col("_m"))["weighted"] - position_sums(F.col("_m"))["total"]).cast("long").alias("minute_sum"),
+        F.col("m.plain").cast("int").alias("observed"),
+        (F.col("m.weighted") - F.col("m.total")).cast("long").alias("minute_sum"),
     )
 
 
@@ -148,8 +149,12 @@ def _(spark, d):
     return days.select(*DAY, F.bit_count("channel_bits").cast("long").alias("channels"))
 
 
-def _sums(column, suffix="", digits=1):
+def _rounded_sums(sums, suffix="", digits=1):
     """Sum of an array's values and of their products with their places."""
+    return [rounded(f"{sums}.total", 3).alias(f"total{suffix}"), rounded(f"{sums}.weighted", digits).alias(f"weighted{suffix}")]
+
+
+def _sums(column, suffix="", digits=1):
     sums = position_sums(F.col(column))
     return [rounded(sums["total"], 3).alias(f"total{suffix}"), rounded(sums["weighted"], digits).alias(f"weighted{suffix}")]
 
@@ -168,14 +173,9 @@ def _(spark, d):
     by_day = ("day_index", "channel_idx")
     rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d), order=by_day)
     cut = samples.segments(rows)
-    return cut.select(
-        "participant_id",
-        "start_date",
-        "segment",
-        F.size("values").alias("length"),
-        A.total("mask", kind="int").alias("observed"),
-        *_sums("values", digits=2),
-    )
+    key = ["participant_id", "start_date", "segment"]
+    sums = A.with_sums(cut, [*key, F.size("values").alias("length")], {"m": "mask", "v": "values"})
+    return sums.select(*key, "length", F.col("m.plain").cast("int").alias("observed"), *_rounded_sums("v", digits=2))
 
 
 @query(
@@ -254,14 +254,9 @@ def _(spark, d):
         stages.day_runs(spark, d),
         standardization=stages.standardization(spark, d),
     )
-    return df.select(
-        "participant_id",
-        "start_date",
-        "day_index",
-        "channel_idx",
-        A.total("mask", kind="int").alias("observed"),
-        rounded(A.total("values"), 2).alias("total"),
-    )
+    key = ["participant_id", "start_date", "day_index", "channel_idx"]
+    sums = A.with_sums(df, key, {"m": "mask", "v": "values"})
+    return sums.select(*key, F.col("m.plain").cast("int").alias("observed"), rounded("v.plain", 2).alias("total"))
 
 
 @query(
@@ -297,15 +292,9 @@ def _(spark, d):
     inputs, horizon = samples.forecast_minutes("5-2d")
     rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     out = samples.split_days(rows, inputs, horizon, C.MINUTES_PER_DAY)
-    return out.select(
-        "participant_id",
-        "start_date",
-        "role",
-        "role_day",
-        "channel_idx",
-        A.total("mask", kind="int").alias("observed"),
-        *_sums("values"),
-    )
+    key = ["participant_id", "start_date", "role", "role_day", "channel_idx"]
+    sums = A.with_sums(out, key, {"m": "mask", "v": "values"})
+    return sums.select(*key, F.col("m.plain").cast("int").alias("observed"), *_rounded_sums("v"))
 
 
 _AT = "m.day_index * 1440 + m.minute"
@@ -333,19 +322,17 @@ def _(spark, d):
     rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
     out = samples.split_flat(samples.flatten_days(rows), 6000, 3000, 100)
 
-    def total(c):
-        return A.total(c, kind="int")
-
-    return out.select(
-        "participant_id",
-        "start_date",
-        "channel_idx",
-        F.size("data_x").alias("length_x"),
-        F.size("data_y").alias("length_y"),
-        total("mask_x").alias("observed_x"),
-        total("mask_y").alias("observed_y"),
-        *_sums("data_x", "_x"),
-        *_sums("data_y", "_y"),
+    key = ["participant_id", "start_date", "channel_idx"]
+    lengths = [F.size("data_x").alias("length_x"), F.size("data_y").alias("length_y")]
+    sums = A.with_sums(out, [*key, *lengths], {c: c for c in ("mask_x", "mask_y", "data_x", "data_y")})
+    return sums.select(
+        *key,
+        "length_x",
+        "length_y",
+        F.col("mask_x.plain").cast("int").alias("observed_x"),
+        F.col("mask_y.plain").cast("int").alias("observed_y"),
+        *_rounded_sums("data_x", "_x"),
+        *_rounded_sums("data_y", "_y"),
     )
 
 

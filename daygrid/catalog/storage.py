@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from daygrid import constants as C
 from daygrid.catalog.export import SERIES_SQL, flat_samples, series_sums
 from daygrid.catalog.labels import FLAT_SQL
-from daygrid.catalog.registry import position_sums, query, rounded, rounded_all
+from daygrid.catalog.registry import query, rounded, rounded_all
 from daygrid.catalog.sql import rd
 from daygrid.catalog.stats import STANDARD_SQL
 from daygrid.functions import arrays as A
@@ -81,9 +81,9 @@ FROM chanday c LEFT JOIN (SELECT * FROM minutes WHERE value <> 0) m ON m.partici
 def _observed(df):
     """Values and mask of every cell, in sums that tell their places. Days of small files are dealt anew before they grow."""
     df = df.repartition(days.tasks_of(df))
-    observed = A.total("mask", kind="int").alias("observed")
-    out = days.expand(df).select(*days.KEY, observed, position_sums(F.col("values")).alias("v"))
-    return out.select(*days.KEY, "observed", rounded("v.total", 3).alias("total"), rounded("v.weighted", 2).alias("weighted"))
+    out = A.with_sums(days.expand(df), days.KEY, {"m": "mask", "v": "values"})
+    observed = F.col("m.plain").cast("int").alias("observed")
+    return out.select(*days.KEY, observed, rounded("v.total", 3).alias("total"), rounded("v.weighted", 2).alias("weighted"))
 
 
 @query("s05_write_days", DAYS_SQL.format(where=""))

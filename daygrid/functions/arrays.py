@@ -5,9 +5,13 @@ A day of one channel is an array of 1440 values, so every list built here is bou
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SUMS = "struct<plain:double,total:double,weighted:double>"
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once.
@@ -22,9 +26,11 @@ def is_constant(values: Column) -> Column:
     """True where all elements of a non-empty array are equal (NaN equals NaN, NULL equals NULL).
 
     Most channels of a day are empty, so most day arrays repeat one value. Telling that runs as generated code, where a
-    lambda is called element by element; the functions below call theirs once for such an array.
+    lambda is called element by element; the functions below call theirs once for such an array. The comparison with the
+    repeated first element hashes nothing and ends at the first other one.
     """
-    return F.coalesce(F.size(F.array_distinct(values)) == 1, F.lit(False))
+    n = F.size(values)
+    return F.coalesce((n > 0) & (values == F.array_repeat(F.get(values, F.lit(0)), n)), F.lit(False))
 
 
 def mapped(values: Column | str, f) -> Column:
@@ -50,6 +56,52 @@ def total(values: Column | str, f=lambda v: v, kind: str = "double") -> Column:
     return F.when(is_constant(values), once).otherwise(summed)
 
 
+def list_sums():
+    """A function of arrays in tasks: ``SUMS`` of each list; NULL for a missing list and for one with a missing element."""
+
+    def sums(arrays: pa.Array) -> pa.Array:
+        cells, lengths = arrays.flatten(), arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        missing = np.asarray(arrays.is_null())
+        found = np.zeros((3, len(lengths)))
+        full = lengths > 0
+        if full.any():
+            sizes = lengths[full]
+            starts = np.cumsum(sizes) - sizes
+            if cells.null_count:
+                missing[full] |= np.logical_or.reduceat(np.asarray(cells.is_null()), starts)
+                cells = cells.fill_null(0)
+            plain = cells.to_numpy(zero_copy_only=False).astype("float64")
+            number = np.where(np.isnan(plain), 0.0, plain)
+            place = np.arange(1, len(plain) + 1) - np.repeat(starts, sizes)
+            found[:, full] = [np.add.reduceat(x, starts) for x in (plain, number, number * place)]
+        fields = [pa.array(x, mask=missing) for x in found]
+        return pa.StructArray.from_arrays(fields, ["plain", "total", "weighted"], mask=pa.array(missing))
+
+    return sums
+
+
+def with_sums(df: DataFrame, keep: list[str | Column], arrays: dict[str, str | Column]) -> DataFrame:
+    """``keep`` and a struct of sums for each array: ``plain``, ``total`` and ``weighted`` by places from 1; in the last two
+    NaN counts as zero. NULL for an array with a NULL.
+
+    Arrays of one value are summed by their first element, others outside generated code, which calls a lambda for each.
+    Only these go on to that, so the rows that wait for their sums stay small.
+    """
+    kept = df.select(*keep).columns
+    columns, sums = [], F.arrow_udf(list_sums(), SUMS)
+    for name, array in arrays.items():
+        c = F.col(array) if isinstance(array, str) else array
+        one, n = F.get(c, F.lit(0)).cast("double"), F.size(c).cast("double")
+        number = F.nanvl(one, F.lit(0.0))
+        once = F.struct((one * n).alias("plain"), (number * n).alias("total"), (number * (n * (n + 1) / 2)).alias("weighted"))
+        alike = is_constant(c)
+        columns += [F.when(alike & one.isNotNull(), once).alias(f"_once_{name}"), F.when(~alike, c).alias(f"_varied_{name}")]
+    varied = lambda name: F.col(f"_varied_{name}")
+    return df.select(*keep, *columns).select(
+        *kept, *[F.when(varied(name).isNull(), F.col(f"_once_{name}")).otherwise(sums(varied(name))).alias(name) for name in arrays]
+    )
+
+
 def positions(length: Column) -> Column:
     """``[0, 1, ..., length-1]``; empty for a length of zero."""
     return F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(

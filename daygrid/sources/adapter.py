@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from daygrid import constants as C
 from daygrid.functions import time as T
+from daygrid.operators.days import tasks_of
 from daygrid.sources.session import pin_session, stored_stage
 
 UNITS = ["m", "ft", "km", "mi", "cm", "in", "lb", "g", "mph", "fl_oz", "cal", "count/s"]
@@ -28,9 +29,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval records of all modalities and participants, one union table.
 
     Stored once: the rules that derive the records would otherwise be repeated in every later predicate, which exceeds
-    the size of one generated method. Readers of the stored table prune columns and push filters down.
+    the size of one generated method. Readers of the stored table prune columns and push filters down. Its rows are dealt
+    evenly, as the source file may have few row groups, which few tasks would read.
     """
-    return stored_stage(spark, sf_dir, "records", lambda: derived_records(spark, sf_dir))
+
+    def build():
+        derived = derived_records(spark, sf_dir)
+        return derived.repartition(tasks_of(derived), "record_id")
+
+    return stored_stage(spark, sf_dir, "records", build)
 
 
 def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,24 @@ def test_minutes_cross_no_exchange(spark):
     for df in (minutes, of_kind):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("sequence(") < plan.index("Join") and "Aggregate" not in plan[: plan.index("sequence(")]
+
+
+def test_sums_of_arrays_as_cell_by_cell(spark):
+    from daygrid.catalog.registry import position_sums
+
+    lists = [[0.0] * 4, [NAN] * 3, [None, None], [], None, [1.0, NAN, 2.5], [1.0, None], [3.0, 0.5, 0.5]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, x array<double>")
+    x = F.col("x")
+    cells = df.select("i", A.total(x).alias("plain"), position_sums(x).alias("p"))
+    want = {r.i: plain([r.plain, r.p.total, r.p.weighted]) for r in cells.collect()}
+    out = A.with_sums(df, ["i"], {"s": "x", "again": x})
+    for r in out.collect():
+        assert plain(list(r.s or [None] * 3)) == want[r.i] == plain(list(r.again or [None] * 3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :].split("\n")[1]
+    assert "_varied_s" in below and ", x#" not in below
+
+
+def test_arrays_of_one_value_are_told_without_hashing(spark):
+    df = spark.createDataFrame([([1.0, 1.0],)], "x array<double>")
+    assert "array_distinct" not in df.select(A.is_constant(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
