@@ -131,8 +131,7 @@ def minute_stretches(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
 def every_minute(stretches: DataFrame) -> DataFrame:
     """A row per minute of each stretch; one with a NULL minute where there is no stretch. Row-local."""
     minutes = F.explode_outer(F.sequence(F.col("minute"), F.col("minute") + F.col("minutes") - 1))
-    others = [c for c in stretches.columns if c not in ("minute", "minutes", "value", "covered_seconds")]
-    return stretches.select(*others, minutes.alias("minute"), "value", "covered_seconds")
+    return stretches.withColumn("minute", minutes).drop("minutes")
 
 
 def minute_means(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -140,15 +139,20 @@ def minute_means(segments: DataFrame, key: list[str] = KEY) -> DataFrame:
     return every_minute(minute_stretches(segments, key))
 
 
-def minute_values(parts: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """Sparse per-minute values of all channels: ``participant_id, date, channel_idx, minute, value``.
+def value_stretches(parts: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Sparse values of all channels as stretches: ``participant_id, date, channel_idx, minute, minutes, value``.
 
     With ``days`` only of these; others are left out while they are segments.
     """
     segments = mean_segments(second_intervals(parts))
     if days is not None:
         segments = segments.join(days, DAY, "left_semi")
-    return minute_means(segments).drop("covered_seconds")
+    return minute_stretches(segments).drop("covered_seconds")
+
+
+def minute_values(parts: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """The same, a row per minute: ``participant_id, date, channel_idx, minute, value``."""
+    return every_minute(value_stretches(parts, days))
 
 
 def day_channel(minutes: DataFrame, days: DataFrame) -> DataFrame:

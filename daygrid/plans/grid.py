@@ -24,7 +24,7 @@ def day_grid(records: DataFrame, skip: list[str] | None = None) -> DataFrame:
     """Dense storage rows for every output day."""
     parts = record_parts(records, skip)
     days = intervals.day_index(parts, skip_quantity="healthkit" in (skip or []))
-    return grid.day_channel(grid.minute_values(parts), days)
+    return grid.day_channel(grid.value_stretches(parts), days)
 
 
 def day_statistics(records: DataFrame, skip: list[str] | None = None) -> DataFrame:

@@ -118,8 +118,8 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _built(parts: DataFrame, days: DataFrame) -> DataFrame:
-    minutes = grid.minute_values(parts.join(days.select(*DAY), DAY, "left_semi"))
-    return D.compact(minutes, days)
+    stretches = grid.value_stretches(parts.join(days.select(*DAY), DAY, "left_semi"))
+    return D.compact(stretches, days)
 
 
 def add_statistics(spark: SparkSession, days_path: str, stats_path: str, force: bool = False) -> None:

@@ -1,6 +1,6 @@
 """Stored stages: each job of the chain reads the table the previous one wrote.
 
-records -> minutes, day statistics, days as runs -> windows -> labelled windows. A stage is written once per
+records -> stretches of minutes, day statistics, days as runs -> windows -> labelled windows. A stage is written once per
 application and input folder, under the shared scratch folder, and read back by every later job. That cuts
 the lineage with a table that survives the loss of executors.
 """
@@ -31,12 +31,17 @@ def local_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.with_local_date(clean.sleep_end_from_duration(df))
 
 
-def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         p = parts(spark, sf_dir)
-        return grid.minute_values(p, intervals.output_days(p))
+        return grid.value_stretches(p, intervals.output_days(p))
+
+    return stored_stage(spark, sf_dir, "stretches", build)
 
-    return stored_stage(spark, sf_dir, "minutes", build)
+
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per minute, listed where it is read; stretches are what is stored."""
+    return grid.every_minute(stretches(spark, sf_dir))
 
 
 def day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "day_runs",
-        lambda: days.compact(minutes(spark, sf_dir), day_index(spark, sf_dir)),
+        lambda: days.compact(stretches(spark, sf_dir), day_index(spark, sf_dir)),
     )
 
 

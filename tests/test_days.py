@@ -27,6 +27,23 @@ def runs_of(spark, minutes):
     return D.compact(spark.createDataFrame(rows, schema).repartition(3), days)
 
 
+def test_runs_of_stretches_as_of_minutes(spark):
+    from daygrid.operators import grid
+
+    rows = [(1, 0, 0, 60, 1.0), (1, 0, 60, 1, 1.0), (1, 0, 61, 30, 2.0), (1, 5, 10, 1, 0.5), (1, 5, 12, 2, 0.5), (None, 0, 3, 4, 1.0)]
+    stretches = spark.createDataFrame(
+        [(p, NEW_YEAR, *r) for p, *r in rows], "participant_id long, date date, channel_idx int, minute int, minutes int, value double"
+    )
+    schema = "participant_id long, date date, original_time_offset int, channel_bits int, has_sleep boolean"
+    days = spark.createDataFrame([(1, NEW_YEAR, 60, 1, True), (None, NEW_YEAR, 60, 1, True)], schema)
+    stored = D.compact(stretches, days)
+    got = {r.participant_id: {c.channel_idx: [tuple(x) for x in c.runs] for c in r.channels} for r in stored.collect()}
+    assert got == {1: {0: [(0, 61, 1.0), (61, 30, 2.0)], 5: [(10, 1, 0.5), (12, 2, 0.5)]}, None: {}}
+    assert str(D.compact(grid.every_minute(stretches), days).orderBy("participant_id").collect()) == str(stored.orderBy("participant_id").collect())
+    plan = stored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[plan.rindex("RepartitionByExpression") :]
+
+
 def test_runs_and_back(spark):
     minutes = {0: {0: 1.0, 1: 1.0, 2: 2.0, 9: 2.0, 1439: 5.0}, 5: {m: 0.5 for m in range(1440)}, 20: {7: 0.0}}
     stored = runs_of(spark, minutes)
