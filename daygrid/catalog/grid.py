@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrid import constants as C
-from daygrid.catalog.registry import position_sums, query, rounded, rounded_all
+from daygrid.catalog.registry import query, rounded, rounded_all
 from daygrid.catalog.sql import rd
 from daygrid.functions import arrays as A
 from daygrid.operators import clean, grid, intervals, samples, summary
@@ -154,11 +154,6 @@ def _rounded_sums(sums, suffix="", digits=1):
     return [rounded(f"{sums}.total", 3).alias(f"total{suffix}"), rounded(f"{sums}.weighted", digits).alias(f"weighted{suffix}")]
 
 
-def _sums(column, suffix="", digits=1):
-    sums = position_sums(F.col(column))
-    return [rounded(sums["total"], 3).alias(f"total{suffix}"), rounded(sums["weighted"], digits).alias(f"weighted{suffix}")]
-
-
 SEGMENT_SQL = f"""SELECT s.participant_id, s.start_date, s.segment, CAST(720 AS INTEGER) AS length,
 CAST(count(m.value) FILTER (m.value <> 0) AS INTEGER) AS observed, {rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE)), 0)', 3)} AS total,
 {rd('coalesce(sum(CAST(CAST(m.value AS FLOAT) AS DOUBLE) * (m.channel_idx * 30 + m.minute % 30 + 1)), 0)', 2)} AS weighted
@@ -171,11 +166,12 @@ GROUP BY s.participant_id, s.start_date, s.segment"""
 @query("i14_segments", SEGMENT_SQL)
 def _(spark, d):
     by_day = ("day_index", "channel_idx")
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d), order=by_day)
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d), order=by_day, runs=True)
     cut = samples.segments(rows)
     key = ["participant_id", "start_date", "segment"]
-    sums = A.with_sums(cut, [*key, F.size("values").alias("length")], {"m": "mask", "v": "values"})
-    return sums.select(*key, "length", F.col("m.plain").cast("int").alias("observed"), *_rounded_sums("v", digits=2))
+    observed = A.count_of_others("mask", F.lit(0).cast("tinyint")).alias("observed")
+    sums = A.with_sums(cut, [*key, F.size("values").alias("length"), observed], {"v": "values"})
+    return sums.select(*key, "length", "observed", *_rounded_sums("v", digits=2))
 
 
 @query(
@@ -191,24 +187,14 @@ LEFT JOIN wmin m ON m.participant_id = w.participant_id AND m.start_date = w.sta
 GROUP BY w.participant_id, w.start_date, c.channel_idx""",
 )
 def _(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
-    flat = samples.flatten_days(rows)
-    flags = A.mapped("mask", lambda m: m == 1)
-    return flat.select(
-        "participant_id",
-        "start_date",
-        "channel_idx",
-        F.size("values").alias("length"),
-        A.total("mask", kind="int").alias("observed"),
-        F.coalesce(F.nullif(F.array_position(flags, True), F.lit(0)) - 1, F.lit(-1)).cast("int").alias("first_position"),
-        (
-            F.when(
-                F.array_contains(flags, True),
-                F.size("mask") - F.array_position(F.reverse(flags), True),
-            ).otherwise(F.lit(-1))
-        ).cast("int").alias("last_position"),
-        *_sums("values"),
-    )
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d), runs=True)
+    flat, one, key = samples.flatten_days(rows), F.lit(1).cast("tinyint"), ["participant_id", "start_date", "channel_idx"]
+    first = F.coalesce(F.nullif(F.array_position("mask", one), F.lit(0)) - 1, F.lit(-1)).cast("int")
+    last = F.when(F.array_contains("mask", one), F.size("mask") - F.array_position(F.reverse("mask"), one)).otherwise(F.lit(-1))
+    observed = A.count_of_others("mask", F.lit(0).cast("tinyint")).alias("observed")
+    kept = [F.size("values").alias("length"), observed, first.alias("first_position"), last.cast("int").alias("last_position")]
+    sums = A.with_cell_sums(flat, [*key, "end_date", *kept], "values")
+    return sums.select(*key, "length", "observed", "first_position", "last_position", *_rounded_sums("v"))
 
 
 @query(

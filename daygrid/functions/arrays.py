@@ -56,10 +56,22 @@ def total(values: Column | str, f=lambda v: v, kind: str = "double") -> Column:
     return F.when(is_constant(values), once).otherwise(summed)
 
 
-def list_sums():
+#: Cells that ``list_sums`` treats in one go, about: its temporary arrays stay small.
+CELLS_SUMMED = 1 << 17
+
+
+def list_sums(at_once: int = CELLS_SUMMED):
     """A function of arrays in tasks: ``SUMS`` of each list; NULL for a missing list and for one with a missing element."""
 
     def sums(arrays: pa.Array) -> pa.Array:
+        reach, parts, at = np.cumsum(arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), [], 0
+        while at < len(arrays):
+            end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + at_once, "right")))
+            parts.append(slice_sums(arrays.slice(at, end - at)))
+            at = end
+        return pa.concat_arrays(parts) if parts else slice_sums(arrays)
+
+    def slice_sums(arrays: pa.Array) -> pa.Array:
         cells, lengths = arrays.flatten(), arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         missing = np.asarray(arrays.is_null())
         found = np.zeros((3, len(lengths)))
@@ -102,6 +114,42 @@ def with_sums(df: DataFrame, keep: list[str | Column], arrays: dict[str, str | C
     )
 
 
+def count_of_others(values: Column | str, value: Column) -> Column:
+    """Number of elements that differ from ``value``; generated code."""
+    return F.size(F.array_remove(values, value))
+
+
+def with_cell_sums(df: DataFrame, keep: list[str | Column], values: str, name: str = "v") -> DataFrame:
+    """``total`` and ``weighted`` of ``with_sums``, for long arrays of which few cells are neither zero nor NaN.
+
+    Cells are listed and added up in generated code, and no array leaves it. Each row of ``df`` is a group of its own, also
+    when rows repeat; where ``keep`` has the columns that rows were dealt by, they meet where they are.
+    """
+    c, kept = F.col(values), df.select(*keep).columns
+    one, n = F.get(c, F.lit(0)).cast("double"), F.size(c).cast("double")
+    number, alike = F.nanvl(one, F.lit(0.0)), is_constant(c)
+    once = F.struct((number * n).alias("total"), (number * (n * (n + 1) / 2)).alias("weighted"))
+    rows = df.select(
+        *keep,
+        F.when(alike & one.isNotNull(), once).alias("_once"),
+        F.when(~alike, c).alias("_varied"),
+        (c.isNull() | (alike & one.isNull())).alias("_gone"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    cells = rows.select(*kept, "_row", "_once", "_gone", F.posexplode_outer("_varied").alias("_at", "_cell"))
+    cell, at = F.col("_cell").cast("double"), F.col("_at")
+    # The first cell stays for the row's sake.
+    listed = cells.where(at.isNull() | (at == 0) | cell.isNull() | ((cell != 0) & ~F.isnan(cell)))
+    number = F.nanvl(cell, F.lit(0.0))
+    sums = listed.groupBy(*kept, "_row", "_once", "_gone").agg(
+        F.coalesce(F.sum(number), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(number * (at + 1)), F.lit(0.0)).alias("weighted"),
+        F.count_if(at.isNotNull() & cell.isNull()).alias("_nulls"),
+    )
+    added = F.when(~F.col("_gone") & (F.col("_nulls") == 0), F.struct("total", "weighted"))
+    return sums.select(*kept, F.coalesce("_once", added).alias(name))
+
+
 def positions(length: Column) -> Column:
     """``[0, 1, ..., length-1]``; empty for a length of zero."""
     return F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(

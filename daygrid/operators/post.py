@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daygrid import constants as C
 from daygrid.functions import arrays as A
+from daygrid.operators.days import with_run_values
 from daygrid.operators.samples import SAMPLE
 
 HEART_RATE_CHANNEL = C.CHANNEL_INDEX[C.HEART_RATE]
@@ -117,9 +118,11 @@ def strip_nans(df: DataFrame, replacement: float = 0.0) -> DataFrame:
 
 def masked_product(df: DataFrame) -> DataFrame:
     """Zero where masked."""
-    return df.withColumn(
-        "values",
-        A.zipped("values", "mask", lambda v, m: F.when(m == 0, F.lit(0.0)).otherwise(v)),
+    return df.withColumns(
+        {
+            "values": A.zipped("values", "mask", lambda v, m: F.when(m == 0, F.lit(0.0)).otherwise(v)),
+            **with_run_values(df, lambda v: F.when(A.observed(v), v).otherwise(F.lit(0.0))),
+        }
     )
 
 
