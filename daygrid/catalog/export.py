@@ -16,7 +16,7 @@ NUMBERED = """(SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(participant
 
 
 def flat_samples(spark, d):
-    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d))
+    rows = samples.with_placeholders(stages.window_table(spark, d), stages.day_runs(spark, d), runs=True)
     return samples.flatten_days(samples.zero_missing(rows))
 
 
@@ -35,13 +35,14 @@ def series_sums(records):
         "start_us": F.unix_micros("start"),
         "features": F.size("target"),
         "length": F.size(F.get("target", F.lit(0))),
+        "lengths": F.transform("target", lambda row: F.size(row)),
     }
     key = ["item_id", "start_us", "freq", "features", "length"]
-    lengths = F.transform("target", lambda row: F.size(row)).alias("lengths")
-    channels = records.withColumns(shape).select(*key, lengths, F.posexplode("target").alias("i", "values"))
+    # Sizes are taken before, or every channel's row would carry the whole target.
+    channels = records.withColumns(shape).select(*key, "lengths", F.posexplode_outer("target").alias("i", "values"))
     before = F.aggregate(F.slice("lengths", 1, F.col("i")), F.lit(0), lambda a, n: a + n)
-    missing = F.size("values") - F.size(F.array_remove("values", F.lit(float("nan")).cast("float")))
-    parts = A.with_sums(channels, [*key, before.alias("before"), missing.alias("n_nan")], {"v": "values"})
+    missing = F.size("values") - A.count_of_others("values", F.lit(float("nan")).cast("float"))
+    parts = A.with_cell_sums(channels, [*key, before.alias("before"), missing.alias("n_nan")], "values")
     return parts.groupBy(*key).agg(
         F.sum("n_nan").cast("int").alias("n_nan"),
         rounded(F.sum("v.total"), 3).alias("total"),
@@ -83,9 +84,9 @@ GROUP BY w.participant_id, w.start_date""",
 def _(spark, d):
     numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
     out = export.series_records(flat_samples(spark, d), numbered)
-    rows = out.select("item_id", "start", F.size("feat_dynamic_real").alias("features"), F.explode("feat_dynamic_real").alias("m"))
-    sums = A.with_sums(rows, ["item_id", "start", "features"], {"m": "m"})
-    observed = sums.select("item_id", "start", "features", F.col("m.plain").cast("int").alias("observed"))
+    out = out.withColumn("features", F.size("feat_dynamic_real"))
+    rows = out.select("item_id", "start", "features", F.explode_outer("feat_dynamic_real").alias("m"))
+    observed = rows.withColumn("observed", A.count_of_others("m", F.lit(0.0).cast("float")))
     return observed.groupBy("item_id", "start", "features").agg(F.sum("observed").cast("int").alias("observed")).select(
         F.substring_index("item_id", "_", 1).cast("bigint").alias("participant_id"),
         F.to_date("start").alias("start_date"),
