@@ -181,7 +181,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "series")
     numbered = export.numbered_windows(stages.window_table(spark, d).drop("days"))
-    export.series_records(flat_samples(spark, d), numbered, masked_as_nan=True).write.parquet(path)
+    files.write_series(export.series_records(flat_samples(spark, d), numbered, masked_as_nan=True), path)
     return series_sums(spark.read.parquet(path))
 
 

@@ -296,6 +296,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+#: Series records in one row group; a reader holds the arrays of up to so many at once.
+SERIES_IN_GROUP = 32
+
+
+def write_series(df: DataFrame, path: str) -> None:
+    """Series records. Repeated values take almost no space, so a row group bounded by bytes alone would hold thousands of
+    records, which readers unpack by the thousand."""
+    df.write.option("parquet.block.row.count.limit", str(SERIES_IN_GROUP)).parquet(path)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """Rows with a ``split`` column, one folder per split."""
     df.write.partitionBy("split").parquet(path)
