@@ -150,7 +150,7 @@ JOIN (SELECT channel_idx, avg(CASE WHEN {COUNTED} THEN {R} END) AS pearson FROM
 )
 def _(spark, d):
     """Records to the published report: days, windows, the 5-2 day split, a baseline forecast, aligned cells, metrics."""
-    rows = samples.window_samples(stages.window_table(spark, d), stages.day_runs(spark, d))
+    rows = samples.window_samples(stages.window_table(spark, d), stages.day_runs(spark, d), runs=True)
     forecast = evaluate.last_day_forecast(samples.split_days(rows, *samples.forecast_minutes("5-2d")))
     # Cells that nothing was observed in leave with "mask = 1"; days without any other leave before they are cells.
     seen = forecast.where(F.array_contains("mask", F.lit(1).cast("tinyint")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daygrid import constants as C
 from daygrid.functions.ranking import bucketed_row_number
+from daygrid.operators import days as D
 
 NAN = float("nan")
 
@@ -31,22 +32,35 @@ def masked_errors(df: DataFrame, finite_guard: bool = True) -> DataFrame:
     Non-finite errors count as zero but stay in the denominator; without any valid cell the result is
     NaN.
     """
+    sums = df.rollup("channel_idx").agg(*_error_sums(finite_guard))
+    return sums.select("channel_idx", *_errors(), F.col("n_valid").alias("n"))
+
+
+def _error_sums(finite_guard: bool = True) -> list[Column]:
     error = F.col("yhat") - F.col("y")
     absolute, square = F.abs(error), error * error
     if finite_guard:
         absolute, square = _finite(absolute), _finite(square)
     valid = F.col("mask") > 0
-    sums = df.rollup("channel_idx").agg(
-        F.sum(F.when(valid, absolute)).alias("ae"),
-        F.sum(F.when(valid, square)).alias("se"),
-        F.count_if(valid).alias("n"),
-    )
-    return sums.select(
-        "channel_idx",
-        F.coalesce(F.try_divide("ae", "n"), F.lit(NAN)).alias("mae"),
-        F.coalesce(F.try_divide("se", "n"), F.lit(NAN)).alias("mse"),
-        "n",
-    )
+    return [F.sum(F.when(valid, absolute)).alias("ae"), F.sum(F.when(valid, square)).alias("se"), F.count_if(valid).alias("n_valid")]
+
+
+def _errors() -> list[Column]:
+    return [F.coalesce(F.try_divide(c, "n_valid"), F.lit(NAN)).alias(name) for c, name in (("ae", "mae"), ("se", "mse"))]
+
+
+def _pair_moments(x: Column, y: Column) -> list[Column]:
+    """Aggregates that ``_correlation`` takes, over rows that have both."""
+    return [F.covar_pop(x, y).alias("cxy"), F.var_pop(x).alias("cxx"), F.var_pop(y).alias("cyy")]
+
+
+def _correlation(epsilon: float) -> tuple[Column, Column]:
+    """Pearson r of a pair from its number of cells and moments, and whether the pair counts."""
+    n = F.col("n")
+    num, dx, dy = F.col("cxy") * n, F.col("cxx") * n, F.col("cyy") * n
+    den = F.sqrt(dx * dy)
+    r = F.when(den > epsilon, num / (den + epsilon)).otherwise(0.0)
+    return r.alias("r"), ((n >= 2) & (dx > epsilon) & (dy > epsilon)).alias("counted")
 
 
 def pair_correlations(df: DataFrame, epsilon: float = C.CORRELATION_EPSILON) -> DataFrame:
@@ -56,22 +70,8 @@ def pair_correlations(df: DataFrame, epsilon: float = C.CORRELATION_EPSILON) ->
     """
     x, y = F.col("yhat"), F.col("y")
     valid = df.where((F.col("mask") > 0) & x.isNotNull() & y.isNotNull())
-    moments = valid.groupBy("sample_id", "channel_idx").agg(
-        F.count("*").alias("n"),
-        F.covar_pop(x, y).alias("cxy"),
-        F.var_pop(x).alias("cxx"),
-        F.var_pop(y).alias("cyy"),
-    )
-    n = F.col("n")
-    num, dx, dy = F.col("cxy") * n, F.col("cxx") * n, F.col("cyy") * n
-    den = F.sqrt(dx * dy)
-    return moments.select(
-        "sample_id",
-        "channel_idx",
-        "n",
-        F.when(den > epsilon, num / (den + epsilon)).otherwise(0.0).alias("r"),
-        ((n >= 2) & (dx > epsilon) & (dy > epsilon)).alias("counted"),
-    )
+    moments = valid.groupBy("sample_id", "channel_idx").agg(F.count("*").alias("n"), *_pair_moments(x, y))
+    return moments.select("sample_id", "channel_idx", "n", *_correlation(epsilon))
 
 
 def mean_correlation(df: DataFrame) -> DataFrame:
@@ -138,20 +138,29 @@ def label_loss(df: DataFrame, prediction: str, label: str) -> DataFrame:
 def report(df: DataFrame, names: DataFrame) -> DataFrame:
     """Channel names and metrics as text.
 
+    Cells are read once: sums and moments of each sample and channel, of which errors and correlations are made. Channels
+    without a pair of valid cells are not reported.
     ``names`` has a row per channel; grouped by channel and limited to known ones it is at most 24 rows when broadcast.
     """
     names = names.where(F.col("channel_idx").between(0, C.N_CHANNELS - 1)).groupBy("channel_idx").agg(F.min("channel").alias("channel"))
-    errors = masked_errors(df)
-    correlations = mean_correlation(df)
+    both = (F.col("mask") > 0) & F.col("yhat").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("yhat")), F.when(both, F.col("y"))
+    pairs = df.groupBy("sample_id", "channel_idx").agg(*_error_sums(), F.count_if(both).alias("n"), *_pair_moments(x, y))
+    pairs = pairs.select("channel_idx", "ae", "se", "n_valid", "n", *_correlation(C.CORRELATION_EPSILON))
+    sums = pairs.rollup("channel_idx").agg(
+        *[F.sum(c).alias(c) for c in ("ae", "se", "n_valid", "n")],
+        F.coalesce(F.avg(F.when(F.col("counted"), F.col("r"))), F.lit(NAN)).alias("pearson"),
+    )
+    # Rows of one channel meet: one each, but for NULL, which stands for the whole and for cells without a channel.
+    met = sums.select("channel_idx", *_errors(), "n", "pearson").groupBy("channel_idx").agg(
+        F.collect_list(F.struct("mae", "mse")).alias("_e"), F.collect_list(F.when(F.col("n") > 0, F.col("pearson"))).alias("_p")
+    )
+    metrics = met.select("channel_idx", "_p", F.inline("_e")).select("channel_idx", "mae", "mse", F.explode("_p").alias("pearson"))
     text = [
         F.when(F.isnan(c), F.lit("NaN")).otherwise(F.format_string("%.4f", F.col(c))).alias(c)
         for c in ("mae", "mse", "pearson")
     ]
-    joined = errors.join(
-        correlations.withColumnRenamed("channel_idx", "_c"),
-        F.col("channel_idx").eqNullSafe(F.col("_c")),
-    ).drop("_c")
-    named = joined.join(F.broadcast(names), "channel_idx", "left")
+    named = metrics.join(F.broadcast(names), "channel_idx", "left")
     return named.select(
         F.when(F.col("channel_idx").isNull(), F.lit("Overall"))
         .otherwise(F.coalesce("channel", F.concat(F.lit("Channel "), F.col("channel_idx").cast("string"))))
@@ -167,13 +176,20 @@ def last_day_forecast(days: DataFrame) -> DataFrame:
     """Baseline forecast of day rows with roles (``samples.split_days``): the last input day, repeated.
 
     Returns one row per sample, channel and forecast day with ``forecast``, ``target`` and ``mask`` (that of the target).
-    Rows of a sample and channel meet once; an absent last input day gives missing forecasts.
+    Rows of a sample and channel meet once; an absent last input day gives missing forecasts. Rows that keep their runs meet
+    as these, and cells are made of the targets that a reader wants.
     """
     key = ["participant_id", "start_date", "end_date", "channel_idx"]
     inputs, targets = F.col("role") == "x", F.col("role") == "y"
-    last = F.max_by(F.when(inputs, F.col("values")), F.when(inputs, F.col("role_day")))
-    last = last.over(Window.partitionBy(*key))
-    rows = days.select(*key, "role", "role_day", last.alias("forecast"), F.col("values").alias("target"), "mask")
+    by_runs = "runs" in days.columns
+    day = F.struct(*D.RUN_FORM) if by_runs else F.col("values")
+    last = F.max_by(F.when(inputs, day), F.when(inputs, F.col("role_day"))).over(Window.partitionBy(*key)).alias("forecast")
+    if by_runs:
+        rows = days.select(*key, "role", "role_day", last, *D.RUN_FORM).where(targets)
+        forecast = F.when(F.col("forecast").isNotNull(), D.cells(F.col("forecast.zero_fill"), F.col("forecast.runs"))[0])
+        target, mask = D.cells("zero_fill", "runs")
+        return rows.select(*key, forecast.alias("forecast"), "role_day", target.alias("target"), mask)
+    rows = days.select(*key, "role", "role_day", last, F.col("values").alias("target"), "mask")
     return rows.where(targets).select(*key, "forecast", "role_day", "target", "mask")
 
 
